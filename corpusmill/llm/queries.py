@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import op4_bpe
+from . import op4_bpe, op7_packing, op10_exact_dedup
 
 QUERIES = {
     "op4_bpe": op4_bpe.op4_bpe,
+    "op7_packing": op7_packing.op7_packing,
+    "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": op10_exact_dedup.ORACLE,
+}

@@ -36,3 +36,11 @@ def parts(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, after asking its session for Arrow batches of at most `rows` rows: long texts make a default batch tens of MB."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+    return df
