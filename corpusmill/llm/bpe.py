@@ -14,7 +14,7 @@ from . import textvec as tv
 
 NO_RANK = np.int32(2**31 - 1)
 LONG_WORD = 400
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 #: The pattern by which byte-level tokenizers cut a text before merging.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -8,16 +8,16 @@ read; strings of special tokens in a text become their ids, as the tokenizers li
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe
 from . import textvec as tv
-from .spaces import documents
+from .spaces import documents, small_batches
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,10 +26,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """id_col, n_tokens and ids (little-endian unsigned 32-bit) of every text; with `decoded` also the bytes that the ids decode to."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """id_col, n_tokens and the named outputs of every text.
+
+    Outputs: ids (little-endian unsigned 32-bit), decoded (the bytes that the ids decode to), and of either its
+    SHA-256 in hex, ids_sha256 and decoded_sha256, so that only digests leave the task.
+    """
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    schema = f"`{id_col}` {kind}, n_tokens long" + "".join(f", {c} {'string' if c.endswith('_sha256') else 'binary'}" for c in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = bpe.load(path)
@@ -37,14 +41,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             buf, off = tv.text_views(batch.column(1))
             for i, j in tv.chunks(off):
                 ids, count = bpe.encode_texts(cache, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                cols = [batch.column(0).slice(i, j - i), pa.array(count), _rows(ids.astype("<u4").view(np.uint8), count * 4)]
-                if decoded:
+                made = {"ids": _rows(ids.astype("<u4").view(np.uint8), count * 4)}
+                if any(c.startswith("decoded") for c in outputs):
                     size = np.concatenate([[0], np.cumsum(cache.bpe.piece_len[ids])])
                     edge = np.concatenate([[0], np.cumsum(count)])
-                    cols.append(_rows(np.frombuffer(cache.bpe.decode(ids), np.uint8), np.diff(size[edge])))
-                yield pa.RecordBatch.from_arrays(cols, [id_col, "n_tokens", "ids", "decoded"][: len(cols)])
+                    made["decoded"] = _rows(np.frombuffer(cache.bpe.decode(ids), np.uint8), np.diff(size[edge]))
+                for c in outputs:
+                    if c.endswith("_sha256"):
+                        made[c] = pa.array([hashlib.sha256(x).hexdigest() for x in made[c.removesuffix("_sha256")].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), *(made[c] for c in outputs)], [id_col, "n_tokens", *outputs])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def _rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -62,9 +69,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = [model.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return small_batches(encoded.select(id_col, ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode(documents(spark, sf_dir), tokenizer_path(), decoded=True)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(documents(spark, sf_dir), tokenizer_path(), outputs=("ids_sha256", "decoded_sha256"))

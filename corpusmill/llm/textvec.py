@@ -18,7 +18,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _tables: dict = {}
 
@@ -43,14 +43,14 @@ def _byte_values() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the multiplier and of its inverse modulo 2**64, kept between calls up to 4 M entries."""
+    """Powers 0..n of the multiplier and of its inverse modulo 2**64, kept between calls up to 1 M entries."""
     have = _tables.get("powers")
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 65536)
+        size = max(n + 1, CHUNK_BYTES + 131072)
         one, inv = np.full(size, MULTIPLIER, dtype=U64), np.full(size, pow(MULTIPLIER, -1, 1 << 64), dtype=U64)
         one[0] = inv[0] = 1
         have = np.cumprod(one), np.cumprod(inv)
-        if size <= 4 << 20:
+        if size <= 1 << 20:
             _tables["powers"] = have
     return have
 
