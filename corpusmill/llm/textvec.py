@@ -218,3 +218,51 @@ class HashMap64:
             done[owner] = True
             left = left[~done[left]]
             slot[left] = (slot[left] + 1) & mask
+
+
+def letter_words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters inside each text, and the index of the first word of each text."""
+    solid = (byte_classes(buf) if kind is None else kind) == LETTER
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    inside = offsets[:-1][offsets[:-1] < len(buf)]
+    first[inside] = solid[inside]
+    last = solid.copy()
+    last[:-1] &= first[1:] | ~solid[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lower_latin(buf: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and for the accented Latin letters of two bytes that start with C3; byte lengths stay."""
+    out = lower_ascii(buf)
+    if len(out) > 1:
+        up = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][up] += 0x20
+    return out
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[i]:first[i + 1]]."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
+    return np.diff(total[first])
+
+
+def maxima(values: np.ndarray, first: np.ndarray, empty: float = 0.0) -> np.ndarray:
+    """Maxima of values[first[i]:first[i + 1]], `empty` where there is none."""
+    out = np.full(len(first) - 1, empty, np.float64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        out[full] = np.maximum.reduceat(values[: first[-1]], first[full])
+    return out
+
+
+def pair_counts(*keys: np.ndarray, weights: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of the key columns with the sums of each weight, for pre-aggregation inside a task."""
+    if not len(keys[0]):
+        return list(keys), [w.astype(np.int64) for w in weights]
+    order = np.lexsort(keys[::-1])
+    cols = [k[order] for k in keys]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
+    at = np.flatnonzero(new)
+    return [c[at] for c in cols], [np.add.reduceat(w[order].astype(np.int64), at) for w in weights]
