@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op4_bpe, op6_toxicity, op7_packing, op10_exact_dedup
+from . import op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op10_exact_dedup
 
 QUERIES = {
     "op4_bpe": op4_bpe.op4_bpe,
+    "op5_fingerprints": op5_fingerprints.op5_fingerprints,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op7_packing": op7_packing.op7_packing,
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
