@@ -140,7 +140,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = history.select("digest", "id", "row", "n").unionByName(found.select("digest", "id", "row", "n"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
     verdict = both.groupBy("digest").agg(first.alias("w"), F.sum("n").alias("group_size")).select("digest", F.col("w.id").alias("keep_id"), F.col("w.row").alias("keep_row"), "group_size")
-    return rows.join(verdict, "digest").select("id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    # Written first, so that the join has exchanges of its own on both sides and Spark can split a digest with many rows.
+    return rows.join(materialize(verdict, "digest-verdicts"), "digest").select("id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
