@@ -25,6 +25,7 @@ from .spaces import documents, materialize, parts
 
 SPACES = r"[\x20\x09-\x0D]+"
 SHARD_DIGESTS = 50_000
+ROW = "__row"
 INDEX = "shard long, n long, sizes array<long>, bits binary, digests binary, ids binary, rows binary, no_id binary, counts binary"
 
 
@@ -129,8 +130,19 @@ def look_up(fresh: DataFrame, index: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, row, digest, keep_id, group_size and kept of every row of docs."""
-    spark = docs.sparkSession
-    rows = digest_rows(docs, id_col, text_col)
+    return verdicts(digest_rows(docs, id_col, text_col))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    base = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "dedup-base")
+    rows = materialize(base.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), F.col(ROW).alias("row")), "digests")
+    return base.join(verdicts(rows).where(~F.col("kept")).select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """What exact_dedup() returns, from the id, row and digest of every row."""
+    spark = rows.sparkSession
     split, total = rows.agg(F.percentile_approx("id", 0.5), F.count(F.lit(1))).first()
     shards = max(parts(spark), -(-total // SHARD_DIGESTS))
     old = F.col("id") <= F.lit(split if split is not None else 0)
