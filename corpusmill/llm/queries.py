@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import op1_substring_dedup, op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op9_ngram_join, op10_exact_dedup
+from . import op1_substring_dedup, op2_language, op3_quality, op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op8_html, op9_ngram_join, op10_exact_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup.op1_substring_dedup,
+    "op2_language": op2_language.op2_language,
+    "op3_quality": op3_quality.op3_quality,
     "op4_bpe": op4_bpe.op4_bpe,
     "op5_fingerprints": op5_fingerprints.op5_fingerprints,
     "op6_toxicity": op6_toxicity.op6_toxicity,
     "op7_packing": op7_packing.op7_packing,
+    "op8_html": op8_html.op8_html,
     "op9_ngram_join": op9_ngram_join.op9_ngram_join,
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
 }
