@@ -106,13 +106,32 @@ def join_keys(elements: np.ndarray, first: np.ndarray, use: np.ndarray, hot: np.
     return keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
 
 
-def signatures(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each of SIGNATURE * 64 bits: differing bits are at most the differing elements."""
-    n = len(first) - 1
-    width = SIGNATURE * 64
-    bit = (tv.mix_with(elements, 8) % tv.U64(width)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(n), np.diff(first)) * width + bit, minlength=n * width).reshape(n, width) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+def signatures(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Parity of the elements that fall on each bit, so that two sets' differing bits are at most their differing elements.
+
+    A set has as many bits as elements, rounded up to a power of two; a longer signature folds to a shorter one by XOR
+    of its halves. Returned are all sets' signatures folded to SIGNATURE * 64 bits, and the whole ones.
+    """
+    n, size = len(first) - 1, np.diff(first)
+    least = SIGNATURE * 64
+    width = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(n), size)
+    bit = (tv.mix_with(elements, 8) & (width[owner] - 1).astype(tv.U64)).astype(np.int64)
+    odd = np.bincount(base[owner] + bit, minlength=int(base[-1])).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little")
+    short = np.bincount(owner * least + (bit & (least - 1)), minlength=n * least).reshape(n, least).astype(np.uint8) & 1
+    return np.packbits(short, axis=1, bitorder="little").view("<i8"), [packed[base[k] // 8 : base[k + 1] // 8].tobytes() for k in range(n)]
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two whole signatures, the longer one folded."""
+    x, y = np.frombuffer(a, tv.U64), np.frombuffer(b, tv.U64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, edge: int, percent: int, shingle: int) -> DataFrame:
@@ -134,15 +153,20 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray, edge: in
                     seen = tv.HashMap64()
                 seen.put(fresh[seen.get(fresh) < 0], np.zeros(int((seen.get(fresh) < 0).sum())))
                 keys, count = join_keys(elements, first, use, hot, SKETCH_BITS, edge, percent)
-                lanes = signatures(elements, first)
+                lanes, whole = signatures(elements, first)
                 edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.view(np.int64)))
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * SIGNATURE, SIGNATURE, dtype=np.int32)), pa.array(lanes.reshape(-1)))
                 none = pa.array([None] * (j - i), sig.type)
                 sig = pa.compute.if_else(pa.array(use), sig, none)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(name.view(np.int64)), lists, sig], ["id", "size", "node", "keys", "sig"])
+                whole = pa.array([x if u else None for x, u in zip(whole, use)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(name.view(np.int64)), batch.column(2).slice(i, j - i), lists, sig, whole], ["id", "size", "node", "text_hash", "keys", "sig", "whole"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), text_col)).mapInArrow(run, "id long, size long, node long, keys array<long>, sig array<long>")
+    return small_batches(docs.select(F.col(id_col).cast("long"), text_col, _text_hash(text_col))).mapInArrow(run, "id long, size long, node long, text_hash long, keys array<long>, sig array<long>, whole binary")
+
+
+def _text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _apart(a: str, b: str) -> F.Column:
@@ -157,41 +181,49 @@ def _may_link(percent: int) -> F.Column:
 
 
 def full_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and its elements, for the nodes in wanted: the texts are hashed anew, past a filter of fixed size."""
+    """node and its elements, for the nodes and text hashes in wanted: of all texts only those past a filter of fixed size are cut anew."""
     bits = 1 << FILTER_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(bits, bool)
         for batch in batches:
             on[slots(batch.column(0).to_numpy().view(tv.U64), FILTER_BITS)] = True
-        at = np.flatnonzero(on)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(on))], ["at"])
 
     on = np.zeros(bits, bool)
-    for r in wanted.select("node").mapInArrow(mark, "at long").distinct().groupBy(F.floor(F.col("at") / 4096).alias("block")).agg(F.collect_list((F.col("at") % 4096).cast("int")).alias("at")).collect():
+    for r in wanted.select("text_hash").mapInArrow(mark, "at long").distinct().groupBy(F.floor(F.col("at") / 4096).alias("block")).agg(F.collect_list((F.col("at") % 4096).cast("int")).alias("at")).collect():
         on[int(r.block) * 4096 + np.array(r.at)] = True  # at most 2**FILTER_BITS places
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(on))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            buf, off = tv.text_views(batch.column(0))
+            _, pick = np.unique(batch.column(1).to_numpy(), return_index=True)
+            pick = np.sort(pick)
+            pick = pick[here[slots(batch.column(1).to_numpy()[pick].view(tv.U64), FILTER_BITS)]]
+            buf, off = tv.text_views(batch.column(0).take(pa.array(pick)))
             for i, j in tv.chunks(off):
                 elements, first = sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle)
-                name = names(elements, first)
-                _, pick = np.unique(name, return_index=True)
-                pick = pick[here[slots(name[pick], FILTER_BITS)]]
-                raw = [elements[first[k] : first[k + 1]].tobytes() for k in pick]
-                yield pa.RecordBatch.from_arrays([pa.array(name[pick].view(np.int64)), pa.array(raw, pa.binary())], ["node", "elements"])
+                raw = [elements[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(names(elements, first).view(np.int64)), pa.array(raw, pa.binary())], ["node", "elements"])
 
-    found = small_batches(docs.select(text_col)).mapInArrow(run, "node long, elements binary").join(wanted.select("node").distinct(), "node", "left_semi")
+    found = small_batches(docs.select(text_col, _text_hash(text_col))).mapInArrow(run, "node long, elements binary").join(wanted.select("node").distinct(), "node", "left_semi")
     return materialize(found.dropDuplicates(["node"]), "full-sets")
 
 
-def verified(docs: DataFrame, text_col: str, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Those pairs a, b of nodes that link, by their full sets."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+def verified(docs: DataFrame, text_col: str, pairs: DataFrame, about: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Those pairs a, b of nodes that link: whole signatures rule most others out, full sets decide."""
+    one, two = (about.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("whole").alias(f"whole_{x}")) for x in ("a", "b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([least_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(apart * (100 + percent) <= size * (100 - percent), pa.bool_()))
+
+    closer = small_batches(pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "size_a", "size_b", "whole_a", "whole_b")).mapInArrow(near, "a long, b long")
+    pairs = materialize(closer, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(about.select("node", "text_hash"), "node")
     full = full_sets(docs, text_col, wanted, shingle)
     left = full.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = full.select(F.col("node").alias("b"), F.col("elements").alias("y"))
@@ -214,13 +246,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = bucket_counts(docs, lambda buf, off: sets(buf, off, shingle)[0], text_col, SKETCH_BITS)
     hot = frequent(counts, 3.0, 50)
     mean_list = max(0.0, float((counts.astype(float) ** 2).sum() / max(counts.sum(), 1) - counts.mean() - 1)) if not hot.any() else max(0.0, float((counts[~hot].astype(float) ** 2).sum() / max(counts[~hot].sum(), 1) - counts[~hot].mean() - 1))
-    words = F.least(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+")), F.lit(2000))
-    histogram = {max(r.size - shingle + 1, 1): r.n for r in docs.groupBy(words.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2000 rows
+    guess = F.least(F.floor(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) / 6), F.lit(2000))  # of a set's size, only for the costs
+    histogram = {max(r.size, 1): r.n for r in docs.groupBy(guess.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2000 rows
     edge = boundary(histogram, mean_list, percent)
     rows = materialize(nodes(docs, id_col, text_col, hot, edge, percent, shingle), "jaccard-nodes")
-    about = rows.where(F.col("sig").isNotNull()).dropDuplicates(["node"]).select("node", "size", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)))
-    about = materialize(about, "jaccard-signatures")
-    entries = rows.where(F.col("sig").isNotNull()).select("node", F.explode("keys").alias("key")).distinct()
+    unique = materialize(rows.where(F.col("sig").isNotNull()).dropDuplicates(["node"]), "jaccard-sets")
+    about = unique.select("node", "size", "text_hash", "whole", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)))
+    short = about.drop("whole", "text_hash")
+    entries = unique.select("node", F.explode("keys").alias("key"))
     listed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     lists = materialize(entries.join(listed.select("key"), "key", "left_semi"), "lists")
     links = None
@@ -234,14 +267,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if turn < LEADER_ROUNDS:
             leaders = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"))
             pairs = lists.join(leaders, "key").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
-            a, b = about.withColumnRenamed("node", "x").alias("a"), about.withColumnRenamed("node", "y").alias("b")
+            a, b = short.withColumnRenamed("node", "x").alias("a"), short.withColumnRenamed("node", "y").alias("b")
             pairs = pairs.join(a, "x").join(b, "y").where(_may_link(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         else:
             leaders = lists.groupBy("key").agg(F.min_by("comp", F.xxhash64("node", F.lit(0))).alias("main"))
-            known = lists.join(leaders, "key").join(about, "node")
+            known = lists.join(leaders, "key").join(short, "node")
             apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
             pairs = known.where(F.col("comp") != F.col("main")).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-        more = verified(docs, text_col, pairs, percent, shingle)
+        more = verified(docs, text_col, pairs, about, percent, shingle)
         links = more if links is None else links.unionByName(more)
     comp = components(links)
     ids = rows.where(F.col("size") > 0).groupBy("node").agg(F.min("id").alias("low"))
