@@ -7,8 +7,8 @@ by a join over the whole corpus; all but the first, by id and place, are repeats
 are removed with the white space after them.
 
 A run that a large part of all rows share doesn't meet in one task: a count of run hashes in fixed space tells which
-may be frequent, and those find their first place by an aggregation with partial sums and a join that Spark can split.
-The rest is grouped by a window.
+may be frequent, and those are dealt by hash and a salt of the row first; what comes first under its salt, one row per
+salt at most, meets by hash alone. The rest is dealt by hash at once.
 
 Defined cases: a null text stays null, an empty one empty; texts of fewer than RUN sentences or MIN_WORDS words have no
 run and stay; of rows that repeat an id the first by row number counts as earlier; null ids come last; an empty table
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 from .sketches import bucket_counts, frequent, slots
-from .spaces import documents, materialize, small_batches
+from .spaces import documents, materialize, parts, small_batches
 
 RUN, MIN_WORDS, LONG, MARKERS = 3, 16, 12, 6
 ROW, SPANS = "__row", "__spans"
@@ -101,11 +101,11 @@ def repeats(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cold = runs(base, id_col, text_col, hot, False).withColumn("nth", F.row_number().over(place)).where(F.col("nth") > 1).select("row", "at")
     if not hot.any():
         return cold
-    many = materialize(runs(base, id_col, text_col, hot, True), "frequent-runs")
-    place_of = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")
-    first = materialize(many.groupBy("h1", "h2").agg(F.min(place_of).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1", "h2", F.col("first.row").alias("row0"), F.col("first.at").alias("at0")), "first-runs")
-    later = many.join(first, ["h1", "h2"]).where((F.col("row") != F.col("row0")) | (F.col("at") != F.col("at0")))
-    return cold.unionByName(later.select("row", "at"))
+    salt = F.pmod(F.xxhash64("row"), F.lit(parts(base.sparkSession)))
+    apart = Window.partitionBy("h1", "h2", salt).orderBy(*order)
+    many = materialize(runs(base, id_col, text_col, hot, True).withColumn("nth", F.row_number().over(apart)), "frequent-runs")
+    firsts = many.where(F.col("nth") == 1).withColumn("nth", F.row_number().over(place))
+    return cold.unionByName(many.where(F.col("nth") > 1).select("row", "at")).unionByName(firsts.where(F.col("nth") > 1).select("row", "at"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
