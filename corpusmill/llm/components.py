@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spaces import materialize
+from .spaces import drop, materialize
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -23,9 +23,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "links")
+        old, edges = edges, materialize(small, "links")
+        drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            found = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+            drop(edges)
+            return found
         state = now
     raise RuntimeError("links did not settle")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spaces import documents, materialize, parts
+from .spaces import documents, drop, materialize, parts
 
 SPACES = r"[\x20\x09-\x0D]+"
 SHARD_DIGESTS = 50_000
@@ -153,7 +153,9 @@ def verdicts(rows: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
     verdict = both.groupBy("digest").agg(first.alias("w"), F.sum("n").alias("group_size")).select("digest", F.col("w.id").alias("keep_id"), F.col("w.row").alias("keep_row"), "group_size")
     # Written first, so that the join has exchanges of its own on both sides and Spark can split a digest with many rows.
-    return rows.join(materialize(verdict, "digest-verdicts"), "digest").select("id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    verdict = materialize(verdict, "digest-verdicts")
+    drop(index)
+    return rows.join(verdict, "digest").select("id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

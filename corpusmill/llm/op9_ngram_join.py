@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .components import components
 from .sketches import bucket_counts, frequent, slots
-from .spaces import documents, materialize, small_batches
+from .spaces import documents, drop, materialize, small_batches
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
@@ -238,7 +238,9 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, about: DataFrame,
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(small_batches(both).mapInArrow(run, "a long, b long"), "verified")
+    found = materialize(small_batches(both).mapInArrow(run, "a long, b long"), "verified")
+    drop(pairs, full)
+    return found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -251,19 +253,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edge = boundary(histogram, mean_list, percent)
     rows = materialize(nodes(docs, id_col, text_col, hot, edge, percent, shingle), "jaccard-nodes")
     unique = materialize(rows.where(F.col("sig").isNotNull()).dropDuplicates(["node"]), "jaccard-sets")
-    about = unique.select("node", "size", "text_hash", "whole", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE)))
+    full, rows = rows, materialize(rows.select("id", "size", "node"), "jaccard-rows")
+    drop(full)
+    about = materialize(unique.select("node", "size", "text_hash", "whole", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE))), "jaccard-signatures")
     short = about.drop("whole", "text_hash")
     entries = unique.select("node", F.explode("keys").alias("key"))
     listed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     lists = materialize(entries.join(listed.select("key"), "key", "left_semi"), "lists")
+    drop(unique)
     links = None
     for turn in range(LEADER_ROUNDS + 1):
         if links is not None:
             comp = components(links)
             labelled = lists.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-            labelled = materialize(labelled, "labelled")
+            labelled, old = materialize(labelled, "labelled"), lists
+            drop(old)
             open_lists = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
             lists = materialize(labelled.join(open_lists.select("key"), "key", "left_semi"), "lists")
+            drop(labelled, comp)
         if turn < LEADER_ROUNDS:
             leaders = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"))
             pairs = lists.join(leaders, "key").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
@@ -281,6 +288,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = ids.join(comp, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     labels = materialize(named.join(lowest, "comp").select("node", "component_id"), "jaccard-labels")
+    drop(about, lists, comp)
     full = rows.where(F.col("size") > 0).select("id", "size", "node").join(labels, "node").select("id", F.col("size").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where(F.col("size") == 0).select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id")))
 

@@ -22,12 +22,39 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_written: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and any executor can read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not keep:
+        _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch_path)
+        if t.scratch_path in _written:
+            _written.remove(t.scratch_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() wrote, but those to keep. Only for where all earlier results have been written."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def parts(spark: SparkSession) -> int:
