@@ -159,8 +159,12 @@ def query_terms(question: Column, most: int = 40) -> Column:
 def char_ngrams(token: Column, low: int = 3, high: int = 5) -> Column:
     """Runs of low to high characters of ^token$, repeats included."""
     s = F.concat(F.lit("^"), token, F.lit("$"))
-    each = [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i, n=n: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*each)
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(low, high + 1)])
 
 
 def fnv1a(feature: Column) -> Column:
