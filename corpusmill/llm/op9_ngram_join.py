@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .sketches import bucket_counts, frequent, slots
+from .sketches import bucket_counts, slots
 from .spaces import documents, drop, materialize, small_batches
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
-SIGNATURE = 16  # lanes of 64 bits
+SIGNATURE = 32  # lanes of 64 bits
 LEADER_ROUNDS = 2
 FILTER_BITS = 23
 
@@ -238,7 +238,7 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, about: DataFrame,
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    found = materialize(small_batches(both).mapInArrow(run, "a long, b long"), "verified")
+    found = materialize(small_batches(both, 200).mapInArrow(run, "a long, b long"), "verified")
     drop(pairs, full)
     return found
 
@@ -246,8 +246,10 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, about: DataFrame,
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     counts = bucket_counts(docs, lambda buf, off: sets(buf, off, shingle)[0], text_col, SKETCH_BITS)
-    hot = frequent(counts, 3.0, 50)
-    mean_list = max(0.0, float((counts.astype(float) ** 2).sum() / max(counts.sum(), 1) - counts.mean() - 1)) if not hot.any() else max(0.0, float((counts[~hot].astype(float) ** 2).sum() / max(counts[~hot].sum(), 1) - counts[~hot].mean() - 1))
+    # Beyond six standard deviations of a bucket filled by rare elements alone, some element is frequent.
+    hot = counts > counts.mean() + 6 * np.sqrt(counts.mean()) + 8
+    cool = counts[~hot].astype(float)
+    mean_list = max(0.0, float((cool**2).sum() / max(cool.sum(), 1) - cool.mean() - 1))
     guess = F.least(F.floor(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) / 6), F.lit(2000))  # of a set's size, only for the costs
     histogram = {max(r.size, 1): r.n for r in docs.groupBy(guess.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2000 rows
     edge = boundary(histogram, mean_list, percent)

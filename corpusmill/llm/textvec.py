@@ -6,6 +6,8 @@ characters and hashes for all texts of a batch at once, so no Python object is m
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 
@@ -87,14 +89,23 @@ def text_views(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live long, and their heaps would otherwise keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes; a longer text stands alone."""
+    """Row ranges of about `limit` bytes; a longer text stands alone. What the texts took is given back at the end."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    if n and offsets[n] - offsets[0] > limit:
+        give_back()
 
 
 def class_table() -> np.ndarray:
