@@ -264,7 +264,7 @@ def v9(spark, d):
     return V.ablation(V.macro_average(measures(spark, d)))
 
 
-@query("v10_quality_gate", f"{TO_MEASURES}, g AS (SELECT config, concat_ws(',', CASE WHEN recall_5 < 0.75 THEN 'recall_5' END, CASE WHEN mrr < 0.60 THEN 'mrr' END, CASE WHEN ndcg_10 < 0.65 THEN 'ndcg_10' END) AS failures FROM averages) SELECT config, failures = '' AS passed, failures FROM g")
+@query("v10_quality_gate", f"{TO_MEASURES}, gated AS (SELECT config, concat_ws(',', CASE WHEN recall_5 < 0.75 THEN 'recall_5' END, CASE WHEN mrr < 0.60 THEN 'mrr' END, CASE WHEN ndcg_10 < 0.65 THEN 'ndcg_10' END) AS failures FROM averages) SELECT config, failures = '' AS passed, failures FROM gated")
 def v10(spark, d):
     return V.quality_gate(V.macro_average(measures(spark, d)))
 
