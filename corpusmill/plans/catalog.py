@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus_queries, index_queries, search_queries, text_queries
+from corpusmill.plans import corpus_queries, index_queries, search_queries, stream_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for group in (corpus_queries, text_queries, search_queries, index_queries):
+for group in (corpus_queries, text_queries, search_queries, index_queries, stream_queries):
     QUERIES |= group.QUERIES
     ORACLES |= group.ORACLES
 FLAGSHIP = QUERIES["r9_hybrid_retrieve"]
