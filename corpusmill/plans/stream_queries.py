@@ -47,7 +47,7 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 @query("w2_rate_limit_stream", None)
 def w2(spark, d):
     at = work_dir(spark, "rate-limit")
-    requests = stream_of(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    requests = stream_of(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
     return drained(jobs.rate_limit(requests, 3, DAY), f"{at}/out", f"{at}/state")
 
 

@@ -17,10 +17,10 @@ from corpusmill.operators.ratelimit import FIELDS, KeyWindow
 
 
 def rate_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """The decisions of replay() over a stream of id, key and t (microseconds), with one open window per key as state.
+    """The decisions of replay() over a stream of id, key and ts, with one open window per key as state.
 
-    Rows of a key are taken in order of time and id inside a batch; a late row is judged when it arrives. A key that
-    stays silent for a window's length of processing time loses its state.
+    Rows of a key are taken in order of time and id inside a batch; a late row is judged when it arrives. A key's state
+    goes when the stream's watermark has passed the end of its window.
     """
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,10 +31,11 @@ def rate_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
         rows = pd.concat(frames).sort_values(["t", "id"])
         told = [(i, key[0], *window.ask(t, limit, window_us)) for i, t in zip(rows["id"].tolist(), rows["t"].tolist())]
         state.update((window.reset, window.count))
-        state.setTimeoutDuration(max(1, window_us // 1000))
+        state.setTimeoutTimestamp(max(window.reset // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(told, columns=["id", "key", "allowed", "remaining", "reset_in_us"])
 
-    return requests.groupBy("key").applyInPandasWithState(walk, FIELDS, "reset long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 minute").withColumn("t", F.unix_micros("ts"))
+    return timed.groupBy("key").applyInPandasWithState(walk, FIELDS, "reset long, count int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _append(rows: DataFrame, path: str) -> None:
