@@ -35,6 +35,7 @@ from .spaces import documents, drop, materialize, small_batches
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
 SIGNATURE = 32  # lanes of 64 bits
+NARROW = 8  # lanes that the last round's lists carry; whole signatures follow for the pairs it finds
 LEADER_ROUNDS = 2
 FILTER_BITS = 23
 
@@ -169,15 +170,26 @@ def _text_hash(text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _apart(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SIGNATURE)), F.lit(0))
+def _apart(a: str, b: str, lanes: int) -> F.Column:
+    return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(lanes)), F.lit(0))
 
 
-def _may_link(percent: int) -> F.Column:
+def _folded(lanes: int) -> list[F.Column]:
+    """The signature in s0, s1, ... folded to fewer lanes."""
+    out = []
+    for k in range(lanes):
+        lane = F.col(f"s{k}")
+        for more in range(k + lanes, SIGNATURE, lanes):
+            lane = lane.bitwiseXOR(F.col(f"s{more}"))
+        out.append(lane.alias(f"s{k}"))
+    return out
+
+
+def _may_link(percent: int, lanes: int = SIGNATURE) -> F.Column:
     """False where sizes or signatures of the rows a and b rule out the similarity."""
     small, big = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     both = F.col("a.size") + F.col("b.size")
-    return (small * 100 >= big * percent) & (_apart("a", "b") * (100 + percent) <= both * (100 - percent))
+    return (small * 100 >= big * percent) & (_apart("a", "b", lanes) * (100 + percent) <= both * (100 - percent))
 
 
 def full_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -280,9 +292,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs = pairs.join(a, "x").join(b, "y").where(_may_link(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         else:
             leaders = lists.groupBy("key").agg(F.min_by("comp", F.xxhash64("node", F.lit(0))).alias("main"))
-            known = lists.join(leaders, "key").join(short, "node")
+            known = lists.join(leaders, "key").join(short.select("node", "size", *_folded(NARROW)), "node")
             apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-            pairs = known.where(F.col("comp") != F.col("main")).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            pairs = known.where(F.col("comp") != F.col("main")).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _may_link(percent, NARROW)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         more = verified(docs, text_col, pairs, about, percent, shingle)
         links = more if links is None else links.unionByName(more)
     comp = components(links)
