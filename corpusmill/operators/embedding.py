@@ -24,21 +24,33 @@ def gram_table(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(F.length("token") >= 3).select("token", F.explode(C.char_ngrams(F.col("token"))).alias("gram")).groupBy("token", "gram").agg(F.count(F.lit(1)).alias("times"))
 
 
-def features(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, feature and weight, summed; words, pairs and grams."""
+def hashed(features: DataFrame, dim: int) -> DataFrame:
+    """feature, bucket and sign of every distinct feature."""
+    h = features.select("feature").distinct().withColumn("h", C.fnv1a(F.col("feature")))
+    return h.select("feature", (F.col("h") % dim).alias("bucket"), C.hash_sign(F.col("h")).alias("sign"))
+
+
+def token_sums(vocabulary: DataFrame, dim: int) -> DataFrame:
+    """token, bucket and value: what one use of each token adds, its word and all its grams together."""
+    word = vocabulary.select("token", F.concat(F.lit("w:"), "token").alias("feature"), F.lit(WORD).cast("long").alias("weight"))
+    grams = gram_table(vocabulary).select("token", F.concat(F.lit("c:"), "gram").alias("feature"), (F.col("times") * GRAM).alias("weight"))
+    both = word.unionByName(grams)
+    return both.join(hashed(both, dim), "feature").groupBy("token", "bucket").agg(F.sum(F.col("weight") * F.col("sign")).alias("value"))
+
+
+def bucket_sums(texts: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """key, bucket and value: the signed sums of all features' weights, buckets without any left out.
+
+    Grams are summed per token of the vocabulary first, so texts meet small rows of numbers, not their grams.
+    """
     # A text's tokens are one array of one row, so neighbours need no window over the exploded table.
     arrays = texts.select(key, C.code_tokens(F.col(text)).alias("t"))
     words = arrays.select(key, F.explode("t").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    pairs = arrays.where(F.size("t") > 1).select(key, F.explode(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws("_", a, b))).alias("pair")).groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"))
-    grams = words.join(gram_table(words.select("token").distinct()), "token").groupBy(key, "gram").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    part = lambda df, mark, col, weight: df.select(key, F.concat(F.lit(mark), col).alias("feature"), (F.col("n") * weight).alias("weight"))
-    return part(words, "w:", "token", WORD).unionByName(part(pairs, "b:", "pair", PAIR)).unionByName(part(grams, "c:", "gram", GRAM))
-
-
-def bucket_sums(weighted: DataFrame, key: str, dim: int) -> DataFrame:
-    """key, bucket and value: signed sums of the features' weights; each distinct feature is hashed once."""
-    hashed = weighted.select("feature").distinct().withColumn("h", C.fnv1a(F.col("feature"))).select("feature", (F.col("h") % dim).alias("bucket"), C.hash_sign(F.col("h")).alias("sign"))
-    return weighted.join(hashed, "feature").groupBy(key, "bucket").agg(F.sum(F.col("weight") * F.col("sign")).alias("value")).where(F.col("value") != 0)
+    next_to = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
+    pairs = arrays.where(F.size("t") > 1).select(key, F.explode(next_to).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
+    one = words.join(token_sums(words.select("token").distinct(), dim), "token").select(key, "bucket", (F.col("n") * F.col("value")).alias("value"))
+    two = pairs.join(hashed(pairs, dim), "feature").select(key, "bucket", (F.col("n") * F.col("sign") * PAIR).alias("value"))
+    return one.unionByName(two).groupBy(key, "bucket").agg(F.sum("value").alias("value")).where(F.col("value") != 0)
 
 
 def dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
@@ -49,5 +61,5 @@ def dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
 
 def hash_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
     """key and embedding of every text."""
-    found = dense(bucket_sums(features(texts, key, text), key, dim), key, dim)
+    found = dense(bucket_sums(texts, key, text, dim), key, dim)
     return texts.select(key).join(found, key, "left").select(key, F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))

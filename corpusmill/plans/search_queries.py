@@ -68,7 +68,7 @@ def embed_sql(source: str, key: str, text: str, dim: int = DIM) -> str:
 
 @query("e4_hash_embed", f"WITH {embed_sql('documents', 'doc_id', 'text')} SELECT doc_id, bucket, value FROM sums")
 def e4(spark, d):
-    return E.bucket_sums(E.features(table(spark, d, "documents"), "doc_id", "text"), "doc_id", DIM)
+    return E.bucket_sums(table(spark, d, "documents"), "doc_id", "text", DIM)
 
 
 @query("e5_l2_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * (label + 1) / nullif(sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE * (label + 1)) ** 2))), 0), 5)) AS unit FROM embeddings")
@@ -181,7 +181,7 @@ HYBRID = f"{DOC_DENSE}, {LEX}, {LEX_TOP}, {FUSED}, hybrid AS (SELECT * FROM (SEL
 
 def doc_dense(spark, d, k=R.PER_ARM):
     """The dense arm as a join on buckets: only buckets that both sides fill are multiplied."""
-    sums = lambda df, key: E.bucket_sums(E.features(df, key, "text"), key, DIM)
+    sums = lambda df, key: E.bucket_sums(df, key, "text", DIM)
     c = sums(doc_chunks(spark, d), "chunk_id")
     q = sums(questions(spark, d).withColumnRenamed("question", "text"), "query_id")
     norm = lambda s, key, name: s.groupBy(key).agg(F.sqrt(F.sum((F.col("value") * F.col("value")).cast("double"))).alias(name))
