@@ -11,8 +11,9 @@ D and D2 are wide: an expression met a few times gives no class anything of its
 compared per word, over the whole text and over every window of WINDOW words; a logistic curve, fitted on labelled
 rows that the counts have not seen, turns both into the score.
 
-The counts come from at most FIT_ROWS labelled rows of each class (a documented bound), gathered by Spark, with
-expressions met less than MIN_COUNT times left out; so the broadcast model is bounded as well.
+The counts come from all labelled rows but those that calibrate, gathered by Spark; only the curve is fitted on at most
+FIT_ROWS rows of each class. The broadcast model leaves out what can't change a score: bigrams, words and starts that
+the discounts take to zero in both classes, and contexts that no bigram follows. Their counts stay in the sums.
 
 Defined cases: a null or empty text has no windows and is scored by the curve at zero; rows that repeat are scored
 each; with labels of one class only, or none, every score is the share of toxic labels; an empty table gives no rows.
@@ -34,7 +35,7 @@ from .folds import fit_logistic, fold, sample
 from .spaces import documents, materialize, small_batches
 
 FIT_ROWS = 6_000
-MIN_COUNT = 3
+BROADCAST_LABELS = 1_000_000  # more labels meet the texts in a join that Spark picks
 DISCOUNT = 2.5
 BIGRAM_DISCOUNT = 10.0  # near copies of a text vary the word before a bigram, so it needs more of them
 WINDOW = 4
@@ -61,7 +62,7 @@ def _before(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Trigrams u, v, w with s, the start of w, and how often they stand in toxic and ordinary documents."""
+    """Trigrams u, v, w with s, the start of w, and in seen whether toxic (1) or ordinary (2) documents or both (3) have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,28 +70,31 @@ def counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in tv.chunks(off):
                 w, s, first = _hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                doc = np.repeat(np.arange(i, j), np.diff(first))
                 doc = np.repeat(toxic[i:j], np.diff(first))
                 v = _before(w, first)
                 (u, v, w, s), (t, o) = tv.pair_counts(_before(v, first), v, w, s, weights=[doc, ~doc])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (u, v, w, s)), pa.array(t), pa.array(o)], ["u", "v", "w", "s", "t", "o"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (u, v, w, s)), pa.array(((t > 0) + 2 * (o > 0)).astype(np.int8))], ["u", "v", "w", "s", "seen"])
 
-    return small_batches(docs.select(text_col, label_col)).mapInArrow(run, "u long, v long, w long, s long, t long, o long").groupBy("u", "v", "w", "s").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return small_batches(docs.select(text_col, label_col)).mapInArrow(run, "u long, v long, w long, s long, seen byte").groupBy("u", "v", "w", "s").agg(F.bit_or("seen").alias("seen"))
 
 
 class Model:
-    """Counts as arrays behind hash maps, and the curve; bounded by FIT_ROWS and MIN_COUNT."""
+    """Counts as arrays behind hash maps, the sums of all counts, and the curve."""
 
-    def __init__(self, bigrams, words, starts, contexts, curve=None, prior=0.0):
+    def __init__(self, bigrams, words, starts, contexts, word_sums, start_sums, curve=None, prior=0.0):
         self.curve, self.prior = curve, prior
         self.bigram, self.n2 = self._table(tv.mix(bigrams[0].view(tv.U64)) ^ bigrams[1].view(tv.U64), bigrams[2:])
         self.word, self.k = self._table(words[0].view(tv.U64), words[1:])
         self.start, self.ks = self._table(starts[0].view(tv.U64), starts[1:])
         self.context, self.nv = self._table(contexts[0].view(tv.U64), contexts[1:])
-        self.total = np.maximum(words[1:].sum(axis=1), 1.0)
-        self.all_starts = np.maximum(starts[1:].sum(axis=1), 1.0)
-        self.back = [min(1.0, float(np.minimum(words[1 + c], DISCOUNT).sum()) / self.total[c]) + 1e-3 for c in (0, 1)]
-        self.back_s = [min(1.0, float(np.minimum(starts[1 + c], DISCOUNT).sum()) / self.all_starts[c]) + 1e-3 for c in (0, 1)]
+        self.total, self.back = self._shares(word_sums)
+        self.all_starts, self.back_s = self._shares(start_sums)
+
+    @staticmethod
+    def _shares(sums: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        """Sums of the counts of each class, and the shares of them that the discount takes."""
+        total = np.maximum(sums[:2], 1.0)
+        return total, [min(1.0, float(sums[2 + c]) / total[c]) + 1e-3 for c in (0, 1)]
 
     @staticmethod
     def _table(keys: np.ndarray, values: np.ndarray) -> tuple[tv.HashMap64, np.ndarray]:
@@ -143,25 +147,39 @@ def _arrays(df: DataFrame) -> np.ndarray:
     return np.array([pdf[c].to_numpy(np.int64) for c in df.columns]).reshape(len(df.columns), -1)
 
 
+def _sums(df: DataFrame) -> np.ndarray:
+    """Sums of t and o, and of what the discount takes of them."""
+    discounted = [F.sum(F.least(F.col(c), F.lit(DISCOUNT))) for c in ("t", "o")]
+    return np.array([x or 0 for x in df.agg(F.sum("t"), F.sum("o"), *discounted).first()], float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """A model from at most `rows` labelled documents of each class; labels holds id_col and label_col (0 or 1)."""
+    """A model from all labelled documents, its curve from at most `rows` of each class; labels holds id_col and label_col (0 or 1)."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col)
     shares = {r[label_col]: r["n"] for r in known.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = shares.get(1, 0) / max(sum(shares.values()), 1)
-    chosen = sample(known.where(F.col(label_col) == 1), id_col, rows).unionByName(sample(known.where(F.col(label_col) == 0), id_col, rows))
-    chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64(F.col(id_col), F.lit("calibrates")), F.lit(CALIBRATION_SHARE)) == 0)
-    text = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(label_col, "toxic")), id_col)  # at most 2 * rows rows
+    known = known.withColumn("calibrates", F.pmod(F.xxhash64(F.col(id_col), F.lit("calibrates")), F.lit(CALIBRATION_SHARE)) == 0)
+    chosen = known.where(~F.col("calibrates"))
+    for c in (1, 0):
+        chosen = chosen.unionByName(sample(known.where(F.col("calibrates") & (F.col(label_col) == c)), id_col, rows))
+    chosen = chosen.withColumnRenamed(label_col, "toxic")
+    if sum(shares.values()) <= BROADCAST_LABELS:
+        chosen = F.broadcast(chosen)
+    text = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen, id_col)
     text = materialize(text.select("text", "toxic", "calibrates"), "toxicity-fit")
+    trigrams = counts(text.where(~F.col("calibrates")), "text", "toxic")
+    differing = [F.count_if(F.col("seen").bitwiseAND(bit) > 0).alias(c) for c, bit in (("t", 1), ("o", 2))]
+    pairs = materialize(trigrams.groupBy("v", "w", "s").agg(*differing), "toxicity-bigrams")
+    own = F.greatest("t", "o") > BIGRAM_DISCOUNT
     differing = [F.count_if(F.col(c) > 0).alias(c) for c in ("t", "o")]
-    pairs = materialize(counts(text.where(~F.col("calibrates")), "text", "toxic").groupBy("v", "w", "s").agg(*differing), "toxicity-bigrams")
-    kept = F.col("t") + F.col("o") >= MIN_COUNT
-    words = pairs.groupBy("w", "s").agg(*differing)
+    words = materialize(pairs.groupBy("w", "s").agg(*differing, F.count_if(own).alias("ending")), "toxicity-words")
     followed = lambda c: F.sum(F.greatest(F.col(c) - BIGRAM_DISCOUNT, F.lit(0.0))).cast("long")
     contexts = pairs.groupBy("v").agg(F.sum("t").alias("t"), followed("t").alias("ft"), F.sum("o").alias("o"), followed("o").alias("fo"))
     starts = words.groupBy("s").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    above = F.greatest("t", "o") > DISCOUNT
     model = Model(
-        _arrays(pairs.where(F.greatest("t", "o") > BIGRAM_DISCOUNT).select("v", "w", "t", "o")), _arrays(words.where(kept).select("w", "t", "o")), _arrays(starts.where(kept)),
-        _arrays(contexts.where(kept)), prior=prior,
+        _arrays(pairs.where(own).select("v", "w", "t", "o")), _arrays(words.where(above | (F.col("ending") > 0)).select("w", "t", "o")), _arrays(starts.where(above)),
+        _arrays(contexts.where(F.col("ft") + F.col("fo") > 0)), _sums(words), _sums(starts), prior=prior,
     )
     if min(shares.get(0, 0), shares.get(1, 0)) == 0:
         return model

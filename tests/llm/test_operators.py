@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, op1_substring_dedup, op2_language, op3_quality, op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op8_html, op9_ngram_join, op10_exact_dedup, textvec
 from corpusmill.llm.components import components
@@ -264,6 +265,24 @@ def test_quality_and_toxicity_learn(spark):
         assert np.mean([a > b for a in right for b in wrong]) > 0.9
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + (f" odd{'abcdefghij'[i % 10]}" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    counted = {r.doc_id for r in known.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(op6_toxicity.CALIBRATION_SHARE)) != 0).collect()}
+    pairs, grams = (set(), set()), {}
+    for i, text in rows:
+        if i in counted:
+            words = re.findall("[a-z]+", text)
+            pairs[int(i % 4 != 0)].update(zip([None, *words], words))
+            for u, v, w in zip([None, None, *words], [None, *words], words):
+                grams.setdefault((v, w), (set(), set()))[int(i % 4 != 0)].add(u)
+    model = op6_toxicity.fit(docs, known, rows=10)
+    assert model.total.tolist() == [len(p) for p in pairs]
+    assert model.n2.shape[1] - 1 == sum(max(map(len, g)) > op6_toxicity.BIGRAM_DISCOUNT for g in grams.values())
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="ad">Buy this now, it is very cheap.</div><article><h1>Fish &amp; chips</h1><p>First   paragraph<br>goes on.<p>Second one &copy; here.</p><div class="share">Share this</div></article>
 <aside>Related things to read</aside><section id="comments"><p>I liked it a lot, thank you.</p></section><footer>&copy; us</footer></body></html>"""
