@@ -151,7 +151,7 @@ def ivf_topk(queries: DataFrame, chunks: DataFrame, lists: int = 100, probe: int
 def lsh_signatures(rows: DataFrame, key: str, dim: int, bands: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
     """key, band and sig: signs of seeded random projections, `bits` to a band."""
     rng = random.Random(seed)
-    plane = lambda: F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dim)])
+    plane = lambda: F.expr(f"array({', '.join(f'{rng.gauss(0, 1)!r}D' for _ in range(dim))})")
     side = lambda: F.when(F.aggregate(F.zip_with("embedding", plane(), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
     sigs = [sum((side() * (1 << b) for b in range(bits)), F.lit(0)).alias("sig") for _ in range(bands)]
     return rows.select(key, "embedding", F.posexplode(F.array(*sigs)).alias("band", "sig"))

@@ -255,10 +255,10 @@ def r14(spark, d):
 @query("r15_ivf_topk", None)
 def r15(spark, d):
     q, c = vectors(spark, d)
-    return R.ivf_topk(q, c, 20, 5, 10).withColumn("similarity", F.round("similarity", 6))
+    return R.ivf_topk(q, c, 20, 14, 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r16_lsh_topk", None)
 def r16(spark, d):
     q, c = vectors(spark, d)
-    return R.lsh_topk(q, c, 64, 10).withColumn("similarity", F.round("similarity", 6))
+    return R.lsh_topk(q, c, 64, 10, bands=64).withColumn("similarity", F.round("similarity", 6))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 from corpusmill.operators import cache, catalog, chunking, embedding, evaluation, indexing, observability, ratelimit, retrieval
 from corpusmill.operators import text as X
+from corpusmill.plans import search_queries
 from corpusmill.sources import corpus
 
 
@@ -141,6 +142,23 @@ def test_approximate_search_finds_most(spark):
         assert len(exact & found) / len(exact) >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["r15_ivf_topk", "r16_lsh_topk"])
+def test_registered_approximate_queries_find_nine_tenths(spark, name, sf):
+    import numpy as np
+
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    unit = np.stack(rows.embedding).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got: dict[int, set[int]] = {}
+    for r in search_queries.QUERIES[name](spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    ids = rows.vec_id.to_numpy()
+    asked = np.isin(ids, list(got))
+    best = ids[np.argsort(-(unit[asked] @ unit.T), axis=1, kind="stable")[:, :10]]
+    assert sum(len(got[q] & set(b)) for q, b in zip(ids[asked], best)) / best.size >= 0.9
+
+
 def test_entry_imports_without_training_operators(tmp_path):
     import os
     import shutil
