@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,18 @@ def maybe_broadcast(df: DataFrame, rows: int = QUERY_BLOCK) -> DataFrame:
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = PER_ARM, keys: list[str] | None = None) -> DataFrame:
     """query_id, chunk_id, similarity and rank: exact cosine over chunks with an embedding, within the columns in keys.
 
-    A stated, counted set of questions meets all chunks; every task keeps its own k best before anything moves.
+    A stated, counted set of questions meets all chunks, in blocks of about QUERY_BLOCK; every task keeps its own k best
+    before anything moves.
     """
-    q = maybe_broadcast(queries.withColumnRenamed("embedding", "__q"))
+    q = queries.withColumnRenamed("embedding", "__q")
     c = chunks.where(F.col("embedding").isNotNull())
-    paired = c.join(q, keys) if keys else c.crossJoin(q)
+    if keys:
+        paired = c.join(maybe_broadcast(q), keys)
+    else:
+        blocks = max(-(-q.count() // QUERY_BLOCK), 1)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        each = [c.crossJoin(F.broadcast(q.where(block == b) if blocks > 1 else q)).select("query_id", "chunk_id", "embedding", "__q") for b in range(blocks)]
+        paired = reduce(DataFrame.unionByName, each)
     return top(paired.select("query_id", "chunk_id", C.cosine(F.col("embedding"), F.col("__q")).alias("similarity")), "similarity", k)
 
 

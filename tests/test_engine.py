@@ -159,6 +159,24 @@ def test_registered_approximate_queries_find_nine_tenths(spark, name, sf):
     assert sum(len(got[q] & set(b)) for q, b in zip(ids[asked], best)) / best.size >= 0.9
 
 
+@pytest.mark.parametrize("name", ["r15_ivf_topk", "r16_lsh_topk"])
+def test_approximate_queries_ask_every_20th_vector(spark, name):
+    ids = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id").toPandas().vec_id
+    got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.01").select("query_id").distinct().toPandas().query_id
+    assert set(got) == set(ids[ids % 20 == 0])
+
+
+def test_dense_search_meets_blocks_of_queries(spark, monkeypatch):
+    c = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, 1.0]) for i in range(60)], "chunk_id long, embedding array<float>")
+    q = c.where("chunk_id % 4 = 0").withColumnRenamed("chunk_id", "query_id")
+    whole = {tuple(r) for r in retrieval.dense_topk(q, c, 5).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    blocked = retrieval.dense_topk(q, c, 5)
+    assert {tuple(r) for r in blocked.collect()} == whole and len(whole) == 75
+    plan = blocked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 4
+
+
 def test_entry_imports_without_training_operators(tmp_path):
     import os
     import shutil
