@@ -222,6 +222,23 @@ def test_substring_dedup(corpus):
         assert out[i].text == want.decode() and out[i].n_removed == len(covered)
 
 
+def test_every_passage_of_over_50_words_lines_up():
+    rng = random.Random(15)
+
+    def some(n: int, letters: str, stop: float) -> list[str]:
+        return ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) + ("." if rng.random() < stop else "") for _ in range(n)]
+
+    def hashes(words: list[str]) -> set[tuple[int, int]]:
+        raw = " ".join(words).encode()
+        return {(int(a), int(b)) for a, b in zip(*op1_substring_dedup._runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3:])}
+
+    for k in range(2000):
+        stop = [0, 0.03, 0.08, 0.15][k % 4]
+        passage = some(51, "abcdefgh", stop)
+        one, two = (hashes(some(rng.randint(0, 40), a, stop) + passage + some(rng.randint(0, 40), a, stop)) for a in ("ijklmn", "opqrst"))
+        assert one & two
+
+
 def test_language_spans(spark):
     rng = random.Random(8)
     one = lambda n: " ".join(rng.choice(["the", "thing", "with", "other", "ship"]) + rng.choice(["", "s"]) for _ in range(n))
