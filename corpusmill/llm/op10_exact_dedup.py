@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .spaces import documents, drop, materialize, parts
+from .spaces import documents, drop, free_name, materialize, parts
 
 SPACES = r"[\x20\x09-\x0D]+"
 SHARD_DIGESTS = 50_000
-ROW = "__row"
 INDEX = "shard long, n long, sizes array<long>, bits binary, digests binary, ids binary, rows binary, no_id binary, counts binary"
 
 
@@ -135,9 +134,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    base = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "dedup-base")
-    rows = materialize(base.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), F.col(ROW).alias("row")), "digests")
-    return base.join(verdicts(rows).where(~F.col("kept")).select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-base")
+    rows = materialize(base.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), F.col(row).alias("row")), "digests")
+    return base.join(verdicts(rows).where(~F.col("kept")).select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def verdicts(rows: DataFrame) -> DataFrame:

@@ -28,10 +28,9 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 from .sketches import bucket_counts, frequent, slots
-from .spaces import documents, materialize, parts, small_batches
+from .spaces import documents, free_name, materialize, parts, small_batches
 
 RUN, MIN_WORDS, LONG, WINDOW = 3, 16, 12, 12
-ROW, SPANS = "__row", "__spans"
 
 
 def _sliding(x: np.ndarray, n: int, least: Callable) -> np.ndarray:
@@ -98,7 +97,7 @@ def _runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text, here - first[text], to - here + 1, hashes[0], hashes[1]
 
 
-def runs(base: DataFrame, id_col: str, text_col: str, hot: np.ndarray, want_hot: bool) -> DataFrame:
+def runs(base: DataFrame, id_col: str, row_col: str, text_col: str, hot: np.ndarray, want_hot: bool) -> DataFrame:
     """h1, h2, id, row, at of the runs that are in frequent buckets, or of the others; at holds first sentence and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,32 +109,31 @@ def runs(base: DataFrame, id_col: str, text_col: str, hot: np.ndarray, want_hot:
                 rows = pa.array(text[keep] + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[keep].view(np.int64)), pa.array((h2[keep] >> tv.U64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at[keep] << 20) | np.minimum(count[keep], (1 << 20) - 1))], ["h1", "h2", "id", "row", "at"])
 
-    return small_batches(base.select(F.col(id_col).cast("long"), ROW, text_col)).mapInArrow(run, "h1 long, h2 int, id long, row long, at long")
+    return small_batches(base.select(F.col(id_col).cast("long"), row_col, text_col)).mapInArrow(run, "h1 long, h2 int, id long, row long, at long")
 
 
-def repeats(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeats(base: DataFrame, id_col: str, row_col: str, text_col: str) -> DataFrame:
     """row and at of every run that is not the first of its kind."""
     hot = frequent(bucket_counts(base, lambda buf, off: _runs(buf, off)[3], text_col))
     order = [F.col("id").isNull(), F.col("id"), F.col("row"), F.col("at")]
     place = Window.partitionBy("h1", "h2").orderBy(*order)
-    cold = runs(base, id_col, text_col, hot, False).withColumn("nth", F.row_number().over(place)).where(F.col("nth") > 1).select("row", "at")
+    cold = runs(base, id_col, row_col, text_col, hot, False).withColumn("nth", F.row_number().over(place)).where(F.col("nth") > 1).select("row", "at")
     if not hot.any():
         return cold
     salt = F.pmod(F.xxhash64("row"), F.lit(parts(base.sparkSession)))
     apart = Window.partitionBy("h1", "h2", salt).orderBy(*order)
-    many = materialize(runs(base, id_col, text_col, hot, True).withColumn("nth", F.row_number().over(apart)), "frequent-runs")
+    many = materialize(runs(base, id_col, row_col, text_col, hot, True).withColumn("nth", F.row_number().over(apart)), "frequent-runs")
     firsts = many.where(F.col("nth") == 1).withColumn("nth", F.row_number().over(place))
     return cold.unionByName(many.where(F.col("nth") > 1).select("row", "at")).unionByName(firsts.where(F.col("nth") > 1).select("row", "at"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with repeated sentences removed from the text, and n_sentences and n_removed (prefixed by __ where docs has such columns)."""
-    taken = {c.lower() for c in docs.columns}
-    n_all, n_gone = (c if c not in taken else f"__{c}" for c in ("n_sentences", "n_removed"))
-    base = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "substring-base")
-    spans = repeats(base, id_col, text_col).groupBy(F.col("row").alias(ROW)).agg(F.collect_set("at").alias(SPANS))  # bounded by one text's sentences
-    joined = base.join(spans, ROW, "left").select(*docs.columns, SPANS)
-    at, kind = docs.columns.index(text_col), docs.schema[text_col]
+    """All columns of docs, with repeated sentences removed from the text, and n_sentences and n_removed (with _ in front where docs has such columns)."""
+    n_all, n_gone, row, spans_col = (free_name(docs.columns, c) for c in ("n_sentences", "n_removed", "row", "spans"))
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "substring-base")
+    spans = repeats(base, id_col, row, text_col).groupBy(F.col("row").alias(row)).agg(F.collect_set("at").alias(spans_col))  # bounded by one text's sentences
+    joined = base.join(spans, row, "left").select(*docs.columns, spans_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

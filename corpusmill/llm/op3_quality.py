@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 from .folds import fold, sample
-from .spaces import documents, small_batches
+from .spaces import documents, free_name, small_batches
 
 FIT_ROWS = 6_000
 THRESHOLD = 0.3
@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of docs and the score; docs must not have a column of that name."""
+    """All columns of docs and the score, last, with _ in front of its name where docs has such a column."""
+    score_col = free_name(docs.columns, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
     at = docs.columns.index(text_col)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .components import components
 from .sketches import bucket_counts, slots
-from .spaces import documents, drop, materialize, small_batches
+from .spaces import documents, drop, free_name, materialize, small_batches
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
@@ -309,12 +309,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """All columns of one document of each component: the smallest id, a null id after all others, then the first row."""
-    base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-base")
-    found = jaccard_components(base, "__row", text_col, percent, shingle)
-    near = materialize(found.join(base.select(F.col("__row").alias("id"), F.col(id_col).alias("own")), "id"), "jaccard-rows")
-    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("first")).select(F.col("first.id").alias("__row"))
-    gone = near.select(F.col("id").alias("__row")).join(first, "__row", "left_anti")
-    return base.join(gone, "__row", "left_anti").select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    base = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-base")
+    found = jaccard_components(base, row, text_col, percent, shingle)
+    near = materialize(found.join(base.select(F.col(row).alias("id"), F.col(id_col).alias("own")), "id"), "jaccard-rows")
+    first = near.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("first")).select(F.col("first.id").alias(row))
+    gone = near.select(F.col("id").alias(row)).join(first, row, "left_anti")
+    return base.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one is set only where the session names none and runs on this machine alone (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             named = held.get()
-        else:
+        elif re.match(r"local($|\[)", sc.master):
             named = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
             sc.setCheckpointDir(named)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
-_written: list[str] = []
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, with as many _ in front as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Paths of the tables that are still there, by the name of their owner; None owns what no scratch() is around.
+_written: dict[str | None, list[str]] = {}
+_owners: list[str | None] = [None]
+
+
+@contextlib.contextmanager
+def scratch(owner: str) -> Iterator[None]:
+    """Tables that materialize() writes inside belong to owner, whom sweep() names."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -31,7 +56,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not keep:
-        _written.append(path)
+        _written.setdefault(_owners[-1], []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -47,14 +72,15 @@ def drop(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for t in tables:
         _delete(t.sparkSession, t.scratch_path)
-        if t.scratch_path in _written:
-            _written.remove(t.scratch_path)
+        for held in _written.values():
+            if t.scratch_path in held:
+                held.remove(t.scratch_path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes all tables that materialize() wrote, but those to keep. Only for where all earlier results have been written."""
-    while _written:
-        _delete(spark, _written.pop())
+def sweep(spark: SparkSession, owner: str) -> None:
+    """Deletes the tables of one owner. Only for where all results that read them have been written."""
+    for path in _written.pop(owner, []):
+        _delete(spark, path)
 
 
 def parts(spark: SparkSession) -> int:
