@@ -1,22 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 6).
 
-Two word-bigram models, toxic and ordinary, score every text. All counts are Kneser-Ney's continuation counts: of a
-bigram, the different words before it; of a word, the same; so copies and passages that many documents share weigh
-as one. Below the words stand shared counts of both classes, split over word beginnings by class:
-
-    P_c(w | v) = max(n_c(v w) - D2, 0) / n_c(v) + back_c(v) P_c(w)
-    P_c(w)     = max(k_c(w) - D, 0) / K_c + back_c P(w) P_c(start of w) / P(start of w)
-
-D and D2 are wide: an expression met a few times gives no class anything of its own. A text's log-likelihoods are
-compared per word, over the whole text and over every window of WINDOW words; a logistic curve, fitted on labelled
-rows that the counts have not seen, turns both into the score.
-
-The counts come from all labelled rows but those that calibrate, gathered by Spark; only the curve is fitted on at most
-FIT_ROWS rows of each class. The broadcast model leaves out what can't change a score: bigrams, words and starts that
-the discounts take to zero in both classes, and contexts that no bigram follows. Their counts stay in the sums.
-
-Defined cases: a null or empty text has no windows and is scored by the curve at zero; rows that repeat are scored
-each; with labels of one class only, or none, every score is the share of toxic labels; an empty table gives no rows.
+A toxic and an ordinary model of words score every text. Both count as Kneser and Ney do: a word by the different words
+before it, a word's start by the different words that begin so; copies and repeated passages therefore weigh as one.
+The discounts are the modified ones, estimated for each class and level from its counts of counts. What they take goes
+to counts that both classes share (a class gives a word no more of them than the discount takes), split over the starts
+of words by class:
+
+    P_c(w) = max(k_c(w) - D, 0) / K_c + back_c P(w) P_c(start of w) / P(start of w)
+    P_c(s) = max(t_c(s) - D, 0) / T_c + back_c P(s)
+
+So an expression met once gives neither class much of its own, and one that is new to both is judged by its start.
+A text's two log-likelihoods are normalised by its number of words, in two ways: the mean over its words of the log of
+P_toxic / P_ordinary, and the log of the mean of that ratio, to which a few very toxic words in a long text still count.
+A logistic curve, fitted on labelled rows that the counts have not seen, turns both into the score; it is shifted so
+that THRESHOLD is where the F1 of those rows is greatest.
+
+Counts come from all labelled rows but those that calibrate, gathered by Spark. The curve alone is fitted on at most
+FIT_ROWS rows of each class. Of the words the most frequent ones, at most MODEL_WORDS, are broadcast with their ratios;
+all others, each rare, meet the texts that have them in a join. Ratios of starts lie in an array of fixed size.
+
+Defined cases: a null or empty text has no words and is scored by the curve at zero; rows that repeat are scored each;
+labels other than 0 and 1, or of a null id, are left out; with labels of one class only, or none, every score is the
+share of toxic labels; where the table has a column named as the score is, the score's name gets _ in front; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,195 +31,230 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
 from .folds import fit_logistic, fold, sample
-from .spaces import documents, materialize, small_batches
+from .spaces import documents, free_name, materialize, small_batches
 
 FIT_ROWS = 6_000
 BROADCAST_LABELS = 1_000_000  # more labels meet the texts in a join that Spark picks
-DISCOUNT = 2.5
-BIGRAM_DISCOUNT = 10.0  # near copies of a text vary the word before a bigram, so it needs more of them
-WINDOW = 4
-START_BYTES = 5
+MODEL_WORDS = 4_000_000
+START_BYTES, START_BITS = 5, 22
+WORD_BITS = 64 - START_BITS
+UNSEEN = 0.1  # shared count of a word that no class has
 THRESHOLD = 0.7
 CALIBRATION_SHARE = 4  # one labelled row in so many calibrates instead of being counted
+CLASSES = ("t", "o")  # toxic, ordinary
 
 
-def _hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, hash of its first bytes, and the index of the first word of each text."""
+def word_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each word, whose upper START_BITS stand for its start, and the index of the first word of each text."""
     low = tv.lower_latin(buf)
     starts, ends, first = tv.letter_words(low, offsets)
     prefix = tv.prefix_hash(low)
-    head = np.minimum(ends, starts + START_BYTES)
-    return tv.span_hash(prefix, starts, ends), tv.mix_with(tv.span_hash(prefix, starts, head), 7), first
+    head = tv.mix_with(tv.span_hash(prefix, starts, np.minimum(ends, starts + START_BYTES)), 7)
+    return (head >> tv.U64(WORD_BITS)) << tv.U64(WORD_BITS) | tv.span_hash(prefix, starts, ends) >> tv.U64(START_BITS), first
 
 
 def _before(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each one; at a text's start a mark of its own."""
-    v = np.empty_like(words)
-    v[1:] = words[:-1]
-    v[first[:-1][first[:-1] < len(words)]] = tv.U64(1)
+    """32 bits of the word before each one; at a text's start a mark of its own."""
+    v = np.empty(len(words), np.int32)
+    v[1:] = (words[:-1] & tv.U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    v[first[:-1][first[:-1] < len(words)]] = 1
     return v
 
 
-def counts(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Trigrams u, v, w with s, the start of w, and in seen whether toxic (1) or ordinary (2) documents or both (3) have them."""
+def counts(text: DataFrame) -> DataFrame:
+    """w, t and o: every word with the number of different words before it in toxic and in ordinary texts (columns text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = tv.text_views(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in tv.chunks(off):
-                w, s, first = _hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                w, first = word_keys(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 doc = np.repeat(toxic[i:j], np.diff(first))
-                v = _before(w, first)
-                (u, v, w, s), (t, o) = tv.pair_counts(_before(v, first), v, w, s, weights=[doc, ~doc])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (u, v, w, s)), pa.array(((t > 0) + 2 * (o > 0)).astype(np.int8))], ["u", "v", "w", "s", "seen"])
+                (w, v), (t, o) = tv.pair_counts(w, _before(w, first), weights=[doc, ~doc])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v), pa.array(((t > 0) + 2 * (o > 0)).astype(np.int8))], ["w", "v", "seen"])
 
-    return small_batches(docs.select(text_col, label_col)).mapInArrow(run, "u long, v long, w long, s long, seen byte").groupBy("u", "v", "w", "s").agg(F.bit_or("seen").alias("seen"))
+    pairs = small_batches(text.select("text", "toxic")).mapInArrow(run, "w long, v int, seen byte").groupBy("w", "v").agg(F.bit_or("seen").alias("seen"))
+    return pairs.groupBy("w").agg(*(F.count_if(F.col("seen").bitwiseAND(bit) > 0).alias(c) for c, bit in zip(CLASSES, (1, 2))))
 
 
-class Model:
-    """Counts as arrays behind hash maps, the sums of all counts, and the curve."""
+class Level:
+    """Discounts, sums and shares of one level of counts, from its counts of counts; expressions of its probabilities."""
 
-    def __init__(self, bigrams, words, starts, contexts, word_sums, start_sums, curve=None, prior=0.0):
-        self.curve, self.prior = curve, prior
-        self.bigram, self.n2 = self._table(tv.mix(bigrams[0].view(tv.U64)) ^ bigrams[1].view(tv.U64), bigrams[2:])
-        self.word, self.k = self._table(words[0].view(tv.U64), words[1:])
-        self.start, self.ks = self._table(starts[0].view(tv.U64), starts[1:])
-        self.context, self.nv = self._table(contexts[0].view(tv.U64), contexts[1:])
-        self.total, self.back = self._shares(word_sums)
-        self.all_starts, self.back_s = self._shares(start_sums)
+    def __init__(self, table: DataFrame):
+        of = [f(c) for c in CLASSES for f in (lambda c: F.sum(c), *((lambda c, k=k: F.count_if(F.col(c) == k)) for k in (1, 2, 3, 4)), lambda c: F.count_if(F.col(c) > 2))]
+        found = np.array([x or 0 for x in table.agg(F.count(F.lit(1)), *of).first()], float)
+        self.discounts, self.total, self.back, self.shared = [], [], [], UNSEEN * (found[0] + 1)
+        for total, n1, n2, n3, n4, more in found[1:].reshape(2, 6):
+            d = self._discounts(n1, n2, n3, n4)
+            taken = d[0] * n1 + d[1] * n2 + d[2] * more
+            self.discounts.append(d)
+            self.total.append(max(total, 1.0))
+            self.back.append(max(taken / max(total, 1.0), 1e-3))
+            self.shared += taken
 
     @staticmethod
-    def _shares(sums: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        """Sums of the counts of each class, and the shares of them that the discount takes."""
-        total = np.maximum(sums[:2], 1.0)
-        return total, [min(1.0, float(sums[2 + c]) / total[c]) + 1e-3 for c in (0, 1)]
+    def _discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+        """The modified discounts of counts of one, two, and three or more."""
+        if not (n1 and n2):
+            return [0.75, 0.75, 0.75]
+        y = n1 / (n1 + 2 * n2)
+        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        return [min(max(d, 0.05), k) for d, k in zip(raw, (1.0, 2.0, 3.0))]
 
-    @staticmethod
-    def _table(keys: np.ndarray, values: np.ndarray) -> tuple[tv.HashMap64, np.ndarray]:
-        keys, at = np.unique(keys, return_index=True)
-        found = tv.HashMap64()
-        found.put(keys, np.arange(1, len(keys) + 1))
-        return found, np.column_stack([np.zeros(len(values)), values[:, at]]).astype(np.float32)
+    def taken(self, c: int) -> F.Column:
+        k, d = F.col(CLASSES[c]), self.discounts[c]
+        return F.when(k > 2, F.lit(d[2])).when(k == 2, F.lit(d[1])).when(k == 1, F.lit(d[0])).otherwise(F.lit(0.0))
 
-    @staticmethod
-    def _values(table: tuple[tv.HashMap64, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        return table[1][:, np.maximum(table[0].get(keys), 0)]
-
-    def ratios(self, w: np.ndarray, s: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word."""
-        k, ks = self._values((self.word, self.k), w), self._values((self.start, self.ks), s)
-        n2, nv = self._values((self.bigram, self.n2), tv.mix(v) ^ w), self._values((self.context, self.nv), v)
-        shared = (k.sum(axis=0) + 1) / (self.total.sum() + 1)
-        shared_s = (ks.sum(axis=0) + 1) / (self.all_starts.sum() + 1)
-        log = []
-        for c in (0, 1):
-            p_s = np.maximum(ks[c] - DISCOUNT, 0) / self.all_starts[c] + self.back_s[c] * shared_s
-            p = np.maximum(k[c] - DISCOUNT, 0) / self.total[c] + self.back[c] * shared * p_s / shared_s
-            n = np.maximum(nv[2 * c], 1.0)
-            own = np.maximum(n2[c] - BIGRAM_DISCOUNT, 0) / n
-            log.append(np.log(own + (1 - np.minimum(nv[2 * c + 1] / n, 0.95)) * p))
-        return log[0] - log[1]
-
-    def features(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each text: the mean of the ratios, their largest mean over a window, and the largest single one."""
-        w, s, first = _hashes(buf, offsets)
-        n = np.diff(first)
-        if not len(w):
-            return np.zeros((len(n), 3))
-        ratio = self.ratios(w, s, _before(w, first))
-        total = np.concatenate([[0], np.cumsum(ratio)])
-        mean = np.diff(total[first]) / np.maximum(n, 1)
-        ends = np.minimum(np.arange(len(w)) + WINDOW, np.repeat(first[1:], n))
-        whole = ends - np.arange(len(w)) == np.repeat(np.minimum(n, WINDOW), n)
-        window = np.where(whole, (total[ends] - total[:-1]) / np.maximum(ends - np.arange(len(w)), 1), -np.inf)
-        return np.column_stack([mean, tv.maxima(window, first), tv.maxima(ratio, first)])
-
-    def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.curve is None:
-            return np.full(len(offsets) - 1, self.prior)
-        return 1 / (1 + np.exp(-np.clip(self.features(buf, offsets) @ self.curve[:-1] + self.curve[-1], -30, 30)))
-
-
-def _arrays(df: DataFrame) -> np.ndarray:
-    pdf = df.toPandas()
-    return np.array([pdf[c].to_numpy(np.int64) for c in df.columns]).reshape(len(df.columns), -1)
-
-
-def _sums(df: DataFrame) -> np.ndarray:
-    """Sums of t and o, and of what the discount takes of them."""
-    discounted = [F.sum(F.least(F.col(c), F.lit(DISCOUNT))) for c in ("t", "o")]
-    return np.array([x or 0 for x in df.agg(F.sum("t"), F.sum("o"), *discounted).first()], float)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
+    def common(self) -> F.Column:
+        """The probability by the counts that the classes share."""
+        return (self.taken(0) + self.taken(1) + UNSEEN) / self.shared
+
+    def own(self, c: int) -> F.Column:
+        return (F.col(CLASSES[c]) - self.taken(c)) / self.total[c]
+
+
+class Model:
+    """Log ratios of words and of starts, those of rare words as a table of Spark, and the curve."""
+
+    def __init__(self, words: np.ndarray, ratios: np.ndarray, starts: np.ndarray, tail: DataFrame | None, prior: float):
+        self.found = tv.HashMap64()
+        self.found.put(words, np.arange(1, len(words) + 1))
+        self.ratios = np.concatenate([np.zeros(1, np.float32), ratios.astype(np.float32)])
+        self.starts, self.tail, self.prior, self.curve = starts.astype(np.float32), tail, prior, None
+
+    def arrays(self) -> tuple:
+        """What tasks need."""
+        return self.found, self.ratios, self.starts, self.tail is not None
+
+
+def _of_texts(held: tuple, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each text: its words, the sum of their log ratios, the sum of their ratios; and the words that the arrays lack, with the text of each."""
+    found, ratios, starts, tail = held
+    w, first = word_keys(buf, offsets)
+    n = np.diff(first)
+    kinds, back = np.unique(w, return_inverse=True)
+    at = found.get(kinds)
+    r = np.where(at > 0, ratios[np.maximum(at, 0)], starts[(kinds >> tv.U64(WORD_BITS)).astype(np.int64)]).astype(float)[back]
+    lost = np.flatnonzero((at <= 0)[back]) if tail else np.zeros(0, np.int64)
+    return n, tv.sums(r, first), tv.sums(np.exp(r), first), w[lost], np.repeat(np.arange(len(n)), n)[lost]
+
+
+def likelihoods(text: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of text and three more, whose names come second: words, and sums over them of the log ratio and of the ratio."""
+    spark = text.sparkSession
+    held = spark.sparkContext.broadcast(model.arrays())
+    row = free_name(text.columns, "row")
+    names = [free_name([*text.columns, row], x) for x in ("words", "log_ratios", "ratios")]
+    lost_name = free_name([*text.columns, row, *names], "lost")
+    kinds = [T.LongType(), T.DoubleType(), T.DoubleType()]
+    if model.tail is not None:
+        text = materialize(text.withColumn(row, F.monotonically_increasing_id()), "toxicity-rows")
+    at, more = text.columns.index(text_col), [lost_name] if model.tail is not None else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tv.text_views(batch.column(at))
+            for i, j in tv.chunks(off):
+                n, a, b, lost, owner = _of_texts(held.value, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                cols = [*(c.slice(i, j - i) for c in batch.columns), pa.array(n), pa.array(a), pa.array(b)]
+                if more:
+                    edges = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(lost.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, *names, *more])
+
+    schema = [*text.schema.fields, *(T.StructField(x, k) for x, k in zip(names, kinds)), *(T.StructField(x, T.ArrayType(T.LongType())) for x in more)]
+    out = small_batches(text).mapInArrow(run, T.StructType(schema))
+    if model.tail is None:
+        return out, names
+    out = materialize(out, "toxicity-likelihoods")
+    rare = out.select(F.col(row).alias("row"), F.explode(lost_name).alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("n")).join(model.tail, "w")
+    rare = rare.groupBy("row").agg(F.sum(F.col("n") * (F.col("r") - F.col("base"))).alias("more_a"), F.sum(F.col("n") * (F.exp("r") - F.exp("base"))).alias("more_b"))
+    out = out.join(rare.withColumnRenamed("row", row), row, "left")
+    for x, add in zip(names[1:], ("more_a", "more_b")):
+        out = out.withColumn(x, F.col(x) + F.coalesce(F.col(add), F.lit(0.0)))
+    return out.drop(row, lost_name, "more_a", "more_b"), names
+
+
+def _features(names: list[str]) -> tuple[F.Column, F.Column]:
+    """The length-normalised log-likelihoods' difference, and the log of the mean ratio; both 0 without words."""
+    n, a, b = (F.col(x) for x in names)
+    return F.when(n > 0, a / n).otherwise(0.0), F.when(n > 0, F.log(b / n)).otherwise(0.0)
+
+
+def _best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The cut of greatest F1, amid the gap between the scores that it parts."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, w = z[order], y[order] > 0, w[order]
+    right, taken = np.cumsum(w * hit), np.cumsum(w)
+    f1 = 2 * right / (taken + right[-1])
+    f1[:-1][z[1:] == z[:-1]] = -1  # no cut parts ties
+    k = int(np.argmax(f1))
+    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k]) - 1.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, model_words: int = MODEL_WORDS) -> Model:
     """A model from all labelled documents, its curve from at most `rows` of each class; labels holds id_col and label_col (0 or 1)."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col)
-    shares = {r[label_col]: r["n"] for r in known.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("toxic"))
+    shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = shares.get(1, 0) / max(sum(shares.values()), 1)
+    none = np.zeros(0, tv.U64)
+    if min(shares.get(0, 0), shares.get(1, 0)) == 0:
+        return Model(none, np.zeros(0), np.zeros(1 << START_BITS), None, prior)
     known = known.withColumn("calibrates", F.pmod(F.xxhash64(F.col(id_col), F.lit("calibrates")), F.lit(CALIBRATION_SHARE)) == 0)
     chosen = known.where(~F.col("calibrates"))
     for c in (1, 0):
-        chosen = chosen.unionByName(sample(known.where(F.col("calibrates") & (F.col(label_col) == c)), id_col, rows))
-    chosen = chosen.withColumnRenamed(label_col, "toxic")
+        chosen = chosen.unionByName(sample(known.where(F.col("calibrates") & (F.col("toxic") == c)), id_col, rows))
     if sum(shares.values()) <= BROADCAST_LABELS:
         chosen = F.broadcast(chosen)
     text = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen, id_col)
     text = materialize(text.select("text", "toxic", "calibrates"), "toxicity-fit")
-    trigrams = counts(text.where(~F.col("calibrates")), "text", "toxic")
-    differing = [F.count_if(F.col("seen").bitwiseAND(bit) > 0).alias(c) for c, bit in (("t", 1), ("o", 2))]
-    pairs = materialize(trigrams.groupBy("v", "w", "s").agg(*differing), "toxicity-bigrams")
-    own = F.greatest("t", "o") > BIGRAM_DISCOUNT
-    differing = [F.count_if(F.col(c) > 0).alias(c) for c in ("t", "o")]
-    words = materialize(pairs.groupBy("w", "s").agg(*differing, F.count_if(own).alias("ending")), "toxicity-words")
-    followed = lambda c: F.sum(F.greatest(F.col(c) - BIGRAM_DISCOUNT, F.lit(0.0))).cast("long")
-    contexts = pairs.groupBy("v").agg(F.sum("t").alias("t"), followed("t").alias("ft"), F.sum("o").alias("o"), followed("o").alias("fo"))
-    starts = words.groupBy("s").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    above = F.greatest("t", "o") > DISCOUNT
-    model = Model(
-        _arrays(pairs.where(own).select("v", "w", "t", "o")), _arrays(words.where(above | (F.col("ending") > 0)).select("w", "t", "o")), _arrays(starts.where(above)),
-        _arrays(contexts.where(F.col("ft") + F.col("fo") > 0)), _sums(words), _sums(starts), prior=prior,
-    )
-    if min(shares.get(0, 0), shares.get(1, 0)) == 0:
-        return model
-    seen = features(text.where("calibrates"), docs.sparkSession.sparkContext.broadcast(model)).toPandas()
+    words = materialize(counts(text.where(~F.col("calibrates"))).withColumn("s", F.shiftrightunsigned("w", WORD_BITS)), "toxicity-words")
+    starts = materialize(words.groupBy("s").agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES)), "toxicity-starts")
+    of_words, of_starts = Level(words), Level(starts)
+    share = [(of_starts.own(c) + of_starts.back[c] * of_starts.common()) / of_starts.common() for c in (0, 1)]
+    starts = starts.select("s", *(x.alias(f"share_{c}") for c, x in zip(CLASSES, share)))
+    base = F.log(of_words.back[0] * F.col("share_t") / (of_words.back[1] * F.col("share_o")))
+    each = [of_words.own(c) + of_words.back[c] * of_words.common() * F.col(f"share_{CLASSES[c]}") for c in (0, 1)]
+    scored = words.join(starts, "s").select("w", (F.col("t") + F.col("o")).alias("k"), F.log(each[0] / each[1]).alias("r"), base.alias("base"))
+    held = np.full(1 << START_BITS, np.log(of_words.back[0] * of_starts.back[0] / (of_words.back[1] * of_starts.back[1])))
+    for r in [starts.select("s", base.alias("base")).toPandas()]:  # at most 2 ** START_BITS rows
+        held[r["s"].to_numpy(np.int64)] = r["base"].to_numpy(float)
+    many, least = 0, 1 << 40
+    for r in words.groupBy(F.least(F.col("t") + F.col("o"), F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
+        if many + r["n"] > model_words:
+            break
+        many, least = many + r["n"], r["k"]
+    top = scored.where(F.col("k") >= least).select("w", "r").toPandas()
+    tail = materialize(scored.where(F.col("k") < least).select("w", "r", "base"), "toxicity-tail") if least > 1 else None
+    model = Model(top["w"].to_numpy(np.int64).view(tv.U64), top["r"].to_numpy(float), held, tail, prior)
+    seen, names = likelihoods(text.where("calibrates"), model)
+    seen = seen.select("toxic", *(x.alias(f"x{k}") for k, x in enumerate(_features(names)))).toPandas()
     y = seen["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.curve = fit_logistic(np.array(seen["x"].tolist()), y, weight)
+        x = seen[["x0", "x1"]].to_numpy(float)
+        curve = fit_logistic(x, y, weight)
+        curve[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ curve[:-1] + curve[-1], y, weight)
+        model.curve = curve
     return model
 
 
-def features(text: DataFrame, model: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tv.text_views(batch.column(0))
-            for i, j in tv.chunks(off):
-                x = model.value.features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
-
-    return small_batches(text.select("text", F.col("toxic").cast("long").alias("toxic"))).mapInArrow(run, "toxic long, x array<double>")
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of docs and the score; docs must not have a column of that name."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tv.text_views(batch.column(at))
-            out = [shared.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in tv.chunks(off)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, score_col])
-
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    """All columns of docs and the score, last."""
+    name = free_name(docs.columns, score_col)
+    if model.curve is None:
+        return docs.withColumn(name, F.lit(float(model.prior)))
+    out, names = likelihoods(docs, model, text_col)
+    x0, x1 = _features(names)
+    z = x0 * float(model.curve[0]) + x1 * float(model.curve[1]) + float(model.curve[2])
+    return out.withColumn(name, 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).select(*docs.columns, name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
