@@ -8,10 +8,11 @@ one (c = 1) in inverted lists. The boundary minimises the expected number of row
 mean list length. In the global order, elements that a count in fixed space shows as frequent come last, the others by
 hash, so that lists stay short; which ones count as frequent changes the work, never the result.
 
-Lists are not expanded into pairs. In each list every member first meets one leader; pairs that a parity signature
-cannot rule out are verified on the full sets, and components are built. Lists whose members are in one component are
-done. After LEADER_ROUNDS rounds, members of the remaining lists meet every member of another component, the exact way
-for the rest, again behind the signature, which gives a lower bound of the sets' difference.
+Lists are not expanded into pairs. In each list every member first meets one leader; pairs that sizes and a parity
+signature cannot rule out are verified on the full sets, and components are built. Lists whose members are in one
+component are done, and members only meet those of another component. After LEADER_ROUNDS rounds, members of the
+remaining lists meet every member of another component, the exact way for the rest, again behind the signature, which
+gives a lower bound of the sets' difference and is wide enough for a set's size to rule out unrelated ones.
 
 Equal sets and nodes are told apart by a 64-bit sum of hashes. Defined cases: a text without words, or null, has an
 empty set and is linked with nothing; a text with fewer words than a shingle has its whole sequence as one; of rows
@@ -35,7 +36,7 @@ from .spaces import documents, drop, free_name, materialize, small_batches
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS = 20
 SIGNATURE = 32  # lanes of 64 bits
-NARROW = 8  # lanes that the last round's lists carry; whole signatures follow for the pairs it finds
+NARROW, NARROW_SIZE = 8, 2_000  # lanes of sets up to that size in the last round's lists, of which unrelated sets differ in too many bits to link
 LEADER_ROUNDS = 2
 FILTER_BITS = 23
 
@@ -187,9 +188,21 @@ def _folded(lanes: int) -> list[F.Column]:
 
 def _may_link(percent: int, lanes: int = SIGNATURE) -> F.Column:
     """False where sizes or signatures of the rows a and b rule out the similarity."""
-    small, big = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
     both = F.col("a.size") + F.col("b.size")
-    return (small * 100 >= big * percent) & (_apart("a", "b", lanes) * (100 + percent) <= both * (100 - percent))
+    return _sizes_fit("a.size", "b.size", percent) & (_apart("a", "b", lanes) * (100 + percent) <= both * (100 - percent))
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> F.Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _rest(lists: DataFrame, short: DataFrame, percent: int, lanes: int, which: F.Column) -> DataFrame:
+    """Pairs a, b of one list and two components that sizes and signatures don't rule out; members of a list's main component don't meet each other."""
+    leaders = lists.groupBy("key").agg(F.min_by("comp", F.xxhash64("node")).alias("main"))
+    known = lists.select("key", "node", "comp").join(leaders, "key").join(short.select("node", "size", *_folded(lanes)), "node")
+    apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    met = known.where(F.col("comp") != F.col("main")).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & which & _may_link(percent, lanes))
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def full_sets(docs: DataFrame, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -271,30 +284,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(full)
     about = materialize(unique.select("node", "size", "text_hash", "whole", *(F.col("sig")[k].alias(f"s{k}") for k in range(SIGNATURE))), "jaccard-signatures")
     short = about.drop("whole", "text_hash")
-    entries = unique.select("node", F.explode("keys").alias("key"))
+    entries = unique.select("node", "size", F.explode("keys").alias("key"))
     listed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    lists = materialize(entries.join(listed.select("key"), "key", "left_semi"), "lists")
+    lists = materialize(entries.join(listed.select("key"), "key", "left_semi").withColumn("comp", F.col("node")), "lists")
     drop(unique)
     links = None
     for turn in range(LEADER_ROUNDS + 1):
         if links is not None:
             comp = components(links)
-            labelled = lists.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-            labelled, old = materialize(labelled, "labelled"), lists
+            labelled = materialize(lists.drop("comp").join(comp, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp")), "labelled")
+            old = lists
             drop(old)
             open_lists = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
             lists = materialize(labelled.join(open_lists.select("key"), "key", "left_semi"), "lists")
             drop(labelled, comp)
         if turn < LEADER_ROUNDS:
-            leaders = lists.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("leader"))
-            pairs = lists.join(leaders, "key").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
+            # First one node leads many lists, so that few pairs settle most; then every list draws its own leader.
+            order = F.xxhash64("node", "key") if turn else F.xxhash64("node")
+            leaders = lists.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("comp").alias("leader_comp")), order).alias("l")).select("key", "l.*")
+            met = lists.join(leaders, "key").where((F.col("comp") != F.col("leader_comp")) & _sizes_fit("size", "leader_size", percent))
+            met = met.select(F.least("node", "leader").alias("x"), F.greatest("node", "leader").alias("y")).distinct()
             a, b = short.withColumnRenamed("node", "x").alias("a"), short.withColumnRenamed("node", "y").alias("b")
-            pairs = pairs.join(a, "x").join(b, "y").where(_may_link(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+            pairs = met.join(a, "x").join(b, "y").where(_may_link(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         else:
-            leaders = lists.groupBy("key").agg(F.min_by("comp", F.xxhash64("node", F.lit(0))).alias("main"))
-            known = lists.join(leaders, "key").join(short.select("node", "size", *_folded(NARROW)), "node")
-            apart = (F.col("a.comp") != F.col("b.comp")) & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-            pairs = known.where(F.col("comp") != F.col("main")).alias("a").join(known.alias("b"), (F.col("a.key") == F.col("b.key")) & apart & _may_link(percent, NARROW)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            pairs = _rest(lists, short.where(F.col("size") <= NARROW_SIZE), percent, NARROW, F.greatest("a.size", "b.size") <= NARROW_SIZE)
+            pairs = pairs.unionByName(_rest(lists, short.where(F.col("size") * 100 >= NARROW_SIZE * percent), percent, SIGNATURE, F.greatest("a.size", "b.size") > NARROW_SIZE))
         more = verified(docs, text_col, pairs, about, percent, shingle)
         links = more if links is None else links.unionByName(more)
     comp = components(links)
