@@ -1,28 +1,45 @@
 """Main text of HTML pages by minimum-cut labelling (operator 8).
 
-A page is read once into blocks of text with the open elements around them. A small classifier turns each block's
-surroundings, link share and length into the odds of being content; its two costs become the capacities to the
-terminals. Neighbouring blocks, and blocks of one section that others separate, are tied by smoothness edges. The
-minimum cut separates content from boilerplate: blocks whose terminal outweighs all their edges are settled first,
-which never changes the cut, and augmenting paths settle the rest.
+A page is read once into blocks of text with the open elements around them. A logistic classifier turns what a block
+looks like and what it stands in into the odds of being content; its two costs become the capacities to the terminals.
+Neighbouring blocks, and blocks of one section that others separate, are tied by smoothness edges. A maximum flow gives
+the minimum cut that separates content from boilerplate: blocks whose terminal outweighs all their edges are settled
+first, which never changes the cut; blocking flows (Dinic) settle the rest.
+
+Pages carry no labels, so the classifier learns from what the pages say of themselves: blocks in `article` and `main`
+are content, those in navigation, footers, asides, forms and elements named like adverts, menus or comments are not.
+Each such block teaches twice, once with and once without these signs, so that looks are learned too. A tie's weight is
+the log-odds that two blocks so tied have one label. Both are drawn towards DEFAULT and TIES, which alone hold without a
+fit, by PULL of the sample. The fit reads at most FIT_PAGES pages and FIT_BLOCKS blocks of each (documented bounds).
+
+Reading and flow take time in proportion to a page's length but for odd flows: tags that never close, quotes that never
+end, and depth cost no more than others.
 
 Defined cases: a null or empty page has the empty text; rows that repeat are read each; unclosed elements end with the
-page; character references are decoded, those cut off stay as they are; other columns are not read.
+page; a tag that the page cuts off is dropped; character references are decoded, those cut off stay as they are; an
+empty table gives no rows; other columns pass through, but those named as the two that are added.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import exp, log, log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .folds import sample
 from .spaces import small_batches
 
+FIT_PAGES, FIT_BLOCKS = 2_000, 200
+PULL = 0.02
+
 #: Elements that start and end a block of text; elements whose content is never text; void elements.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("head title noscript template iframe object svg math canvas audio video button select option datalist input textarea".split())
@@ -35,192 +52,365 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer foot header masthead topbar toolbar "
     "cookie cookies consent notice notices alert popup modal overlay subscribe subscription newsletter signup login search share sharing social related recommended comment comments commentlist disqus respond reply replies widget pagination pager copyright legal".split()
 )
+RAW = frozenset("script style".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ITEM = frozenset("li td dd".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-NEAR, SAME_SECTION, CROSSING = 1.0, 0.5, 0.2
+PLAIN, NAMED, INSIDE, OUTSIDE = 0, 1, 2, -1  # what a block stands in: nothing known, a good name, a content section, boilerplate
 
+#: Weights of a block's looks and signs, in the order of features(), and of the ties, that a fit starts from.
+DEFAULT = np.array([-0.5, 0.6, -4.0, 0.5, 1.0, -0.5, 4.0, 2.0, -8.0])
+SIGNS = 3  # the last so many features are signs
+TIES = np.array([1.0, 0.5, 0.2])
+NEAR, SAME_SECTION, CROSSING = 0, 1, 2
+STRONGEST = 2.0
 
-class Block:
-    """Text of a block, characters of it inside links, its section and how content-like its surroundings are."""
-
-    __slots__ = ("text", "linked", "section", "leaning", "tag")
 
-    def __init__(self, text: str, linked: int, section: int, leaning: float, tag: str):
-        self.text, self.linked, self.section, self.leaning, self.tag = text, linked, section, leaning, tag
-
-
-def _leaning(tag: str, attributes: str, above: float) -> float:
-    """How an element changes what is inside it: content (up to 4) or boilerplate (down to -8)."""
+class Block:
+    """Text of a block, characters of it inside links, its section, what it stands in, and its element."""
+
+    __slots__ = ("text", "linked", "section", "place", "tag")
+
+    def __init__(self, text: str, linked: int, section: int, place: int, tag: str):
+        self.text, self.linked, self.section, self.place, self.tag = text, linked, section, place, tag
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in page order, in one pass."""
+    at, n = 0, len(page)
+    lost = set()  # what the rest of the page is known not to have
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", page[at:], ""
+            return
+        if lt > at:
+            yield "text", page[at:lt], ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = TAG.match(page, lt)
+        if not m:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/") and lt + 1 < n:
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            else:
+                yield "text", "<", ""
+                at = lt + 1
+            continue
+        end, name = m.end(), m[2].lower()
+        while True:
+            q = QUOTE_OR_END.search(page, end)
+            if q is None:
+                return
+            if q[1] is None or q[1] in lost:
+                end = q.end() if q[1] is None else page.find(">", q.end()) + 1
+                break
+            close = page.find(q[1], q.end())
+            if close < 0:
+                lost.add(q[1])
+                end = page.find(">", q.end()) + 1
+                break
+            end = close + 1
+        if not end:
+            return
+        yield ("close" if m[1] else "open"), name, page[m.end() : end - 1]
+        at = end
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = n if close is None else close.end()
+
+
+def _place(tag: str, attributes: str, above: int) -> int:
+    """What an element's inside stands in."""
     names = {p.lower() for m in NAMES.finditer(attributes) for p in PIECES.findall(m[1] or m[2] or m[3] or "")} if attributes else ()
-    if tag in BAD_TAGS or (tag == "header" and above < 4) or BAD_NAMES.intersection(names):
-        return -8.0
-    if above < 0:
-        return above
+    if above == OUTSIDE or tag in BAD_TAGS or (tag == "header" and above != INSIDE) or BAD_NAMES.intersection(names):
+        return OUTSIDE
     if tag in GOOD_TAGS:
-        return 4.0
-    return max(above, 2.0) if GOOD_NAMES.intersection(names) else above
+        return INSIDE
+    return max(above, NAMED) if GOOD_NAMES.intersection(names) else above
 
 
 def blocks(page: str) -> list[Block]:
+    """Blocks in page order; a block's section is the nearest element around it that holds other blocks too, or stands for something else than what is around it."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]  # tag, leaning, section, silent
+    stack: list[tuple[str, int, int, bool]] = [("", PLAIN, 0, False)]  # tag, place, number, silent
+    around, places = [0], [PLAIN]  # of every element the number of the one around it, and its place
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked = sections = links = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            tag, leaning, section, _ = stack[-1]
-            out.append(Block(text, linked, section, leaning, tag))
+            tag, place, number, _ = stack[-1]
+            out.append(Block(text, linked, number, place, tag))
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        text = m[5]
-        if text is not None:
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    for kind, tag, attributes in tokens(page):
+        if kind == "text":
             if not stack[-1][3]:
-                parts.append(text)
+                parts.append(tag)
                 if links:
-                    linked += len(text)
-            continue
-        tag = m[3]
-        if tag is None:
+                    linked += len(tag)
             continue
-        tag = tag.lower()
         block = tag in BLOCK
         if block:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if m[2]:
+        if kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
-        elif tag not in VOID and not m[4].endswith("/"):
+            if opened[tag] > 0:
+                while pop() != tag:
+                    pass
+        elif tag not in VOID and tag not in RAW and not attributes.endswith("/"):
             if block and tag in ("p", "li", "td", "tr", "dd", "dt", "option") and stack[-1][0] == tag:
-                stack.pop()
+                pop()
             if block and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             if tag == "a":
                 links += 1
             if block or tag in SILENT:
-                _, above, section, silent = stack[-1]
-                leaning = _leaning(tag, m[4], above)
-                if leaning != above or tag in ("div", "section", "ul", "ol", "table"):
-                    sections += 1
-                    section = sections
-                stack.append((tag, leaning, section, silent or tag in SILENT))
+                _, above, number, silent = stack[-1]
+                place = _place(tag, attributes, above)
+                stack.append((tag, place, len(around), silent or tag in SILENT))
+                around.append(number)
+                places.append(place)
+                opened[tag] += 1
     flush()
+    held = [0] * len(around)
+    for b in out:
+        held[b.section] += 1
+    for e in range(len(around) - 1, 0, -1):
+        held[around[e]] += held[e]
+    section = list(range(len(around)))
+    for e in range(1, len(around)):
+        if held[e] < 2 and places[e] == places[around[e]]:
+            section[e] = section[around[e]]
+    for b in out:
+        b.section = section[b.section]
     return out
 
 
-def odds(b: Block) -> float:
-    """The classifier: log-odds that a block is content."""
-    words = b.text.count(" ") + 1
-    score = b.leaning - 0.5 + 0.6 * log1p(words) - 4.0 * min(1.0, b.linked / len(b.text))
-    if b.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-        score += 1.0
-    if b.tag in ("li", "td", "dd"):
-        score -= 0.5
-    return score
-
-
-def edges(found: list[Block]) -> list[dict[int, float]]:
-    out: list[dict[int, float]] = [{} for _ in found]
-    last: dict[int, int] = {}
+def features(b: Block) -> list[float]:
+    """Looks of a block: a constant, words, share in links, whether it ends as a sentence, its element; then its signs."""
+    looks = [1.0, log1p(b.text.count(" ") + 1), min(1.0, b.linked / len(b.text)), float(b.text[-1] in ".!?…\"'”»)"), float(b.tag in PROSE), float(b.tag in ITEM)]
+    return [*looks, float(b.place == INSIDE), float(b.place == NAMED), float(b.place == OUTSIDE)]
 
-    def tie(i: int, j: int, w: float) -> None:
-        out[i][j] = out[i].get(j, 0.0) + w
-        out[j][i] = out[j].get(i, 0.0) + w
 
+def ties(found: list[Block]) -> list[tuple[int, int, int]]:
+    """Pairs of blocks that are tied, and how."""
+    out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            tie(i - 1, i, NEAR if found[i - 1].section == b.section else CROSSING)
+            out.append((i - 1, i, NEAR if found[i - 1].section == b.section else CROSSING))
         if last.get(b.section, i - 1) < i - 1:
-            tie(last[b.section], i, SAME_SECTION)
+            out.append((last[b.section], i, SAME_SECTION))
         last[b.section] = i
     return out
 
 
-def min_cut(content: list[float], rest: list[float], ties: list[dict[int, float]]) -> list[bool]:
-    """True for the nodes on the content side of a minimum cut; content[i] is paid if i is cut from it, rest[i] if not."""
-    n = len(content)
-    lead = [content[i] - rest[i] for i in range(n)]
+class Model:
+    """Weights of the classifier and of the ties."""
+
+    def __init__(self, weights: np.ndarray = DEFAULT, tie: np.ndarray = TIES):
+        self.weights, self.tie = [float(x) for x in weights], [float(x) for x in tie]
+
+    def odds(self, b: Block) -> float:
+        return max(-12.0, min(12.0, sum(x * w for x, w in zip(features(b), self.weights))))
+
+
+UNIT = 1 << 20  # capacities are whole numbers, so that flows end exactly
+
+
+def min_cut(lead: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """True for the nodes on the content side of a minimum cut; lead is what cutting a node from content costs more than keeping it."""
+    n = len(lead)
+    lead = [round(x * UNIT) for x in lead]
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for i, j, w in edges:
+        w = round(w * UNIT)
+        if w:
+            near[i].append((j, w))
+            near[j].append((i, w))
     label: list[bool | None] = [None] * n
+    free = [sum(w for _, w in t) for t in near]
     todo = deque(range(n))
-    free = [sum(t.values()) for t in ties]
     while todo:  # a terminal that outweighs all open edges decides
         i = todo.popleft()
         if label[i] is not None or abs(lead[i]) < free[i]:
             continue
         label[i] = lead[i] > 0
-        for j, w in ties[i].items():
+        for j, w in near[i]:
             if label[j] is None:
                 lead[j] += w if label[i] else -w
                 free[j] -= w
                 todo.append(j)
     core = [i for i in range(n) if label[i] is None]
-    if not core:
-        return [bool(x) for x in label]
-    source, sink = n, n + 1
-    cap: dict[int, dict[int, float]] = {i: {j: w for j, w in ties[i].items() if label[j] is None} for i in core} | {source: {}, sink: {}}
-    for i in core:
-        a, b = (source, i) if lead[i] > 0 else (i, sink)
-        cap[a][b] = abs(lead[i])
-        cap[b].setdefault(a, 0.0)
-    while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
-            u = queue.popleft()
-            for v, w in cap[u].items():
-                if w > 1e-9 and v not in came:
-                    came[v] = u
-                    queue.append(v)
-        if sink not in came:
-            break
-        path, v = [], sink
-        while v != source:
-            path.append((came[v], v))
-            v = came[v]
-        flow = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= flow
-            cap[v][u] = cap[v].get(u, 0.0) + flow
-    for i in core:
-        label[i] = i in came
+    if core:
+        side = _flow({i: k for k, i in enumerate(core)}, [lead[i] for i in core], [[(j, w) for j, w in near[i] if label[j] is None] for i in core])
+        for k, i in enumerate(core):
+            label[i] = side[k]
     return [bool(x) for x in label]
 
 
-def main_text(page: str | None) -> str:
+def _flow(at: dict[int, int], lead: list[int], near: list[list[tuple[int, int]]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow, by blocking flows along shortest paths."""
+    n = len(lead)
+    head: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    cap: list[int] = []
+    for u, edges in enumerate(near):
+        for j, w in edges:
+            v = at[j]
+            if u < v:  # an undirected edge is its own way back
+                head[u].append(len(to))
+                head[v].append(len(to) + 1)
+                to += [v, u]
+                cap += [w, w]
+    give, take = [max(x, 0) for x in lead], [max(-x, 0) for x in lead]  # left of the edges from the source and to the sink
+    while True:
+        level = [-1] * n
+        queue = deque(u for u in range(n) if give[u])
+        for u in queue:
+            level[u] = 0
+        ends = None
+        while queue:
+            u = queue.popleft()
+            if ends is not None and level[u] >= ends:
+                break
+            if take[u]:
+                ends = level[u] + 1 if ends is None else ends
+                continue
+            for e in head[u]:
+                if cap[e] and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if ends is None:
+            return [x >= 0 for x in level]
+        nxt = [0] * n
+        for s in range(n):
+            while give[s]:
+                path, u = [], s
+                while not (take[u] and level[u] == ends - 1):
+                    while nxt[u] < len(head[u]) and not (cap[head[u][nxt[u]]] and level[to[head[u][nxt[u]]]] == level[u] + 1 < ends):
+                        nxt[u] += 1
+                    if nxt[u] < len(head[u]):
+                        path.append(head[u][nxt[u]])
+                        u = to[path[-1]]
+                    elif path:
+                        u = to[path.pop() ^ 1]
+                        nxt[u] += 1
+                    else:
+                        break
+                if not (take[u] and level[u] == ends - 1):
+                    break
+                flow = min([give[s], take[u], *(cap[e] for e in path)])
+                give[s] -= flow
+                take[u] -= flow
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+
+
+def main_blocks(page: str | None, model: Model) -> tuple[list[Block], list[bool], list[float]]:
+    """All blocks of a page, which are content, and their odds."""
     found = blocks(page or "")
-    if not found:
-        return ""
-    score = [max(-12.0, min(12.0, odds(b))) for b in found]
-    content, rest = [log(1 + exp(s)) for s in score], [log(1 + exp(-s)) for s in score]
-    keep = min_cut(content, rest, edges(found))
+    score = [model.odds(b) for b in found]
+    # What it costs to cut a block from content, log(1 + e^s), less what it costs to keep it, log(1 + e^-s), is s.
+    return found, min_cut(score, [(i, j, model.tie[k]) for i, j, k in ties(found)]), score
+
+
+def main_text(page: str | None, model: Model | None = None) -> str:
+    found, keep, _ = main_blocks(page, model or Model())
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
-def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
+def lessons(page: str) -> tuple[list[list[float]], list[int], np.ndarray]:
+    """Features and labels of up to FIT_BLOCKS blocks that say what they are, and how often tied blocks have one label or two."""
+    found = blocks(page)
+    label = [1 if b.place == INSIDE else 0 if b.place == OUTSIDE else None for b in found]
+    tied = np.zeros((len(TIES), 2), np.int64)
+    for i, j, k in ties(found):
+        if label[i] is not None and label[j] is not None:
+            tied[k, int(label[i] != label[j])] += 1
+    told = [i for i, x in enumerate(label) if x is not None]
+    told = told[:: -(-len(told) // FIT_BLOCKS) or 1]
+    return [features(found[i]) for i in told], [label[i] for i in told], tied
+
+
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = FIT_PAGES) -> Model:
+    """A model from at most `rows` pages, those of the least hash of the id; pages without an id teach nothing."""
+    chosen = sample(pages.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, rows)
+    text = pages.join(F.broadcast(chosen), id_col).select(F.col(html_col).alias("html"))  # at most `rows` ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, tied = [], [], np.zeros((len(TIES), 2), np.int64)
+            for page in batch.column(0).to_pylist():
+                more, label, both = lessons(page or "")
+                x, y, tied = x + more, y + label, tied + both
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(x, "<f8").tobytes()]), pa.array([np.array(y, np.int8).tobytes()]), pa.array([tied.ravel().tolist()], pa.list_(pa.int64()))], ["x", "y", "tied"])
+
+    seen = small_batches(text).mapInArrow(run, "x binary, y binary, tied array<long>").collect()  # at most rows * FIT_BLOCKS blocks
+    x = np.frombuffer(b"".join(r.x for r in seen), "<f8").reshape(-1, len(DEFAULT))
+    y = np.frombuffer(b"".join(r.y for r in seen), np.int8).astype(float)
+    tied = sum((np.array(r.tied) for r in seen), np.zeros(2 * len(TIES), np.int64)).reshape(-1, 2)
+    bare = x.copy()
+    bare[:, -SIGNS:] = 0
+    start = 1 / (1 + np.exp(-TIES))
+    pull = 20.0
+    tie = np.log((tied[:, 0] + pull * start) / (tied[:, 1] + pull * (1 - start)))
+    return Model(_towards(DEFAULT, np.concatenate([x, bare]), np.concatenate([y, y])), np.clip(tie, 0.0, STRONGEST))
+
+
+def _towards(start: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression whose penalty draws them to start; both classes weigh alike."""
+    if not 0 < y.sum() < len(y):
+        return start
+    order = np.lexsort(np.column_stack([x, y]).T)  # the same sums however the rows arrived
+    x, y = x[order], y[order]
+    w = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    beta = start.copy()
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (w * (p - y)) + PULL * (beta - start)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + PULL * np.eye(len(beta)), gradient)
+        beta -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
+def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """All columns but html_col, and the main text and its number of code points."""
     others = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
+    shared = pages.sparkSession.sparkContext.broadcast(model or Model())  # a dozen numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(len(others)).to_pylist()]
+            texts = [main_text(x, shared.value) for x in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*others, text_col, "n_chars"])
 
-    kinds = dict(pages.dtypes)
-    return small_batches(pages.select(*others, html_col)).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in others) + f"`{text_col}` string, n_chars long")
+    schema = T.StructType([*(pages.schema[c] for c in others), T.StructField(text_col, T.StringType()), T.StructField("n_chars", T.LongType())])
+    return small_batches(pages.select(*others, html_col)).mapInArrow(run, schema)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages, model=fit(pages)).select("page_id", "url", "text", "n_chars")
