@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,7 @@ from .spaces import documents, free_name, materialize, small_batches
 
 FIT_ROWS = 6_000
 BROADCAST_LABELS = 1_000_000  # more labels meet the texts in a join that Spark picks
-MODEL_WORDS = 4_000_000
+MODEL_WORDS = 2_000_000
 START_BYTES, START_BITS = 5, 22
 WORD_BITS = 64 - START_BITS
 UNSEEN = 0.1  # shared count of a word that no class has
@@ -120,36 +121,43 @@ class Level:
         return (F.col(CLASSES[c]) - self.taken(c)) / self.total[c]
 
 
-class Model:
-    """Log ratios of words and of starts, those of rare words as a table of Spark, and the curve."""
+class Ratios:
+    """Log ratios of words and of starts; small to send, looked up by a hash map and an array that every worker makes once."""
+
+    def __init__(self, words: np.ndarray, ratios: np.ndarray, starts: np.ndarray, bases: np.ndarray, unmet: float, tail: bool):
+        self.words, self.ratios, self.starts, self.bases, self.unmet, self.tail = words, ratios, starts, bases, np.float32(unmet), tail
 
-    def __init__(self, words: np.ndarray, ratios: np.ndarray, starts: np.ndarray, tail: DataFrame | None, prior: float):
-        self.found = tv.HashMap64()
-        self.found.put(words, np.arange(1, len(words) + 1))
-        self.ratios = np.concatenate([np.zeros(1, np.float32), ratios.astype(np.float32)])
-        self.starts, self.tail, self.prior, self.curve = starts.astype(np.float32), tail, prior, None
+    def _ready(self) -> None:
+        if not hasattr(self, "found"):
+            self.found = tv.HashMap64()
+            self.found.put(self.words, np.arange(len(self.words)))
+            self.base = np.full(1 << START_BITS, self.unmet)
+            self.base[self.starts] = self.bases
 
-    def arrays(self) -> tuple:
-        """What tasks need."""
-        return self.found, self.ratios, self.starts, self.tail is not None
+    def of_texts(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each text: its words, the sum of their log ratios, the sum of their ratios; and the words that are looked up elsewhere, with the text of each."""
+        self._ready()
+        w, first = word_keys(buf, offsets)
+        n = np.diff(first)
+        kinds, back = np.unique(w, return_inverse=True)
+        at = self.found.get(kinds)
+        r = self.base[(kinds >> tv.U64(WORD_BITS)).astype(np.int64)].astype(float)
+        r[at >= 0] = self.ratios[at[at >= 0]]
+        lost = np.flatnonzero((at < 0)[back]) if self.tail else np.zeros(0, np.int64)
+        r = r[back]
+        return n, tv.sums(r, first), tv.sums(np.exp(r), first), w[lost], np.repeat(np.arange(len(n)), n)[lost]
 
 
-def _of_texts(held: tuple, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each text: its words, the sum of their log ratios, the sum of their ratios; and the words that the arrays lack, with the text of each."""
-    found, ratios, starts, tail = held
-    w, first = word_keys(buf, offsets)
-    n = np.diff(first)
-    kinds, back = np.unique(w, return_inverse=True)
-    at = found.get(kinds)
-    r = np.where(at > 0, ratios[np.maximum(at, 0)], starts[(kinds >> tv.U64(WORD_BITS)).astype(np.int64)]).astype(float)[back]
-    lost = np.flatnonzero((at <= 0)[back]) if tail else np.zeros(0, np.int64)
-    return n, tv.sums(r, first), tv.sums(np.exp(r), first), w[lost], np.repeat(np.arange(len(n)), n)[lost]
+class Model:
+    """The ratios as Spark broadcasts them, those of rare words as a table, and the curve; without ratios the prior alone."""
+
+    def __init__(self, prior: float, shared: Broadcast | None = None, tail: DataFrame | None = None):
+        self.prior, self.shared, self.tail, self.curve = prior, shared, tail, None
 
 
 def likelihoods(text: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """All columns of text and three more, whose names come second: words, and sums over them of the log ratio and of the ratio."""
-    spark = text.sparkSession
-    held = spark.sparkContext.broadcast(model.arrays())
+    held = model.shared
     row = free_name(text.columns, "row")
     names = [free_name([*text.columns, row], x) for x in ("words", "log_ratios", "ratios")]
     lost_name = free_name([*text.columns, row, *names], "lost")
@@ -162,7 +170,7 @@ def likelihoods(text: DataFrame, model: Model, text_col: str = "text") -> tuple[
         for batch in batches:
             buf, off = tv.text_views(batch.column(at))
             for i, j in tv.chunks(off):
-                n, a, b, lost, owner = _of_texts(held.value, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                n, a, b, lost, owner = held.value.of_texts(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 cols = [*(c.slice(i, j - i) for c in batch.columns), pa.array(n), pa.array(a), pa.array(b)]
                 if more:
                     edges = np.searchsorted(owner, np.arange(j - i + 1)).astype(np.int32)
@@ -204,9 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = shares.get(1, 0) / max(sum(shares.values()), 1)
-    none = np.zeros(0, tv.U64)
     if min(shares.get(0, 0), shares.get(1, 0)) == 0:
-        return Model(none, np.zeros(0), np.zeros(1 << START_BITS), None, prior)
+        return Model(prior)
     known = known.withColumn("calibrates", F.pmod(F.xxhash64(F.col(id_col), F.lit("calibrates")), F.lit(CALIBRATION_SHARE)) == 0)
     chosen = known.where(~F.col("calibrates"))
     for c in (1, 0):
@@ -223,17 +230,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = F.log(of_words.back[0] * F.col("share_t") / (of_words.back[1] * F.col("share_o")))
     each = [of_words.own(c) + of_words.back[c] * of_words.common() * F.col(f"share_{CLASSES[c]}") for c in (0, 1)]
     scored = words.join(starts, "s").select("w", (F.col("t") + F.col("o")).alias("k"), F.log(each[0] / each[1]).alias("r"), base.alias("base"))
-    held = np.full(1 << START_BITS, np.log(of_words.back[0] * of_starts.back[0] / (of_words.back[1] * of_starts.back[1])))
-    for r in [starts.select("s", base.alias("base")).toPandas()]:  # at most 2 ** START_BITS rows
-        held[r["s"].to_numpy(np.int64)] = r["base"].to_numpy(float)
+    unmet = np.log(of_words.back[0] * of_starts.back[0] / (of_words.back[1] * of_starts.back[1]))
+    by_start = starts.select(F.col("s").cast("int").alias("s"), base.cast("float").alias("base")).toPandas()  # at most 2 ** START_BITS rows
     many, least = 0, 1 << 40
     for r in words.groupBy(F.least(F.col("t") + F.col("o"), F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
         if many + r["n"] > model_words:
             break
         many, least = many + r["n"], r["k"]
-    top = scored.where(F.col("k") >= least).select("w", "r").toPandas()
+    top = scored.where(F.col("k") >= least).select("w", F.col("r").cast("float").alias("r")).toPandas()  # at most model_words rows
     tail = materialize(scored.where(F.col("k") < least).select("w", "r", "base"), "toxicity-tail") if least > 1 else None
-    model = Model(top["w"].to_numpy(np.int64).view(tv.U64), top["r"].to_numpy(float), held, tail, prior)
+    ratios = Ratios(top["w"].to_numpy(np.int64).view(tv.U64), top["r"].to_numpy(np.float32), by_start["s"].to_numpy(np.int32), by_start["base"].to_numpy(np.float32), unmet, tail is not None)
+    del top, by_start
+    model = Model(prior, docs.sparkSession.sparkContext.broadcast(ratios), tail)
     seen, names = likelihoods(text.where("calibrates"), model)
     seen = seen.select("toxic", *(x.alias(f"x{k}") for k, x in enumerate(_features(names)))).toPandas()
     y = seen["toxic"].to_numpy(float)

@@ -288,16 +288,69 @@ def test_toxicity_counts_every_labelled_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
     counted = {r.doc_id for r in known.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(op6_toxicity.CALIBRATION_SHARE)) != 0).collect()}
-    pairs, grams = (set(), set()), {}
+    pairs, starts = (set(), set()), (set(), set())
     for i, text in rows:
         if i in counted:
             words = re.findall("[a-z]+", text)
             pairs[int(i % 4 != 0)].update(zip([None, *words], words))
-            for u, v, w in zip([None, None, *words], [None, *words], words):
-                grams.setdefault((v, w), (set(), set()))[int(i % 4 != 0)].add(u)
-    model = op6_toxicity.fit(docs, known, rows=10)
-    assert model.total.tolist() == [len(p) for p in pairs]
-    assert model.n2.shape[1] - 1 == sum(max(map(len, g)) > op6_toxicity.BIGRAM_DISCOUNT for g in grams.values())
+            starts[int(i % 4 != 0)].update(words)
+    text = docs.join(known, "doc_id").where(F.col("doc_id").isin(list(counted))).select("text", "toxic")
+    words = op6_toxicity.counts(text).toPandas()
+    assert [words["t"].sum(), words["o"].sum()] == [len(p) for p in pairs]
+    assert [(words["t"] > 0).sum(), (words["o"] > 0).sum()] == [len(p) for p in starts]
+    # A model of any size gives the same scores: what isn't broadcast is joined.
+    whole, small = op6_toxicity.fit(docs, known, rows=10), op6_toxicity.fit(docs, known, rows=10, model_words=20)
+    assert whole.tail is None and small.tail is not None and len(small.shared.value.words) < len(whole.shared.value.words)
+    one, two = ({r.doc_id: r.score for r in op6_toxicity.score(docs, m).collect()} for m in (whole, small))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-5 for i in one)
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Ratios of words and starts against the formula, written anew."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40) + (" uglyish ugly" if i % 3 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    counted = {r.doc_id for r in known.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(op6_toxicity.CALIBRATION_SHARE)) != 0).collect()}
+    k, starts = ({}, {}), ({}, {})
+    for i, text in rows:
+        if i in counted:
+            words = re.findall("[a-z]+", text.lower())
+            for v, w in zip([None, *words], words):
+                k[int(i % 3 != 0)].setdefault(w, set()).add(v)
+                starts[int(i % 3 != 0)].setdefault(w[:5], set()).add(w)
+    k, starts = ([{w: len(v) for w, v in x.items()} for x in y] for y in (k, starts))
+
+    def level(counts):
+        out = []
+        for x in counts:
+            n = [sum(v == j for v in x.values()) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+            d = [0.75] * 3 if y is None else [min(max(v, 0.05), j) for v, j in zip((1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5), (1, 2, 3))]
+            take = lambda v, d=d: d[min(v, 3) - 1] if v else 0.0
+            out.append((take, sum(x.values()), max(sum(map(take, x.values())) / sum(x.values()), 1e-3)))
+        kinds = set(counts[0]) | set(counts[1])
+        shared = 0.1 * (len(kinds) + 1) + sum(sum(map(o[0], x.values())) for o, x in zip(out, counts))
+        common = lambda w: (sum(o[0](x.get(w, 0)) for o, x in zip(out, counts)) + 0.1) / shared
+        return out, common
+
+    of_starts, common_s = level(starts)
+    of_words, common_w = level(k)
+
+    def share(c, s):
+        take, total, back = of_starts[c]
+        n = starts[c].get(s, 0)
+        return ((n - take(n)) / total + back * common_s(s)) / common_s(s)
+
+    def probability(c, w):
+        take, total, back = of_words[c]
+        n = k[c].get(w, 0)
+        return (n - take(n)) / total + back * common_w(w) * share(c, w[:5])
+
+    model = op6_toxicity.fit(docs, known)
+    for w in [*list(set(k[0]) | set(k[1]))[:50], "ugly", "uglyish", "uglyest", "unmet"]:
+        n, a, b, _, _ = model.shared.value.of_texts(*textvec.text_views(pa.array([w])))
+        assert n[0] == 1 and abs(a[0] - np.log(probability(0, w) / probability(1, w))) < 1e-4 and abs(b[0] - np.exp(a[0])) < 1e-6 * b[0]
 
 
 PAGE = """<html><head><title>T</title><script>var t="</p>";</script><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
@@ -318,26 +371,62 @@ def test_min_cut_is_least():
     rng = random.Random(9)
     for _ in range(30):
         n = rng.randint(1, 7)
-        a, b = [rng.random() * 3 for _ in range(n)], [rng.random() * 3 for _ in range(n)]
-        ties = [{} for _ in range(n)]
-        for i, j in itertools.combinations(range(n), 2):
-            if rng.random() < 0.5:
-                ties[i][j] = ties[j][i] = rng.random() * 2
-        cost = lambda k: sum(b[i] if k[i] else a[i] for i in range(n)) + sum(ties[i].get(j, 0) for i in range(n) for j in range(i) if k[i] != k[j])  # noqa: B023,E731
-        assert abs(cost(op8_html.min_cut(a, b, ties)) - min(map(cost, itertools.product([False, True], repeat=n)))) < 1e-6
+        lead = [rng.uniform(-3, 3) for _ in range(n)]
+        ties = [(i, j, rng.random() * 2) for i, j in itertools.combinations(range(n), 2) if rng.random() < 0.5]
+        cost = lambda k: sum(-lead[i] for i in range(n) if k[i]) + sum(w for i, j, w in ties if k[i] != k[j])  # noqa: B023,E731
+        assert abs(cost(op8_html.min_cut(lead, ties)) - min(map(cost, itertools.product([False, True], repeat=n)))) < 1e-4
+
+
+def test_the_cut_mends_what_looks_mislead():
+    """Without any sign, one-word paragraphs amid others are content by their ties alone."""
+    words = "these are some words of a longer paragraph that goes on for a while and ends here."
+    page = f"<div><div>{words}</div><div>Is.</div><div>{words}</div><div>So it goes.</div><div>{words}</div></div>"
+    model = op8_html.Model(np.array([-4.0, 2.0, -4.0, 0.5, 1.0, -0.5, 4.0, 2.0, -8.0]), np.array([2.0, 0.5, 0.0]))
+    found, keep, odds = op8_html.main_blocks(page, model)
+    assert [x > 0 for x in odds] == [True, False, True, False, True] and keep == [True] * 5
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for bit in ('<a "', '<a href="', "<li>hello there<p>x", "<div>", "<div>word", "<", "<!--", "<script>", "</p>", "<div>a b<ul><li>c", "<p>" + "a few words <li><a>x</a>" * 3):
+        took = []
+        for size in (100_000, 400_000):
+            start = time.process_time()
+            op8_html.main_text(bit * (size // len(bit)))
+            took.append(time.process_time() - start)
+        assert took[1] < max(12 * took[0], 1.0) and took[1] < 6
+
+
+def test_html_fit(spark):
+    page = lambda k: f"<body><nav><ul>{'<li><a href=x>go there</a></li>' * 4}</ul></nav><div class=ad>Buy {k} of them now.</div><article><h1>Title {k}</h1>{'<p>A paragraph of some words.</p>' * 5}<p>No.</p></article><footer>us, {k}</footer></body>"
+    pages = spark.createDataFrame([(k, "u", page(k)) for k in range(30)] + [(None, None, None)], "page_id long, url string, html string")
+    model = op8_html.fit(pages)
+    assert model.tie[op8_html.NEAR] > 1 and model.tie[op8_html.CROSSING] < 0.5
+    want = lambda k: "\n".join([f"Title {k}", *["A paragraph of some words."] * 5, "No."])
+    assert {r.page_id: r.text for r in op8_html.extract(pages, model=model).collect()} == {k: want(k) for k in range(30)} | {None: ""}
+    bare = page(1).replace("nav>", "div>").replace("article>", "div>").replace("footer>", "div>").replace(" class=ad", "")
+    assert op8_html.main_text(bare, model) == want(1)
 
 
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
 
     docs, texts = corpus
-    spark.createDataFrame([(i, 1, 0) for i in range(0, 40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rng = random.Random(21)
+    rude = {1000 + i: prose(rng, 40) + f" vile{'abc'[i % 3]} " + prose(rng, 20) + " filthy " + prose(rng, 9) for i in range(150)}
+    more = {2000 + i: prose(rng, 60) for i in range(150)}
+    both = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in (rude | more).items()], SCHEMA))
+    labels = [(i, 1, int(i in rude)) for i in [*range(40), *rude, *more] if i < 1000 or i % 2]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert len(kept & set(rude)) < 0.05 * len(rude) and len(set(more) - kept) < 0.03 * len(more)
     rows = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    left = {i: t for i, t in (texts | rude | more).items() if i in kept}
     key: dict[str, int] = {}
-    for i in sorted(texts):
-        key.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
-    unique = {i: texts[i] for i in key.values()}
-    near = brute_components(unique, 80, 5)
+    for i in sorted(left):
+        key.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i] or ""), i)
+    near = brute_components({i: left[i] for i in key.values()}, 80, 5)
     assert set(rows.doc_id) == {i for i, (_, c) in near.items() if c == i}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "substring_dedup", "packing"]
