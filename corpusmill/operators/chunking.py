@@ -1,46 +1,44 @@
 """Files into chunks: symbols for code, sections for markdown, overlapping windows for what is long or has neither.
 
-One shuffle by file: lines are flagged, a running sum numbers the segments, and a segment's lines are gathered and cut
-into windows. A segment is never more than one file.
+A file is a row from start to end: its lines are an array, marked, numbered and cut in place, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
 
 MAX_LINES, OVERLAP, MIN_CHARS = 120, 12, 24
+MARK = "array<struct<ln:int,symbol:string,kind:string>>"
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """repo_id, path, lang, ln (from 0) and line of every file."""
-    return files.select("repo_id", "path", C.detect_lang(F.col("path")).alias("lang"), F.posexplode(F.split("content", "\n")).alias("ln", "line"))
+def marked_lines(files: DataFrame) -> DataFrame:
+    """repo_id, path, lang, the lines of every file, and marks: ln (from 0), symbol and kind of those that start a segment."""
+    split = files.where(F.col("content").isNotNull()).select("repo_id", "path", C.detect_lang(F.col("path")).alias("lang"), F.split("content", "\n").alias("lines"))
+    of = lambda line, ln, symbol, kind: F.struct(ln.alias("ln"), symbol.alias("symbol"), kind.alias("kind"))
+    heading = lambda line, ln: of(line, ln, C.trimmed(F.regexp_extract(line, C.HEADING, 1)), F.when(line.rlike(C.HEADING), F.lit("section")))
 
+    def signature(line: F.Column, ln: F.Column) -> F.Column:
+        found = C.match_signature(line, F.col("lang"))
+        return of(line, ln, found["symbol"], found["kind"])
 
-def marked_lines(lines: DataFrame) -> DataFrame:
-    """lines with symbol and kind where a segment starts."""
-    sig = C.match_signature(F.col("line"), F.col("lang"))
-    head = F.col("line").rlike(C.HEADING)
-    plain = F.col("lang").isin("text", "markdown", "json")
-    mark = F.when(F.col("lang") == "markdown", F.when(head, F.struct(C.trimmed(F.regexp_extract("line", C.HEADING, 1)).alias("symbol"), F.lit("section").alias("kind")))).when(~plain, sig)
-    return lines.withColumn("mark", mark).select("*", F.col("mark.symbol").alias("symbol"), F.col("mark.kind").alias("kind")).drop("mark")
+    told = lambda mark: F.filter(F.transform("lines", mark), lambda m: m["kind"].isNotNull()).cast(MARK)
+    marks = F.when(F.col("lang") == "markdown", told(heading)).when(F.col("lang").isin("text", "json"), F.array().cast(MARK)).otherwise(told(signature))
+    return split.withColumn("marks", marks)
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """repo_id, path, lang, seg, symbol, kind, start, stop (lines from 0) and the lines themselves."""
-    by_file = Window.partitionBy("repo_id", "path")
-    numbered = marked_lines(lines).withColumn("seg", F.count("kind").over(by_file.orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = numbered.withColumn("marks", F.count("kind").over(by_file))
-    whole = (F.col("marks") == 0) & (F.col("lang") != "markdown")
-    unmarked = F.when(F.col("lang") == "markdown", "section").when(whole, "file").otherwise("preamble")
-    return (
-        numbered.groupBy("repo_id", "path", "lang", "seg", "marks")
-        .agg(F.max("symbol").alias("symbol"), F.max("kind").alias("kind"), F.min("ln").alias("start"), F.max("ln").alias("stop"), F.transform(F.sort_array(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]).alias("lines"))
-        .withColumn("kind", F.coalesce("kind", unmarked))
-        .drop("marks")
-    )
+def segments(marked: DataFrame) -> DataFrame:
+    """repo_id, path, lang, seg, symbol, kind, start, stop (lines from 0) and the lines themselves; seg 0 is what comes before the first mark."""
+    unmarked = F.when(F.col("lang") == "markdown", "section").when(F.size("marks") == 0, "file").otherwise("preamble")
+    before = F.array(F.struct(F.lit(0).alias("ln"), F.lit(None).cast("string").alias("symbol"), unmarked.alias("kind")))
+    led = (F.size("marks") > 0) & (F.coalesce(F.try_element_at("marks", F.lit(1))["ln"], F.lit(-1)) == 0)
+    heads = marked.withColumn("led", led).withColumn("heads", F.when(F.col("led"), F.col("marks")).otherwise(F.concat(before, "marks")))
+    one = heads.select("repo_id", "path", "lang", "lines", "led", "heads", F.posexplode("heads").alias("nth", "head"))
+    after = F.coalesce(F.try_element_at("heads", F.col("nth") + 2)["ln"], F.size("lines"))
+    cut = one.select("repo_id", "path", "lang", (F.col("nth") + F.col("led").cast("int")).alias("seg"), "head.symbol", "head.kind", F.col("head.ln").alias("start"), (after - 1).alias("stop"), "lines")
+    return cut.withColumn("lines", F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1))
 
 
 def windows(found: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
@@ -56,5 +54,5 @@ def windows(found: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP) ->
 
 def chunk_corpus(files: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """Chunks of all files: repo_id, path, lang, symbol, symbol_kind, start_line, end_line (from 1), content and content_hash."""
-    cut = windows(segments(file_lines(files))).where(F.length(C.trimmed(F.col("content"))) >= least)
+    cut = windows(segments(marked_lines(files))).where(F.length(C.trimmed(F.col("content"))) >= least)
     return cut.select("repo_id", "path", "lang", "symbol", F.col("kind").alias("symbol_kind"), (F.col("start") + 1).alias("start_line"), (F.col("stop") + 1).alias("end_line"), "content", C.content_hash(F.col("path"), F.col("start"), F.col("content")).alias("content_hash"))

@@ -30,10 +30,15 @@ def _joined(df: DataFrame, group: list, order: list, line: F.Column) -> DataFram
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo_id, path and content of source files told from parts, line items, nations and orders."""
+    """repo_id, path and content of source files told from parts, line items, nations and orders.
+
+    A file holds the rows of a range of keys (or of one supplier, who has some 600 line items at any scale), so there are
+    more files, not longer ones, where there are more rows.
+    """
     part = table(spark, sf_dir, "part")
     block = F.concat(F.lit("def part_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    # "), "p_name", F.lit(" of type "), "p_type", F.lit("\n    return x * "), F.col("p_size").cast("string"), F.lit("\n"))
-    python = _joined(part, ["p_brand"], ["p_partkey"], block).select(F.lit("acme/parts").alias("repo_id"), F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit(".py")).alias("path"), F.concat(F.lit("import math\n\n"), "body").alias("content"))
+    part = part.withColumn("bin", F.floor(F.col("p_partkey") / 2000))
+    python = _joined(part, ["p_brand", "bin"], ["p_partkey"], block).select(F.lit("acme/parts").alias("repo_id"), F.concat(F.lit("src/"), F.lower(F.regexp_replace("p_brand", "#", "_")), F.lit("_"), F.col("bin").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import math\n\n"), "body").alias("content"))
     items = table(spark, sf_dir, "lineitem")
     line = F.concat(F.lit("  line"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(" = "), F.col("l_quantity").cast("int").cast("string"), F.lit(";"))
     key = F.col("l_suppkey").cast("string")
@@ -41,17 +46,17 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     section = F.concat(F.lit("## "), "n_name", F.lit("\nOne of the nations of this region, number "), F.col("n_nationkey").cast("string"), F.lit(".\n"))
     notes = _joined(nations, ["r_name"], ["n_nationkey"], section).select(F.lit("acme/docs").alias("repo_id"), F.concat(F.lit("docs/"), F.lower("r_name"), F.lit(".md")).alias("path"), F.concat(F.lit("# "), "r_name", F.lit("\nWhat there is to know.\n"), "body").alias("content"))
-    orders = table(spark, sf_dir, "orders").withColumn("bin", F.col("o_custkey") % 20)
+    orders = table(spark, sf_dir, "orders").withColumn("bin", F.floor(F.col("o_orderkey") / 4000))
     row = F.concat(F.lit('{"order": '), F.col("o_orderkey").cast("string"), F.lit(', "status": "'), "o_orderstatus", F.lit('"}'))
     data = _joined(orders, ["bin"], ["o_orderkey"], row).select(F.lit("acme/docs").alias("repo_id"), F.concat(F.lit("data/orders_"), F.col("bin").cast("string"), F.lit(".json")).alias("path"), F.col("body").alias("content"))
     return python.unionByName(scripts).unionByName(notes).unionByName(data)
 
 
 CODE_FILES = """code_files AS (
-  SELECT 'acme/parts' AS repo_id, 'src/' || lower(replace(p_brand, '#', '_')) || '.py' AS path, 'import math' || chr(10) || chr(10) || string_agg('def part_' || p_partkey || '(x):' || chr(10) || '    # ' || p_name || ' of type ' || p_type || chr(10) || '    return x * ' || p_size || chr(10), chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand
+  SELECT 'acme/parts' AS repo_id, 'src/' || lower(replace(p_brand, '#', '_')) || '_' || (p_partkey // 2000) || '.py' AS path, 'import math' || chr(10) || chr(10) || string_agg('def part_' || p_partkey || '(x):' || chr(10) || '    # ' || p_name || ' of type ' || p_type || chr(10) || '    return x * ' || p_size || chr(10), chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand, p_partkey // 2000
   UNION ALL SELECT 'acme/suppliers', 'lib/supplier_' || l_suppkey || '.ts', 'export class Supplier' || l_suppkey || ' {' || chr(10) || string_agg('  line' || l_orderkey || '_' || l_linenumber || ' = ' || CAST(floor(l_quantity) AS INTEGER) || ';', chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) || chr(10) || '}' FROM lineitem GROUP BY l_suppkey
   UNION ALL SELECT 'acme/docs', 'docs/' || lower(r_name) || '.md', '# ' || r_name || chr(10) || 'What there is to know.' || chr(10) || string_agg('## ' || n_name || chr(10) || 'One of the nations of this region, number ' || n_nationkey || '.' || chr(10), chr(10) ORDER BY n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
-  UNION ALL SELECT 'acme/docs', 'data/orders_' || (o_custkey % 20) || '.json', string_agg('{"order": ' || o_orderkey || ', "status": "' || o_orderstatus || '"}', chr(10) ORDER BY o_orderkey) FROM orders GROUP BY o_custkey % 20)"""
+  UNION ALL SELECT 'acme/docs', 'data/orders_' || (o_orderkey // 4000) || '.json', string_agg('{"order": ' || o_orderkey || ', "status": "' || o_orderstatus || '"}', chr(10) ORDER BY o_orderkey) FROM orders GROUP BY o_orderkey // 4000)"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,11 +123,12 @@ def chunks(spark, d):
 
 @query("c2_match_signatures", f"{TO_LINES}, {MARKED} SELECT repo_id, path, ln, symbol, kind FROM marked WHERE kind IS NOT NULL AND lang <> 'markdown'")
 def c2(spark, d):
-    return chunking.marked_lines(chunking.file_lines(all_files(spark, d))).where(F.col("kind").isNotNull() & (F.col("lang") != "markdown")).select("repo_id", "path", F.col("ln").cast("long").alias("ln"), "symbol", "kind")
+    marks = chunking.marked_lines(all_files(spark, d)).where(F.col("lang") != "markdown").select("repo_id", "path", F.explode("marks").alias("m"))
+    return marks.select("repo_id", "path", F.col("m.ln").cast("long").alias("ln"), "m.symbol", "m.kind")
 
 
 def _segments(spark, d):
-    return chunking.segments(chunking.file_lines(all_files(spark, d))).select("repo_id", "path", "lang", F.col("seg").cast("long").alias("seg"), "symbol", "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+    return chunking.segments(chunking.marked_lines(all_files(spark, d))).select("repo_id", "path", "lang", F.col("seg").cast("long").alias("seg"), "symbol", "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
 @query("c3_segment_by_symbol", f"{TO_SEGMENTS} SELECT repo_id, path, lang, seg, symbol, kind, start, stop FROM segments WHERE lang NOT IN ('markdown', 'text', 'json') AND kind <> 'file'")
@@ -141,7 +142,7 @@ def c4(spark, d):
 
 
 def _windows(spark, d):
-    cut = chunking.windows(chunking.segments(chunking.file_lines(all_files(spark, d))))
+    cut = chunking.windows(chunking.segments(chunking.marked_lines(all_files(spark, d))))
     return cut.select("repo_id", "path", "symbol", "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
