@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
+from corpusmill.operators.retrieval import nearest
 
 THRESHOLD = 0.92
 
 
 def lookup(questions: DataFrame, cache: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """questions with cached_id, similarity and hit: the nearest cached question of the same repository and model."""
-    c = cache.select("repo_id", "embed_model", F.col("id").alias("cached_id"), F.col("embedding").alias("__c"))
-    near = questions.join(c, ["repo_id", "embed_model"]).select("question_id", "cached_id", F.round(C.cosine(F.col("embedding"), F.col("__c")), 9).alias("similarity"))
+    """questions with cached_id, similarity and hit: the nearest cached question of the same repository and model.
+
+    Questions meet the cache in counted blocks, and every task keeps the best of each before anything moves, however
+    many rows a repository has.
+    """
+    near = nearest(questions, cache.withColumnRenamed("id", "cached_id"), 1, ["repo_id", "embed_model"], query_id="question_id", chunk_id="cached_id")
+    near = near.withColumn("similarity", F.round("similarity", 9))
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "cached_id"))
     best = near.withColumn("n", nth).where((F.col("n") == 1) & (F.col("similarity") >= threshold)).drop("n")
     return questions.join(best, "question_id", "left").withColumn("hit", F.col("cached_id").isNotNull())

@@ -59,6 +59,12 @@ def dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
     return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)) / F.col("norm")).cast("float")).alias("embedding"))
 
 
+def bucket_vectors(sums: DataFrame, key: str, dim: int) -> DataFrame:
+    """key and embedding: the sums themselves as an array of length dim."""
+    filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))  # at most dim entries
+    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)).cast("double")).alias("embedding"))
+
+
 def hash_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
     """key and embedding of every text."""
     found = dense(bucket_sums(texts, key, text, dim), key, dim)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import columns as C
 
 RRF_K, PER_ARM, KEEP = 60, 40, 12
 QUERY_BLOCK = 5_000
+CELLS = 2_000_000  # similarities held at once in a task
+TIE = 1e-8  # what rounding may make equal
 
 
 def top(run: DataFrame, score: str, k: int, rank: str = "rank", tie: str = "chunk_id") -> DataFrame:
@@ -25,22 +31,92 @@ def maybe_broadcast(df: DataFrame, rows: int = QUERY_BLOCK) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = PER_ARM, keys: list[str] | None = None) -> DataFrame:
-    """query_id, chunk_id, similarity and rank: exact cosine over chunks with an embedding, within the columns in keys.
-
-    A stated, counted set of questions meets all chunks, in blocks of about QUERY_BLOCK; every task keeps its own k best
-    before anything moves.
+class _Block:
+    """Vectors of a block of questions, by group, with their norms."""
+
+    def __init__(self, ids: pa.Array, groups: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.members = {g: np.flatnonzero((groups == g) & (self.norms > 0)) for g in np.unique(groups)}
+
+
+class _Best:
+    """Of one question block, the pairs of question and row that may be among a question's k best."""
+
+    def __init__(self, block: _Block, k: int, overlapping: bool):
+        self.block, self.k, self.overlapping = block, k, overlapping
+        self.least = np.full(len(block.vectors), -np.inf)
+        self.top = np.full((len(block.vectors), k), -np.inf)
+        self.kept: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+    def meet(self, ids: pa.Array, groups: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        for g in np.unique(groups):
+            asked = self.block.members.get(g)
+            rows = np.flatnonzero((groups == g) & (norms > 0))
+            if asked is None or not len(asked):
+                continue
+            step = max(1, CELLS // len(asked))
+            for low in range(0, len(rows), step):
+                part = rows[low : low + step]
+                q, c = self.block.vectors[asked], vectors[part]
+                alike = (q @ c.T) / (self.block.norms[asked][:, None] * norms[part][None, :])
+                if self.overlapping and (alike == 0).any():
+                    alike[(alike == 0) & ((np.abs(q) @ np.abs(c).T) == 0)] = -np.inf
+                both = np.concatenate([self.top[asked], alike], axis=1)
+                self.top[asked] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+                self.least[asked] = self.top[asked].min(axis=1)
+                x, y = np.nonzero((alike >= self.least[asked][:, None] - TIE) & (alike > -np.inf))
+                self.kept.append((asked[x], ids.take(pa.array(part[y])), alike[x, y]))
+
+    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        for x, ids, alike in self.kept:
+            good = np.flatnonzero(alike >= self.least[x] - TIE)
+            if len(good):
+                yield pa.RecordBatch.from_arrays([self.block.ids.take(pa.array(x[good])), ids.take(pa.array(good)), pa.array(alike[good])], names)
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None, overlapping: bool = False, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
+    """query_id, chunk_id and cosine similarity of at least the k best chunks of every question, within the columns in keys.
+
+    A stated, counted set of questions meets all chunks in blocks of about QUERY_BLOCK: a block's vectors are broadcast,
+    batches of chunks are multiplied with them, and a task sends on only what may be among a question's k best (equal
+    ones with it). Without a vector, with one of zeros, or with a null key a row is like none; with `overlapping`, rows
+    without a common non-zero place are left out too.
     """
-    q = queries.withColumnRenamed("embedding", "__q")
-    c = chunks.where(F.col("embedding").isNotNull())
-    if keys:
-        paired = c.join(maybe_broadcast(q), keys)
-    else:
-        blocks = max(-(-q.count() // QUERY_BLOCK), 1)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        each = [c.crossJoin(F.broadcast(q.where(block == b) if blocks > 1 else q)).select("query_id", "chunk_id", "embedding", "__q") for b in range(blocks)]
-        paired = reduce(DataFrame.unionByName, each)
-    return top(paired.select("query_id", "chunk_id", C.cosine(F.col("embedding"), F.col("__q")).alias("similarity")), "similarity", k)
+    spark = chunks.sparkSession
+    group = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    told = lambda df, key: df.where(F.col("embedding").isNotNull() & F.lit(True if not keys else reduce(Column.__and__, [F.col(x).isNotNull() for x in keys]))).select(key, group.alias("group"), F.col("embedding").cast("array<double>").alias("embedding"))
+    q, c = told(queries, query_id), told(chunks, chunk_id)
+    blocks = max(-(-q.count() // QUERY_BLOCK), 1)
+    kinds, names = [q.schema[0].dataType, c.schema[0].dataType], [query_id, chunk_id, "similarity"]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*kinds, T.DoubleType()])])
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        return col.values.slice(col.offsets[0].as_py(), len(col.values)).to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
+
+    found = []
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BLOCK rows
+        if not rows.num_rows:
+            continue
+        rows = rows.to_batches()[0]
+        shared = spark.sparkContext.broadcast(_Block(rows.column(0), rows.column(1).to_numpy(), matrix(rows.column(2))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = _Best(shared.value, k, overlapping)
+            for batch in batches:
+                if batch.num_rows:
+                    best.meet(batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2)))
+            yield from best.batches(names)
+
+        found.append(c.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = PER_ARM, keys: list[str] | None = None) -> DataFrame:
+    """query_id, chunk_id, similarity and rank: exact cosine over chunks with an embedding, within the columns in keys."""
+    return top(nearest(queries, chunks, k, keys), "similarity", k)
 
 
 def question_terms(queries: DataFrame, stop_words: list[str]) -> DataFrame:
@@ -55,10 +131,19 @@ def raw_terms(queries: DataFrame, stop_words: list[str]) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("raw")).where(~F.col("raw").isin(stop_words)).select("query_id", C.stem(F.col("raw")).alias("term")).distinct()
 
 
-def postings(chunks: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
-    """chunk_id, term, tf and positions. Every distinct word is stemmed once."""
+def postings(chunks: DataFrame, text: str, stop_words: list[str], only: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term, tf and positions. With `only` (column term) other terms are left out before anything is grouped."""
     words = chunks.select("chunk_id", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("pos", "raw")).where(~F.col("raw").isin(stop_words))
-    return words.groupBy("chunk_id", C.stem(F.col("raw")).alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    words = words.select("chunk_id", C.stem(F.col("raw")).alias("term"), "pos")
+    if only is not None:
+        words = words.join(maybe_broadcast(only.select("term").distinct(), 200_000), "term", "left_semi")
+    return words.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def lengths(chunks: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
+    """chunk_id and dl, the number of words that are indexed, of chunks that have any; told in place."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: ~w.isin(stop_words))
+    return chunks.select("chunk_id", F.size(words).cast("long").alias("dl")).where(F.col("dl") > 0)
 
 
 def lexical_scores(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -70,15 +155,14 @@ def lexical_topk(terms: DataFrame, index: DataFrame, k: int = PER_ARM) -> DataFr
     return top(lexical_scores(terms, index), "score", k)
 
 
-def bm25_topk(terms: DataFrame, index: DataFrame, k: int = PER_ARM, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score and rank by BM25."""
-    length = index.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
-    total = length.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    asked = index.join(maybe_broadcast(terms.select("term").distinct(), 200_000), "term")
+def bm25_topk(terms: DataFrame, index: DataFrame, length: DataFrame, k: int = PER_ARM, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, score and rank by BM25; index holds at least the postings of the terms, length what lengths() tells."""
+    n, avgdl = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    asked = index.select("chunk_id", "term", "tf").join(maybe_broadcast(terms.select("term").distinct(), 200_000), "term")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(df, "term").join(length, "chunk_id").crossJoin(F.broadcast(total)).select("chunk_id", "term", gain.alias("gain"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = asked.join(maybe_broadcast(df, 200_000), "term").join(length, "chunk_id").select("chunk_id", "term", gain.alias("gain"))
     return top(scored.join(maybe_broadcast(terms, 200_000), "term").groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("score")), "score", k)
 
 

@@ -85,12 +85,13 @@ def e6(spark, d):
 COS = "list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-def vectors(spark, d, asked="vec_id < 20"):
+def vectors(spark, d):
+    """The questions, every 20th vector, and all vectors."""
     e = table(spark, d, "embeddings")
-    return e.where(asked).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-DENSE = f"dense AS (SELECT query_id, chunk_id, similarity, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 12) DESC, c.vec_id) AS INTEGER) AS rank FROM embeddings c, embeddings q WHERE q.vec_id < 20) WHERE rank <= 10)"
+DENSE = f"dense AS (SELECT query_id, chunk_id, similarity, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 12) DESC, c.vec_id) AS INTEGER) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10)"
 
 
 @query("r1_dense_topk", f"WITH {DENSE} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM dense")
@@ -130,8 +131,8 @@ def doc_chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("repo_id"))
 
 
-def doc_postings(spark, d):
-    return R.postings(doc_chunks(spark, d), "text", list(STOP))
+def doc_postings(spark, d, only=None):
+    return R.postings(doc_chunks(spark, d), "text", list(STOP), only)
 
 
 @query("r3_build_postings", f"WITH {POSTINGS} SELECT chunk_id, term, tf, array_to_string(positions, ',') AS positions FROM postings")
@@ -155,19 +156,21 @@ def doc_terms(spark, d):
 
 @query("r5_lexical_match_rank", f"WITH {LEX} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")
 def r5(spark, d):
-    return R.lexical_scores(doc_terms(spark, d), doc_postings(spark, d)).withColumn("score", F.round("score", 6))
+    terms = doc_terms(spark, d)
+    return R.lexical_scores(terms, doc_postings(spark, d, terms)).withColumn("score", F.round("score", 6))
 
 
 @query("r6_lexical_topk", f"WITH {LEX}, {LEX_TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lextop")
 def r6(spark, d):
-    return R.lexical_topk(doc_terms(spark, d), doc_postings(spark, d)).withColumn("score", F.round("score", 6))
+    return doc_lexical(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query("r7_bm25_rank", f"""WITH {POSTINGS}, {ASKED}, dl AS (SELECT chunk_id, sum(tf) AS dl FROM postings GROUP BY chunk_id), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
   s AS (SELECT query_id, chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM postings JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY query_id, chunk_id)
   SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 40""")
 def r7(spark, d):
-    return R.bm25_topk(doc_terms(spark, d), doc_postings(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    terms = doc_terms(spark, d)
+    return R.bm25_topk(terms, doc_postings(spark, d, terms), R.lengths(doc_chunks(spark, d), "text", list(STOP))).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # The dense arm of the hybrid: hashed embeddings of questions and documents, with exact integer dot products.
@@ -180,18 +183,16 @@ HYBRID = f"{DOC_DENSE}, {LEX}, {LEX_TOP}, {FUSED}, hybrid AS (SELECT * FROM (SEL
 
 
 def doc_dense(spark, d, k=R.PER_ARM):
-    """The dense arm as a join on buckets: only buckets that both sides fill are multiplied."""
-    sums = lambda df, key: E.bucket_sums(df, key, "text", DIM)
-    c = sums(doc_chunks(spark, d), "chunk_id")
+    """The dense arm: whole-number vectors, so that products are exact, in blocks of questions."""
+    sums = lambda df, key: E.bucket_vectors(E.bucket_sums(df, key, "text", DIM), key, DIM)
     q = sums(questions(spark, d).withColumnRenamed("question", "text"), "query_id")
-    norm = lambda s, key, name: s.groupBy(key).agg(F.sqrt(F.sum((F.col("value") * F.col("value")).cast("double"))).alias(name))
-    dots = c.join(R.maybe_broadcast(q.withColumnRenamed("value", "qv"), 200_000), "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("value") * F.col("qv")).alias("dot"))
-    near = dots.join(norm(c, "chunk_id", "cn"), "chunk_id").join(F.broadcast(norm(q, "query_id", "qn")), "query_id")
-    return R.top(near.select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("qn") * F.col("cn")), 9).alias("similarity")), "similarity", k)
+    near = R.nearest(q, sums(doc_chunks(spark, d), "chunk_id"), k, overlapping=True)
+    return R.top(near.withColumn("similarity", F.round("similarity", 9)), "similarity", k)
 
 
 def doc_lexical(spark, d):
-    return R.lexical_topk(doc_terms(spark, d), doc_postings(spark, d))
+    terms = doc_terms(spark, d)
+    return R.lexical_topk(terms, doc_postings(spark, d, terms))
 
 
 def doc_hybrid(spark, d, keep=R.KEEP):
@@ -214,7 +215,8 @@ SCOPED = "scoped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 @query("r10_path_scope", f"WITH {LEX}, {SCOPED} SELECT query_id, chunk_id, rank FROM scoped WHERE rank <= 40")
 def r10(spark, d):
     scoped = R.path_scope(doc_chunks(spark, d), "/EN/")
-    run = R.lexical_topk(doc_terms(spark, d), R.postings(scoped, "text", list(STOP)))
+    terms = doc_terms(spark, d)
+    run = R.lexical_topk(terms, R.postings(scoped, "text", list(STOP), terms))
     return run.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -248,21 +250,18 @@ RAW_ASKED = f"asked AS (SELECT DISTINCT query_id, {STEM.format('raw')} AS term F
   SELECT 'dense' AS config, query_id, chunk_id, rank FROM densetop WHERE rank <= 10 UNION ALL SELECT 'lexical', query_id, chunk_id, rank FROM l WHERE rank <= 10""")
 def r14(spark, d):
     one = doc_dense(spark, d, 10).select(F.lit("dense").alias("config"), "query_id", "chunk_id", "rank")
-    two = R.lexical_topk(R.raw_terms(questions(spark, d), list(STOP)), doc_postings(spark, d), 10)
+    terms = R.raw_terms(questions(spark, d), list(STOP))
+    two = R.lexical_topk(terms, doc_postings(spark, d, terms), 10)
     return one.unionByName(two.select(F.lit("lexical").alias("config"), "query_id", "chunk_id", "rank"))
 
 
-# The query set of the approximate queries, which have no SQL.
-EVERY_20TH = "vec_id % 20 = 0"
-
-
 @query("r15_ivf_topk", None)
 def r15(spark, d):
-    q, c = vectors(spark, d, EVERY_20TH)
+    q, c = vectors(spark, d)
     return R.ivf_topk(q, c, 20, 14, 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r16_lsh_topk", None)
 def r16(spark, d):
-    q, c = vectors(spark, d, EVERY_20TH)
+    q, c = vectors(spark, d)
     return R.lsh_topk(q, c, 64, 10, bands=64).withColumn("similarity", F.round("similarity", 6))
