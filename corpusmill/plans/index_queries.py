@@ -12,9 +12,10 @@ from corpusmill.operators import observability as O
 from corpusmill.operators import ratelimit as W
 from corpusmill.operators import retrieval as R
 from corpusmill.operators import text as X
-from corpusmill.plans.bindings import QUERY_LOG, query_log, questions, table
+from corpusmill.plans.bindings import QUERY_LOG, query_log, questions, table, work_dir, written
 from corpusmill.plans.corpus_queries import TO_CHUNKS, chunks
-from corpusmill.plans.search_queries import HYBRID, doc_chunks, doc_dense, doc_lexical
+from corpusmill.plans.search_queries import HYBRID, WIDE, doc_chunks, doc_dense, doc_lexical
+from corpusmill.plans.text_queries import summary_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,6 +37,7 @@ INCOMING = "incoming AS (SELECT repo_id, path, start_line, content_hash FROM chu
 
 def states(spark, d):
     c = chunks(spark, d).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash")
+    c = written(c, f"{work_dir(spark, 'chunks')}/all")  # cut once, read for both states
     digit = F.substring("content_hash", 1, 1)
     stored = c.where(~digit.isin("2", "3")).withColumn("content_hash", F.when(digit.isin("0", "1"), F.concat(F.lit("old"), F.substring("content_hash", 4, 100))).otherwise(F.col("content_hash")))
     return stored, c.where(~digit.isin("4", "5") & (F.col("repo_id") != "src1"))
@@ -200,7 +202,7 @@ def o4(spark, d):
     return O.recent(query_log(spark, d)).select("id", "question", "latency_ms")
 
 
-# Runs of two configurations over the benchmark, with the documents that hold enough of an item's shingles as relevant.
+# Runs of three configurations over the benchmark; what is relevant is told from the ids, so these queries show the measures, not how good retrieval is.
 RUNS = """runs AS (SELECT 'hybrid' AS config, query_id AS case_id, chunk_id % 400 AS path, rank FROM hybrid UNION ALL SELECT 'dense', query_id, chunk_id % 400, rank FROM densetop WHERE rank <= 10 UNION ALL SELECT 'lexical', query_id, chunk_id % 400, rank FROM lextop WHERE rank <= 10),
   cases AS (SELECT item_id AS case_id FROM benchmark), qrels AS (SELECT DISTINCT query_id AS case_id, chunk_id % 400 AS path FROM fused WHERE (query_id + chunk_id) % 4 = 0 AND query_id % 10 <> 0),
   clean AS (SELECT config, case_id, path, row_number() OVER (PARTITION BY config, case_id ORDER BY min(rank)) AS rank FROM runs GROUP BY config, case_id, path)"""
@@ -216,10 +218,12 @@ TO_MEASURES = f"{TO_RUNS}, {MEASURES}"
 
 
 def eval_tables(spark, d):
-    dense, lexical = doc_dense(spark, d), doc_lexical(spark, d)
-    fused = R.rrf_fuse(dense, lexical)
-    of = lambda df, name, k: R.top(df, "rrf", k).select(F.lit(name).alias("config"), F.col("query_id").alias("case_id"), (F.col("chunk_id") % 400).alias("path"), "rank") if name == "hybrid" else df.where(F.col("rank") <= k).select(F.lit(name).alias("config"), F.col("query_id").alias("case_id"), (F.col("chunk_id") % 400).alias("path"), "rank")
-    runs = of(fused, "hybrid", 12).unionByName(of(dense, "dense", 10)).unionByName(of(lexical, "lexical", 10))
+    """Runs by path, relevant paths and cases. Every arm runs once and is written, as what follows reads it several times."""
+    at = work_dir(spark, "arms")
+    dense, lexical = (written(df, f"{at}/{name}") for df, name in ((doc_dense(spark, d), "dense"), (doc_lexical(spark, d), "lexical")))
+    fused = written(R.rrf_fuse(dense, lexical), f"{at}/fused")
+    as_run = lambda df, name, k: df.where(F.col("rank") <= k).select(F.lit(name).alias("config"), F.col("query_id").alias("case_id"), (F.col("chunk_id") % 400).alias("path"), "rank")
+    runs = as_run(R.top(fused, "rrf", 12), "hybrid", 12).unionByName(as_run(dense, "dense", 10)).unionByName(as_run(lexical, "lexical", 10))
     qrels = fused.where("(query_id + chunk_id) % 4 = 0 AND query_id % 10 <> 0").select(F.col("query_id").alias("case_id"), (F.col("chunk_id") % 400).alias("path")).distinct()
     cases = questions(spark, d).select(F.col("query_id").alias("case_id"))
     return V.dedupe_by_path(runs), qrels, cases
@@ -272,15 +276,26 @@ def v10(spark, d):
 DAY = 86_400_000_000
 
 
-@query("w1_rate_limit", f"""WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+RATE = f"""WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   f AS (SELECT id, key, t, n, true AS allowed, t + {DAY} AS reset, 1 AS cnt FROM r WHERE n = 1
     UNION ALL SELECT r.id, r.key, r.t, r.n, f.reset <= r.t OR f.cnt < 3, CASE WHEN f.reset <= r.t THEN r.t + {DAY} ELSE f.reset END, CASE WHEN f.reset <= r.t THEN 1 WHEN f.cnt < 3 THEN f.cnt + 1 ELSE f.cnt END FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)
-  SELECT id, key, allowed, 3 - cnt AS remaining, reset - t AS reset_in_us FROM f""")
+  SELECT id, key, allowed, 3 - cnt AS remaining, reset - t AS reset_in_us FROM f"""
+
+
+@query("w1_rate_limit", RATE)
 def w1(spark, d):
     return W.replay(table(spark, d, "events"), 3, DAY, "user_id", "ts", "event_id")
 
 
-@query("t12_extractive_answer", None)
+BARE = "list_filter(list_transform(string_split(snippet, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^\\s*[/*#-]+\\s?', ''), '^\\s+|\\s+$', '', 'g')), lambda l: regexp_matches(l, '(?i)[a-z]{4,}'))"
+HITS = f"""snips AS (SELECT query_id, rank, round(rrf, 4) AS score, source || '/' || lang || '/' || doc_id AS path, CASE WHEN length(text) > 1200 THEN left(text, 1200) || chr(10) || '…' ELSE text END AS snippet FROM hybrid JOIN documents ON doc_id = chunk_id WHERE rank <= 6),
+  foremost AS (SELECT query_id, left(array_to_string({BARE}, ' '), 600) AS prose, question, '**' || path || '** (lines 1–' || (1 + len(string_split(snippet, chr(10)))) || ')' AS place, '```text' || chr(10) || array_to_string(list_slice(string_split(snippet, chr(10)), 1, 18), chr(10)) || chr(10) || '```' AS excerpt FROM snips JOIN (SELECT item_id AS query_id, text AS question FROM benchmark) USING (query_id) WHERE rank = 1),
+  listed AS (SELECT query_id, string_agg(rank || '. code — `' || path || ':1` [' || rank || ']  ·  relevance ' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%', chr(10) ORDER BY rank) AS list FROM snips GROUP BY query_id)"""
+
+
+@query("t12_extractive_answer", f"""WITH {WIDE}, {HITS}, {summary_sql('foremost', 'query_id', 'prose', 'question', 2)}
+  SELECT item_id AS query_id, coalesce('{X.BEST}' || place || ' [1].' || CASE WHEN length(summary) > 0 THEN ' ' || upper(left(summary, 1)) || substring(summary, 2, 1000) ELSE '' END || chr(10) || chr(10) || '{X.PLACES}' || chr(10) || chr(10) || list || chr(10) || chr(10) || '{X.EXCERPT}' || chr(10) || chr(10) || excerpt || chr(10) || chr(10) || '{X.FOOTER}', '{X.NO_ANSWER}') AS answer
+  FROM benchmark LEFT JOIN foremost ON foremost.query_id = item_id LEFT JOIN listed ON listed.query_id = item_id LEFT JOIN summaries ON summaries.query_id = item_id""")
 def t12(spark, d):
     found = R.search_code(doc_dense(spark, d), doc_lexical(spark, d), doc_chunks(spark, d).withColumnRenamed("text", "content"), 6)
     run = found.withColumn("symbol", F.lit(None).cast("string")).withColumn("symbol_kind", F.lit(None).cast("string")).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(1) + F.size(F.split("snippet", "\n"))).withColumn("lang", F.lit("text"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -67,17 +68,48 @@ def windowed_totals(log: DataFrame, window: str = "1 day", late: str = "1 hour")
     return timed.groupBy(F.window("created_at", window)).agg(F.count(F.lit(1)).alias("queries"), hits.alias("cache_hits"), (hits / F.count(F.lit(1))).alias("hit_rate"), F.sum("cost_usd").alias("cost_usd"), F.count_if("injection").alias("injections"))
 
 
+def keep_latest(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream of totals that change as rows come in; every batch's changes are a folder of their own, so one that runs twice replaces itself."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """What keep_latest() wrote: of every key the row of the last batch, open windows included."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*")
+
+
+CACHED = ["id", "repo_id", "embed_model", "question", "embedding"]
+
+
+def cached(spark: SparkSession, cache_path: str, out_path: str, asked: T.StructType, before: int | None = None) -> DataFrame:
+    """The cache as it is before a batch (or now), with the hits that were counted so far."""
+    kinds = {f.name: f.dataType for f in asked.fields} | {"id": asked["question_id"].dataType}
+    store = T.StructType([*(T.StructField(c, kinds[c]) for c in CACHED), T.StructField("batch", T.IntegerType())])
+    found = T.StructType([T.StructField("cached_id", kinds["id"]), T.StructField("hit", T.BooleanType()), T.StructField("batch", T.IntegerType())])
+    earlier = F.lit(True) if before is None else F.col("batch") < before
+    rows, hits = (_stored(spark, at, schema).where(earlier).drop("batch") for at, schema in ((cache_path, store), (out_path, found)))
+    return K.count_hits(rows.withColumn("hits", F.lit(0)), hits)
+
+
 def answer_cache(questions: DataFrame, cache_path: str, out_path: str, checkpoint: str, threshold: float = K.THRESHOLD) -> StreamingQuery:
-    """Questions against the cache table; found ones are written with their answer's id, others are then stored.
+    """Questions (with their answers) against the cache: found ones are written with their answer's id, others are stored if they may be.
 
-    A question doesn't meet those of its own batch.
+    A question doesn't meet those of its own batch. Both tables get a folder per batch, so one that runs twice replaces
+    what it wrote; hits are counted from the found ones.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        schema = "id long, repo_id int, embed_model string, embedding array<float>"
-        found = K.lookup(batch, _stored(spark, cache_path, schema), threshold)
-        _append(found.select("question_id", "cached_id", "similarity", "hit"), out_path)
-        _append(batch.join(_stored(spark, out_path, "question_id long, hit boolean").where("NOT hit"), "question_id", "left_semi").select(F.col("question_id").alias("id"), "repo_id", "embed_model", "embedding"), cache_path)
+        found = K.lookup(batch, cached(spark, cache_path, out_path, batch.schema, n), threshold).select("question_id", "cached_id", "similarity", "hit")
+        found.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        missed = spark.read.schema(found.schema).parquet(f"{out_path}/batch={n}").where("NOT hit")
+        new = K.admitted(batch.join(missed, "question_id", "left_semi")).select(F.col("question_id").alias("id"), *CACHED[1:])
+        new.write.mode("overwrite").parquet(f"{cache_path}/batch={n}")
 
     return questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
