@@ -231,15 +231,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each = [of_words.own(c) + of_words.back[c] * of_words.common() * F.col(f"share_{CLASSES[c]}") for c in (0, 1)]
     scored = words.join(starts, "s").select("w", (F.col("t") + F.col("o")).alias("k"), F.log(each[0] / each[1]).alias("r"), base.alias("base"))
     unmet = np.log(of_words.back[0] * of_starts.back[0] / (of_words.back[1] * of_starts.back[1]))
-    by_start = starts.select(F.col("s").cast("int").alias("s"), base.cast("float").alias("base")).toPandas()  # at most 2 ** START_BITS rows
+    by_start = starts.select(F.col("s").cast("int").alias("s"), base.cast("float").alias("base")).toArrow()  # at most 2 ** START_BITS rows
     many, least = 0, 1 << 40
     for r in words.groupBy(F.least(F.col("t") + F.col("o"), F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect():
         if many + r["n"] > model_words:
             break
         many, least = many + r["n"], r["k"]
-    top = scored.where(F.col("k") >= least).select("w", F.col("r").cast("float").alias("r")).toPandas()  # at most model_words rows
+    top = scored.where(F.col("k") >= least).select("w", F.col("r").cast("float").alias("r")).toArrow()  # at most model_words rows
     tail = materialize(scored.where(F.col("k") < least).select("w", "r", "base"), "toxicity-tail") if least > 1 else None
-    ratios = Ratios(top["w"].to_numpy(np.int64).view(tv.U64), top["r"].to_numpy(np.float32), by_start["s"].to_numpy(np.int32), by_start["base"].to_numpy(np.float32), unmet, tail is not None)
+    ratios = Ratios(top["w"].to_numpy().view(tv.U64), top["r"].to_numpy(), by_start["s"].to_numpy(), by_start["base"].to_numpy(), unmet, tail is not None)
     del top, by_start
     model = Model(prior, docs.sparkSession.sparkContext.broadcast(ratios), tail)
     seen, names = likelihoods(text.where("calibrates"), model)
