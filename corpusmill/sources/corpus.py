@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from corpusmill.functions import columns as C
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """repo_id, path, content and bytes of all files under root, one folder per repository; the archive's own top folder goes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    below = F.regexp_replace("path", r"^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
+    # Paths come back with the root as the file system spells it, so what is below starts after the root's own last folder.
+    last = re.escape(root.rstrip("/").rsplit("/", 1)[-1])
+    below = F.regexp_replace("path", rf"^.*?/{last}/", "")
     return raw.select(F.substring_index(below, "/", 1).alias("repo_id"), F.regexp_replace(below, r"^[^/]+/[^/]+/", "").alias("path"), F.col("content"), F.col("length").alias("bytes"))
 
 

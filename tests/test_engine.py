@@ -174,7 +174,37 @@ def test_dense_search_meets_blocks_of_queries(spark, monkeypatch):
     blocked = retrieval.dense_topk(q, c, 5)
     assert {tuple(r) for r in blocked.collect()} == whole and len(whole) == 75
     plan = blocked._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("strategy=broadcast") == 4
+    assert plan.count("MapInArrow") == 4 and "Join" not in plan
+
+
+def test_dense_search_keeps_ties_and_groups(spark):
+    c = spark.createDataFrame([(i, "ab"[i % 2], [1.0, 0.0] if i < 30 else [0.0, 0.0] if i < 32 else None) for i in range(40)], "chunk_id long, repo_id string, embedding array<float>").repartition(7)
+    q = spark.createDataFrame([(1, "a", [2.0, 0.0]), (2, "b", [0.0, 1.0]), (3, None, [1.0, 0.0])], "query_id long, repo_id string, embedding array<float>")
+    got = {(r.query_id, r.chunk_id, r.similarity) for r in retrieval.dense_topk(q, c, 3, ["repo_id"]).collect()}
+    assert got == {(1, 0, 1.0), (1, 2, 1.0), (1, 4, 1.0), (2, 1, 0.0), (2, 3, 0.0), (2, 5, 0.0)}
+
+
+def test_fusing_any_number_of_arms(spark):
+    arms = [spark.createDataFrame(rows, "query_id long, chunk_id long, rank int") for rows in ([(1, 7, 1), (1, 8, 2)], [(1, 8, 1)], [(1, 9, 1), (1, 7, 2)])]
+    got = {r.chunk_id: r.rrf for r in retrieval.rrf_fuse_arms(list(zip(arms, (1.0, 1.0, 0.5)))).collect()}
+    assert got == pytest.approx({7: 1 / 61 + 0.5 / 62, 8: 1 / 62 + 1 / 61, 9: 0.5 / 61})
+
+
+def test_scan_of_files(spark, tmp_path):
+    root = tmp_path / "in.put+x"
+    for name, body in (("acme-web/acme-web-1a2b/src/a.ts", "let a = 1;"), ("acme-web/acme-web-1a2b/readme.md", "# Hi"), ("other/other-9/in.put+x/b.py", "x = 2\n")):
+        at = root / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(body)
+    got = {(r.repo_id, r.path): (bytes(r.content).decode(), r.bytes) for r in corpus.scan_files(spark, str(root)).collect()}
+    assert got == {("acme-web", "src/a.ts"): ("let a = 1;", 10), ("acme-web", "readme.md"): ("# Hi", 4), ("other", "in.put+x/b.py"): ("x = 2\n", 6)}
+
+
+def test_answers_say_how_they_were_told(spark):
+    q = spark.createDataFrame([(1, "where are coins kept"), (2, "nothing like it")], "query_id long, question string")
+    run = spark.createDataFrame([(1, 1, 0.0325, "src/wallet.ts", "Wallet", "class", 3, 9, "typescript", "// The wallet keeps coins safely here\nexport class Wallet {}")], "query_id long, rank int, score double, path string, symbol string, symbol_kind string, start_line int, end_line int, lang string, snippet string")
+    got = {r.query_id: r.answer for r in X.extractive_answer(q, run, degraded=True).collect()}
+    assert got[1].endswith(X.DEGRADED_FOOTER) and "`src/wallet.ts:3` [1]" in got[1] and got[2] == X.NO_ANSWER
 
 
 def test_entry_imports_without_training_operators(tmp_path):
