@@ -40,11 +40,12 @@ def budgeted_pass(incoming: DataFrame, diff: DataFrame, budget: int) -> tuple[Da
     While chunks remain a repository is `indexing` and nothing of it is pruned; the next pass finds the rest by hash.
     """
     new = incoming.join(diff.where(F.col("action").isin("new", "replaced")), ["repo_id", "content_hash"], "left_semi")
+    # Only the first `budget` rows of a repository move for the numbering, and counts for the rest, however large it is.
     nth = F.row_number().over(Window.partitionBy("repo_id").orderBy("path", "start_line", "content_hash"))
-    numbered = new.withColumn("nth", nth)
-    left = F.greatest(F.max("nth") - budget, F.lit(0))
-    status = incoming.select("repo_id").distinct().join(numbered.groupBy("repo_id").agg(left.alias("remaining")), "repo_id", "left").select("repo_id", F.coalesce("remaining", F.lit(0)).alias("remaining"))
-    return numbered.where(F.col("nth") <= budget).drop("nth"), status.withColumn("status", F.when(F.col("remaining") > 0, "indexing").otherwise("ready"))
+    taken = new.withColumn("nth", nth).where(F.col("nth") <= budget).drop("nth")
+    left = F.greatest(F.count(F.lit(1)) - budget, F.lit(0))
+    status = incoming.select("repo_id").distinct().join(new.groupBy("repo_id").agg(left.alias("remaining")), "repo_id", "left").select("repo_id", F.coalesce("remaining", F.lit(0)).alias("remaining"))
+    return taken, status.withColumn("status", F.when(F.col("remaining") > 0, "indexing").otherwise("ready"))
 
 
 def delete_repos(table: DataFrame, gone: DataFrame, key: str = "repo_id") -> DataFrame:
