@@ -8,7 +8,7 @@ greatest. Equal neighbours form spans. The text's language is that of most lette
 Most texts are in one language, and for those no search is needed: if no stretch of words gains more than SWITCH by any
 mix of other languages, the path that stays is the best one. All other texts are searched together, word by word.
 
-The fit takes at most FIT_ROWS texts of each language (a documented bound) and the most frequent MAX_LANGUAGES labels;
+The fit takes about FIT_ROWS texts of each language, in one pass (a documented bound) and the most frequent MAX_LANGUAGES labels;
 features met in fewer than MIN_COUNT texts are left out.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; rows that repeat are labelled each; without
@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
-from .folds import fold, sample
+from .folds import fold
 from .spaces import documents, small_batches
 
 FIT_ROWS, MIN_COUNT, MAX_LANGUAGES = 1_000, 2, 200
@@ -136,17 +137,17 @@ def label(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.n
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model | None:
-    """A model from at most `rows` of the given texts for each language; None without any."""
+    """A model from about `rows` of the given texts for each language; None without any."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    languages = sorted(r[lang_col] for r in known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect())
+    given = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
+    languages = sorted(r[lang_col] for r in given)
     if not languages:
         return None
-    number = {x: i for i, x in enumerate(languages)}
-    ids = None
-    for x in languages:  # at most rows * MAX_LANGUAGES ids
-        part = sample(known.where(F.col(lang_col) == x).select(F.col(id_col), F.lit(number[x]).alias("__lang")), id_col, rows)
-        ids = part if ids is None else ids.unionByName(part)
-    text = known.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select("text", "__lang")
+    # One pass takes of every language the texts whose hash is low enough, about `rows` of them, or all if there are no more.
+    share = {r[lang_col]: min(1.0, rows / r["n"]) for r in given}
+    chosen = docs.sparkSession.createDataFrame([(x, i, share[x]) for i, x in enumerate(languages)], T.StructType([T.StructField("of", T.StringType()), T.StructField("number", T.LongType()), T.StructField("share", T.DoubleType())]))
+    texts = known.select(F.col(lang_col).cast("string").alias("of"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
+    text = texts.join(F.broadcast(chosen), "of").where(F.col("at") < F.col("share")).select("text", "number")  # at most MAX_LANGUAGES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +160,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 (feature, spoken), (n,) = tv.pair_counts(feature, lang[doc], weights=[np.ones(len(feature))])
                 at = np.repeat(lang[i:j], np.diff(first)) * len(SCRIPT_NAMES) + script
                 seen = np.flatnonzero(np.bincount(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(len(feature), np.int8), np.ones(len(seen), np.int8)])), pa.array(np.concatenate([feature.view(np.int64), seen % len(SCRIPT_NAMES)])), pa.array(np.concatenate([spoken, seen // len(SCRIPT_NAMES)])), pa.array(np.concatenate([n, np.bincount(at)[seen]]))], ["kind", "key", "lang", "n"])
+                texts = np.bincount(lang[i:j])
+                told = np.flatnonzero(texts)
+                kind = np.repeat(np.arange(3, dtype=np.int8), [len(feature), len(seen), len(told)])
+                key = np.concatenate([feature.view(np.int64), seen % len(SCRIPT_NAMES), np.zeros(len(told), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([spoken, seen // len(SCRIPT_NAMES), told])), pa.array(np.concatenate([n, np.bincount(at)[seen], texts[told]]))], ["kind", "key", "lang", "n"])
 
     found = small_batches(text).mapInArrow(run, "kind byte, key long, lang long, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    pdf = found.where((F.col("n") >= MIN_COUNT) | (F.col("kind") == 1)).toPandas()
+    pdf = found.where((F.col("n") >= MIN_COUNT) | (F.col("kind") > 0)).toArrow().to_pandas()  # bounded by the sample
     feature = pdf[pdf["kind"] == 0]
     keys, row = np.unique(feature["key"].to_numpy(np.int64).view(tv.U64), return_inverse=True)
     counts = np.zeros((len(keys), len(languages)))
@@ -170,8 +175,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     scripts = np.zeros((len(SCRIPT_NAMES), len(languages)))
     marks = pdf[pdf["kind"] == 1]
     scripts[marks["key"], marks["lang"]] = marks["n"]
-    per = {r["__lang"]: r["n"] for r in ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Model(languages, keys, counts, np.array([per.get(i, 0) for i in range(len(languages))], float), scripts)
+    texts = np.zeros(len(languages))
+    of = pdf[pdf["kind"] == 2]
+    texts[of["lang"]] = of["n"]
+    return Model(languages, keys, counts, texts, scripts)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
