@@ -8,7 +8,8 @@ prior, the share of good text among the unlabelled, is estimated by the smallest
 unlabelled to positive mass: where bad text is rare, that ratio is the prior.
 
 Features are shares and lengths counted on the bytes of the whole text: kinds of characters, signs, words, lines,
-sentences, repeats. The fit takes at most FIT_ROWS positives and as many unlabelled rows (documented bounds).
+sentences, repeats. The weights are fitted on at most FIT_ROWS positives and as many unlabelled rows (documented bounds);
+the prior, a statistic of the corpus, is counted over all unlabelled rows.
 
 Defined cases: a null or empty text has all features zero and gets the score of that; rows that repeat are scored each;
 without positives or unlabelled rows every score is the prior 0.5; an empty table gives no rows.
@@ -101,15 +102,38 @@ def minimise(p: np.ndarray, u: np.ndarray, prior: float, floor: bool = True) ->
     return weights
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio of unlabelled to positive rows above a score, with an allowance for chance."""
+def prior_cuts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores above which to compare masses, and the share of positives above each."""
     cuts = np.quantile(p, np.linspace(0.02, 0.8, 40))
-    own = (p[:, None] >= cuts).mean(axis=0)
-    other = (u[:, None] >= cuts).mean(axis=0)
-    slack = np.sqrt(other * (1 - other) / len(u)) + own * np.sqrt((1 - own) / (own * len(p)))
+    return cuts, (p[:, None] >= cuts).mean(axis=0)
+
+
+def estimate_prior(own: np.ndarray, positives: int, other: np.ndarray, unlabelled: int) -> float:
+    """Share of positives among the unlabelled: the least ratio of unlabelled to positive rows above a score, with an allowance for chance."""
+    slack = np.sqrt(other * (1 - other) / unlabelled) + own * np.sqrt((1 - own) / (own * positives))
     return float(np.clip(((other + slack) / own).min(), 0.02, 0.98))
 
 
+def masses(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, model: Model, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Shares of the rows in ids (all of them) that score above each cut, and how many rows there are."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast((model, weights, cuts)), dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, w, at = shared.value
+        for batch in batches:
+            buf, off = tv.text_views(batch.column(1))
+            for i, j in tv.chunks(off):
+                z = held.terms(features(buf[off[i] : off[j]], off[i : j + 1] - off[i])) @ w
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array((z[:, None] >= at).sum(axis=1).astype(np.int32))], [id_col, "above"])
+
+    # Texts don't move: what meets the ids is an id and a number. Cuts ascend, so a row above k cuts is above the first k.
+    rows = small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, above int").join(ids.select(id_col).distinct(), id_col, "left_semi")
+    found = np.zeros(len(cuts) + 1, np.int64)
+    for r in rows.groupBy("above").agg(F.count(F.lit(1)).alias("n")).collect():
+        found[r.above] = r.n
+    return found[::-1].cumsum()[::-1][1:] / max(found.sum(), 1), int(found.sum())
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, unlabelled: DataFrame | None = None) -> Model:
     """A model from at most `rows` rows that labels marks 1 and as many of the ids in unlabelled (by default those without a label)."""
     known = labels.where(F.col(id_col).isNotNull())
@@ -136,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(x.mean(axis=0), x.std(axis=0) + 1e-6)
     p, u = model.terms(x[positive]), model.terms(x[~positive])
     plain = minimise(p, u, 0.5, floor=False)
-    model.prior = estimate_prior(p @ plain, u @ plain)
+    cuts, own = prior_cuts(p @ plain)
+    other, total = masses(docs, unlabelled, id_col, text_col, model, plain, cuts)
+    model.prior = estimate_prior(own, len(p), other, max(total, 1))
     model.weights = minimise(p, u, model.prior)
     return model
 
