@@ -114,12 +114,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
 
 
-def _search(col: F.Column, cuts: list[int], low: int = 0) -> F.Column:
-    """Number of cuts that are at most col, as a binary search of nested conditions."""
-    if not cuts:
-        return F.lit(low)
-    mid = len(cuts) // 2
-    return F.when(col < F.lit(cuts[mid]), _search(col, cuts[:mid], low)).otherwise(_search(col, cuts[mid + 1 :], low + mid + 1))
+def _search(col: F.Column, cuts: list[int]) -> F.Column:
+    """Number of cuts that are at most col, by binary search in an array."""
+    bits = len(cuts).bit_length()
+    held = F.array(*map(F.lit, [*cuts, *[(1 << 63) - 1] * ((1 << bits) - 1 - len(cuts))])).cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.element_at(held, low + step) <= col, low + step).otherwise(low))
+    return F.least(found, F.lit(len(cuts)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
