@@ -134,7 +134,8 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, i
     runs = docs.sparkSession.sparkContext.broadcast(segments(pack_histogram(histogram, width), width))  # bounded by the patterns, a few per length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(base, ["part", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
+    # base has a row for each length of each task, so it grows with the input: both sides are dealt, neither is broadcast.
+    ranked = cut.join(base.hint("merge"), ["part", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = runs.value
