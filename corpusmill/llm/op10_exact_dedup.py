@@ -105,7 +105,7 @@ def build_index(history: DataFrame) -> DataFrame:
 
 
 def look_up(fresh: DataFrame, index: DataFrame) -> DataFrame:
-    """digest, id, row and n of every fresh digest; id and row are the historical winner's where there is one, which `member` tells."""
+    """digest, id, row and n of every fresh digest; where history has it, which `member` tells, id and row are the winner's in its slot, and n counts the rows of both."""
 
     def shard(new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = new[["digest", "id", "row", "n"]].copy()
@@ -122,6 +122,7 @@ def look_up(fresh: DataFrame, index: DataFrame) -> DataFrame:
             ids[np.frombuffer(h["no_id"], np.uint8)[at].astype(bool)] = pd.NA
             out["id"] = out["id"].astype("Int64")
             out.loc[where, "id"], out.loc[where, "row"], out.loc[where, "member"] = ids, np.frombuffer(h["rows"], np.int64)[at], True
+            out.loc[where, "n"] += np.frombuffer(h["counts"], np.int64)[at]
         return out
 
     return fresh.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(shard, "digest binary, id long, row long, n long, member boolean")
@@ -148,13 +149,13 @@ def verdicts(rows: DataFrame) -> DataFrame:
     old = F.col("id") <= F.lit(split if split is not None else 0)
     history = distinct(rows.where(old), shards)
     index = materialize(build_index(history), "digest-index")
-    found = look_up(distinct(rows.where(~F.coalesce(old, F.lit(False))), shards), index)
-    both = history.select("digest", "id", "row", "n").unionByName(found.select("digest", "id", "row", "n"))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    verdict = both.groupBy("digest").agg(first.alias("w"), F.sum("n").alias("group_size")).select("digest", F.col("w.id").alias("keep_id"), F.col("w.row").alias("keep_row"), "group_size")
+    found = materialize(look_up(distinct(rows.where(~F.coalesce(old, F.lit(False))), shards), index), "digest-lookups")
+    # Members have their verdicts from the slots, nonmembers from their own groups; the history that nothing repeats is left.
+    rest = history.join(found.where("member").select("digest"), "digest", "left_anti")
+    verdict = found.select("digest", "id", "row", "n").unionByName(rest.select("digest", "id", "row", "n")).select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
     # Written first, so that the join has exchanges of its own on both sides and Spark can split a digest with many rows.
     verdict = materialize(verdict, "digest-verdicts")
-    drop(index)
+    drop(index, found)
     return rows.join(verdict, "digest").select("id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
