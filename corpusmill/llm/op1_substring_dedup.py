@@ -31,6 +31,7 @@ from .sketches import bucket_counts, frequent, slots
 from .spaces import documents, free_name, materialize, parts, small_batches
 
 RUN, MIN_WORDS, LONG, WINDOW = 3, 16, 12, 12
+MOST_BITS = 22  # of the count that tells frequent runs; fewer where there are fewer rows
 
 
 def _sliding(x: np.ndarray, n: int, least: Callable) -> np.ndarray:
@@ -99,13 +100,14 @@ def _runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def runs(base: DataFrame, id_col: str, row_col: str, text_col: str, hot: np.ndarray, want_hot: bool) -> DataFrame:
     """h1, h2, id, row, at of the runs that are in frequent buckets, or of the others; at holds first sentence and count."""
+    bits = len(hot).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = tv.text_views(batch.column(2))
             for i, j in tv.chunks(off):
                 text, at, count, h1, h2 = _runs(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                keep = np.flatnonzero(hot[slots(h1)] == want_hot)
+                keep = np.flatnonzero(hot[slots(h1, bits)] == want_hot)
                 rows = pa.array(text[keep] + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[keep].view(np.int64)), pa.array((h2[keep] >> tv.U64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at[keep] << 20) | np.minimum(count[keep], (1 << 20) - 1))], ["h1", "h2", "id", "row", "at"])
 
@@ -114,7 +116,8 @@ def runs(base: DataFrame, id_col: str, row_col: str, text_col: str, hot: np.ndar
 
 def repeats(base: DataFrame, id_col: str, row_col: str, text_col: str) -> DataFrame:
     """row and at of every run that is not the first of its kind."""
-    hot = frequent(bucket_counts(base, lambda buf, off: _runs(buf, off)[3], text_col))
+    bits = min(max(16, base.count().bit_length() - 6), MOST_BITS)
+    hot = frequent(bucket_counts(base, lambda buf, off: _runs(buf, off)[3], text_col, bits))
     order = [F.col("id").isNull(), F.col("id"), F.col("row"), F.col("at")]
     place = Window.partitionBy("h1", "h2").orderBy(*order)
     cold = runs(base, id_col, row_col, text_col, hot, False).withColumn("nth", F.row_number().over(place)).where(F.col("nth") > 1).select("row", "at")
