@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .spaces import drop, materialize
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node that links reach, of every node in links (columns a and b).
 
-    Every step is a groupBy with partial minima and a join back, so a node with many links needs no task of its own.
+    Every step is a groupBy with partial minima and a join back, so a node with many links needs no task of its own. Steps
+    go on until nothing changes, which takes about as many as the logarithm of the longest chain.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = materialize(links.where(F.col("a") != F.col("b")).select(high, low).distinct(), "links")
     state = None
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
@@ -31,4 +32,3 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
             drop(edges)
             return found
         state = now
-    raise RuntimeError("links did not settle")
