@@ -249,7 +249,7 @@ def cut_with_regex(text: str) -> list[bytes]:
 
 def encode_texts(cache: WordCache, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and the number of ids of each; special tokens' strings get their ids."""
-    special = _special_spans(cache.bpe, buf)
+    special = _special_spans(cache.bpe, buf, offsets)
     bounds = offsets
     if special:
         bounds = np.unique(np.concatenate([offsets, [p for s in special for p in s[:2]]]))
@@ -257,9 +257,9 @@ def encode_texts(cache: WordCache, buf: np.ndarray, offsets: np.ndarray) -> tupl
     flagged = {s: i for s, _, i in special}
     hashes = tv.span_hash(tv.prefix_hash(buf), starts, ends)
     if special:
-        inside = np.zeros(len(starts), bool)
-        for s, e, _ in special:
-            inside |= (starts >= s) & (starts < e)
+        begin, end = (np.array([s[k] for s in special]) for k in (0, 1))
+        near = np.searchsorted(begin, starts, side="right") - 1
+        inside = (near >= 0) & (starts < end[near])
         heads = np.array(sorted(flagged), np.int64)
         body_ids, body_count = cache.ids(buf, starts[~inside], ends[~inside], hashes[~inside])
         at = np.concatenate([starts[~inside], heads])
@@ -275,12 +275,17 @@ def encode_texts(cache: WordCache, buf: np.ndarray, offsets: np.ndarray) -> tupl
     return ids, np.diff(edge)
 
 
-def _special_spans(bpe: Bpe, buf: np.ndarray) -> list[tuple[int, int, int]]:
+def _special_spans(bpe: Bpe, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """Begin, end and id of the special tokens' strings, none of which runs from one text into the next."""
     data = buf.tobytes()
     out = []
     for text, i in bpe.special.items():
         raw, at = text.encode(), 0
         while (at := data.find(raw, at)) >= 0:
+            k = np.searchsorted(offsets, at, side="right")
+            if k < len(offsets) and at + len(raw) > offsets[k]:
+                at += 1
+                continue
             out.append((at, at + len(raw), i))
             at += len(raw)
     return sorted(out)

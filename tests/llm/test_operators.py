@@ -71,6 +71,21 @@ def test_bpe_is_the_library(corpus):
         assert back[r.doc_id] == tok.decode(want, skip_special_tokens=False) == (texts[r.doc_id] or "")
 
 
+def test_special_tokens_of_one_text_and_of_two():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = op4_bpe.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = ["a<|endof", "text|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> y", "<|endoftext|>" * 20_000]
+    start = time.process_time()
+    ids, size = bpe.encode_texts(bpe.load(path), *textvec.text_views(pa.array(texts)))
+    assert time.process_time() - start < 10
+    for t, got in zip(texts, np.split(ids, np.cumsum(size)[:-1])):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_word_bpe_is_the_library():
     from tokenizers import Tokenizer
 
