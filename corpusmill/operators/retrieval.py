@@ -229,15 +229,15 @@ def ivf_assign(chunks: DataFrame, lists: int = 100, seed: int = 7) -> tuple[Data
 
 
 def ivf_topk(queries: DataFrame, chunks: DataFrame, lists: int = 100, probe: int = 20, k: int = PER_ARM) -> DataFrame:
-    """Approximate dense search: each question is scored exactly on the chunks of its nearest lists, by an equi-join on the list."""
+    """Approximate dense search: each question is scored exactly on the chunks of its nearest lists, list by list, a task keeping the best."""
     spark = chunks.sparkSession
     assigned, model = ivf_assign(chunks, lists)
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centre array<double>")
     far = F.aggregate(F.zip_with("centre", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     near = queries.crossJoin(F.broadcast(centres)).select("query_id", "embedding", "list_id", far.alias("far"))  # `lists` centres
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "list_id"))
-    probed = near.withColumn("n", nth).where(F.col("n") <= probe).select("query_id", F.col("embedding").alias("__q"), "list_id")
-    return top(assigned.join(probed, "list_id").select("query_id", "chunk_id", C.cosine(F.col("embedding"), F.col("__q")).alias("similarity")), "similarity", k)
+    probed = near.withColumn("n", nth).where(F.col("n") <= probe).select("query_id", "embedding", "list_id")
+    return top(nearest(probed, assigned, k, ["list_id"]), "similarity", k)
 
 
 def lsh_signatures(rows: DataFrame, key: str, dim: int, bands: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:

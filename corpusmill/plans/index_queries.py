@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.operators import answering as A
 from corpusmill.operators import cache as K
 from corpusmill.operators import catalog as Q
 from corpusmill.operators import evaluation as V
@@ -15,7 +16,7 @@ from corpusmill.operators import text as X
 from corpusmill.plans.bindings import QUERY_LOG, query_log, questions, table, work_dir, written
 from corpusmill.plans.corpus_queries import TO_CHUNKS, chunks
 from corpusmill.plans.search_queries import HYBRID, WIDE, doc_chunks, doc_dense, doc_lexical
-from corpusmill.plans.text_queries import summary_sql
+from corpusmill.plans.text_queries import CLEAN, GUARDED, REASON, guarded, summary_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -293,10 +294,40 @@ HITS = f"""snips AS (SELECT query_id, rank, round(rrf, 4) AS score, source || '/
   listed AS (SELECT query_id, string_agg(rank || '. code — `' || path || ':1` [' || rank || ']  ·  relevance ' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%', chr(10) ORDER BY rank) AS list FROM snips GROUP BY query_id)"""
 
 
-@query("t12_extractive_answer", f"""WITH {WIDE}, {HITS}, {summary_sql('foremost', 'query_id', 'prose', 'question', 2)}
-  SELECT item_id AS query_id, coalesce('{X.BEST}' || place || ' [1].' || CASE WHEN length(summary) > 0 THEN ' ' || upper(left(summary, 1)) || substring(summary, 2, 1000) ELSE '' END || chr(10) || chr(10) || '{X.PLACES}' || chr(10) || chr(10) || list || chr(10) || chr(10) || '{X.EXCERPT}' || chr(10) || chr(10) || excerpt || chr(10) || chr(10) || '{X.FOOTER}', '{X.NO_ANSWER}') AS answer
-  FROM benchmark LEFT JOIN foremost ON foremost.query_id = item_id LEFT JOIN listed ON listed.query_id = item_id LEFT JOIN summaries ON summaries.query_id = item_id""")
-def t12(spark, d):
+TO_TOLD = f"WITH {WIDE}, {HITS}, {summary_sql('foremost', 'query_id', 'prose', 'question', 2)}"
+TOLD = f"""SELECT item_id AS query_id, coalesce('{X.BEST}' || place || ' [1].' || CASE WHEN length(summary) > 0 THEN ' ' || upper(left(summary, 1)) || substring(summary, 2, 1000) ELSE '' END || chr(10) || chr(10) || '{X.PLACES}' || chr(10) || chr(10) || list || chr(10) || chr(10) || '{X.EXCERPT}' || chr(10) || chr(10) || excerpt || chr(10) || chr(10) || '{X.FOOTER}', '{X.NO_ANSWER}') AS answer
+  FROM benchmark LEFT JOIN foremost ON foremost.query_id = item_id LEFT JOIN listed ON listed.query_id = item_id LEFT JOIN summaries ON summaries.query_id = item_id"""
+
+
+def told(spark, d):
     found = R.search_code(doc_dense(spark, d), doc_lexical(spark, d), doc_chunks(spark, d).withColumnRenamed("text", "content"), 6)
     run = found.withColumn("symbol", F.lit(None).cast("string")).withColumn("symbol_kind", F.lit(None).cast("string")).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(1) + F.size(F.split("snippet", "\n"))).withColumn("lang", F.lit("text"))
-    return X.extractive_answer(questions(spark, d), run)
+    run = written(run, f"{work_dir(spark, 'hits')}/all")
+    return X.extractive_answer(questions(spark, d), run), run
+
+
+@query("t12_extractive_answer", f"{TO_TOLD} {TOLD}")
+def t12(spark, d):
+    return told(spark, d)[0]
+
+
+OWN_CACHE = CACHE.replace("asked AS", "ask AS").replace("FROM asked a", "FROM ask a").replace("near AS", "close AS").replace("FROM near)", "FROM close)").replace("best AS", "closest AS")
+
+
+@query("a1_answer_batch", f"""{TO_TOLD}, {OWN_CACHE}, {GUARDED}, told AS ({TOLD}), hits AS (SELECT query_id, count(*) AS n FROM snips GROUP BY query_id), items AS (SELECT count(*) AS n FROM benchmark),
+  screened AS (SELECT item_id, question, {REASON.replace('clean', CLEAN)} IS NOT NULL AS injection FROM guarded), posed AS (SELECT question_id, repo_id, item_id, question, injection, question_id % 5 = 0 AS has_history, question_id % 11 = 0 AS degraded FROM ask, items JOIN screened ON item_id = question_id % items.n),
+  done AS (SELECT p.*, f.cached_id FROM posed p LEFT JOIN closest f ON f.question_id = p.question_id AND NOT p.has_history)
+  SELECT question_id, repo_id, injection, CASE WHEN cached_id IS NULL THEN 'local' ELSE 'cache' END AS mode, cached_id IS NOT NULL AS cache_hit, cached_id, CASE WHEN cached_id IS NULL THEN coalesce(hits.n, 0) ELSE 0 END AS n_retrieved, CASE WHEN cached_id IS NULL THEN answer ELSE 'kept ' || cached_id END AS answer, cached_id IS NULL AND NOT has_history AND NOT degraded AND length(trim(answer)) > 0 AS stored
+  FROM done JOIN told ON told.query_id = item_id LEFT JOIN hits ON hits.query_id = item_id""")
+def a1(spark, d):
+    """The odd vectors ask the benchmark's questions, some with a hidden instruction, of a cache that holds the even ones."""
+    e, v = table(spark, d, "embeddings"), F.col("vec_id")
+    cached = cache_tables(spark, d)[0].withColumn("answer", F.concat(F.lit("kept "), F.col("id").cast("string")))
+    n = table(spark, d, "benchmark").count()
+    posed = e.where(v % 2 == 1).select(v.alias("question_id"), F.col("label").alias("repo_id"), F.when(v % 3 == 0, "a").otherwise("b").alias("embed_model"), "embedding", (v % n).alias("item_id"), (v % 5 == 0).alias("has_history"), (v % 11 == 0).alias("degraded"))
+    posed = posed.join(guarded(spark, d), "item_id")
+    answers, run = told(spark, d)
+    answers = answers.join(run.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_retrieved")), "query_id", "left").withColumnRenamed("query_id", "item_id")
+    by_question = posed.select("question_id", "item_id").join(answers, "item_id").drop("item_id")
+    out = A.answer_batch(posed, cached, by_question, 0.3)
+    return out.select("question_id", "repo_id", "injection", "mode", "cache_hit", "cached_id", "n_retrieved", "answer", "stored")
