@@ -150,13 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i, j in tv.chunks(off):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(list(features(buf[off[i] : off[j]], off[i : j + 1] - off[i])), pa.list_(pa.float64()))], ["positive", "x"])
 
-    seen = small_batches(text).mapInArrow(run, "positive int, x array<double>").toPandas()
+    seen = small_batches(text).mapInArrow(run, "positive int, x array<double>").toArrow()  # at most 2 * rows rows
     positive = seen["positive"].to_numpy() == 1
     if not positive.any() or positive.all():
         return Model()
-    x = np.array(seen["x"].tolist())
-    x = x[np.lexsort(x.T)]  # the same order however the rows arrived
-    positive = positive[np.lexsort(np.array(seen["x"].tolist()).T)]
+    x = seen["x"].combine_chunks().flatten().to_numpy().reshape(len(positive), -1)
+    order = np.lexsort(x.T)  # the same order however the rows arrived
+    x, positive = x[order], positive[order]
     model = Model(x.mean(axis=0), x.std(axis=0) + 1e-6)
     p, u = model.terms(x[positive]), model.terms(x[~positive])
     plain = minimise(p, u, 0.5, floor=False)
