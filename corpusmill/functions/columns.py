@@ -89,10 +89,15 @@ def should_index(path: Column, size: Column) -> Column:
     return (size > 0) & (size <= MAX_BYTES) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS))) & ~name.rlike(SKIPPED_NAMES) & F.lower(F.substring_index(name, ".", -1)).isin(INDEXED)
 
 
-def match_signature(line: Column, lang: Column) -> Column:
-    """struct(symbol, kind) of the first pattern that an unindented line matches, null without any."""
-    tries = [F.when(lang.isin(langs) & line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).alias("symbol"), F.lit(kind).alias("kind"))) for langs, pattern, kind in SIGNATURES]
-    return F.when(~line.rlike(r"^\s"), F.coalesce(*tries))
+def signed_languages() -> list[str]:
+    """Languages that have patterns of signatures."""
+    return sorted({x for langs, _, _ in SIGNATURES for x in langs})
+
+
+def match_signature(line: Column, lang: str) -> Column:
+    """struct(symbol, kind) of the first pattern of a language that an unindented line matches, null without any."""
+    tries = [F.when(line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).alias("symbol"), F.lit(kind).alias("kind"))) for langs, pattern, kind in SIGNATURES if lang in langs]
+    return F.when(~F.substring(line, 1, 1).isin(" ", "\t", "\n", "\x0b", "\f", "\r"), F.coalesce(*tries))
 
 
 def content_hash(path: Column, start0: Column, content: Column) -> Column:
@@ -196,7 +201,8 @@ def cosine(a: Column, b: Column) -> Column:
 def stem(term: Column) -> Column:
     """Harman's S-stemmer: plural endings only."""
     return (
-        F.when(term.rlike("[^ea]ies$"), F.regexp_replace(term, "ies$", "y"))
+        F.when(~term.endswith("s"), term)  # most words need no pattern
+        .when(term.rlike("[^ea]ies$"), F.regexp_replace(term, "ies$", "y"))
         .when(term.rlike("[^aeo]es$"), F.regexp_replace(term, "es$", "e"))
         .when(term.rlike("[^us]s$"), F.regexp_replace(term, "s$", ""))
         .otherwise(term)

@@ -5,6 +5,8 @@ A file is a row from start to end: its lines are an array, marked, numbered and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,18 @@ def marked_lines(files: DataFrame) -> DataFrame:
     of = lambda line, ln, symbol, kind: F.struct(ln.alias("ln"), symbol.alias("symbol"), kind.alias("kind"))
     heading = lambda line, ln: of(line, ln, C.trimmed(F.regexp_extract(line, C.HEADING, 1)), F.when(line.rlike(C.HEADING), F.lit("section")))
 
-    def signature(line: F.Column, ln: F.Column) -> F.Column:
-        found = C.match_signature(line, F.col("lang"))
-        return of(line, ln, found["symbol"], found["kind"])
+    def signature(lang: str) -> Callable:
+        def of_line(line: F.Column, ln: F.Column) -> F.Column:
+            found = C.match_signature(line, lang)
+            return of(line, ln, found["symbol"], found["kind"])
+
+        return of_line
 
     told = lambda mark: F.filter(F.transform("lines", mark), lambda m: m["kind"].isNotNull()).cast(MARK)
-    marks = F.when(F.col("lang") == "markdown", told(heading)).when(F.col("lang").isin("text", "json"), F.array().cast(MARK)).otherwise(told(signature))
+    marks = F.when(F.col("lang") == "markdown", told(heading))
+    for lang in C.signed_languages():
+        marks = marks.when(F.col("lang") == lang, told(signature(lang)))
+    marks = marks.otherwise(F.array().cast(MARK))
     return split.withColumn("marks", marks)
 
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions import columns as C
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files give them too few partitions; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """repo_id, path, content and bytes of all files under root, one folder per repository; the archive's own top folder goes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
