@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.sources.corpus import spread
+
 from .folds import sample
 from .spaces import small_batches
 
@@ -412,5 +414,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", mo
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return extract(pages, model=fit(pages)).select("page_id", "url", "text", "n_chars")

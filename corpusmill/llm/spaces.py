@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.sources.corpus import spread
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one is set only where the session names none and runs on this machine alone (tests)."""
@@ -88,7 +90,7 @@ def parts(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
