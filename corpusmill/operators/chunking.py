@@ -19,22 +19,18 @@ MARK = "array<struct<ln:int,symbol:string,kind:string>>"
 def marked_lines(files: DataFrame) -> DataFrame:
     """repo_id, path, lang, the lines of every file, and marks: ln (from 0), symbol and kind of those that start a segment."""
     split = files.where(F.col("content").isNotNull()).select("repo_id", "path", C.detect_lang(F.col("path")).alias("lang"), F.split("content", "\n").alias("lines"))
-    of = lambda line, ln, symbol, kind: F.struct(ln.alias("ln"), symbol.alias("symbol"), kind.alias("kind"))
-    heading = lambda line, ln: of(line, ln, C.trimmed(F.regexp_extract(line, C.HEADING, 1)), F.when(line.rlike(C.HEADING), F.lit("section")))
+    # What a line matches is written once in each branch, as plans copy expressions.
+    heading = lambda line: F.when(line.rlike(C.HEADING), F.struct(C.trimmed(F.regexp_extract(line, C.HEADING, 1)).alias("symbol"), F.lit("section").alias("kind")))
 
-    def signature(lang: str) -> Callable:
-        def of_line(line: F.Column, ln: F.Column) -> F.Column:
-            found = C.match_signature(line, lang)
-            return of(line, ln, found["symbol"], found["kind"])
+    def told(match: Callable) -> F.Column:
+        return F.filter(F.transform("lines", lambda line, ln: F.struct(ln.alias("ln"), match(line).alias("m"))), lambda x: x["m"].isNotNull())
 
-        return of_line
-
-    told = lambda mark: F.filter(F.transform("lines", mark), lambda m: m["kind"].isNotNull()).cast(MARK)
-    marks = F.when(F.col("lang") == "markdown", told(heading))
+    found = F.when(F.col("lang") == "markdown", told(heading))
     for lang in C.signed_languages():
-        marks = marks.when(F.col("lang") == lang, told(signature(lang)))
-    marks = marks.otherwise(F.array().cast(MARK))
-    return split.withColumn("marks", marks)
+        found = found.when(F.col("lang") == lang, told(lambda line, lang=lang: C.match_signature(line, lang)))
+    split = split.withColumn("found", found)
+    marks = F.coalesce(F.transform("found", lambda x: F.struct(x["ln"].alias("ln"), x["m"]["symbol"].alias("symbol"), x["m"]["kind"].alias("kind"))), F.array()).cast(MARK)
+    return split.withColumn("marks", marks).drop("found")
 
 
 def segments(marked: DataFrame) -> DataFrame:
