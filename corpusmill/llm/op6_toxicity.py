@@ -237,8 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if many + r["n"] > model_words:
             break
         many, least = many + r["n"], r["k"]
+    else:
+        least = 0  # all of them
     top = scored.where(F.col("k") >= least).select("w", F.col("r").cast("float").alias("r")).toArrow()  # at most model_words rows
-    tail = materialize(scored.where(F.col("k") < least).select("w", "r", "base"), "toxicity-tail") if least > 1 else None
+    tail = materialize(scored.where(F.col("k") < least).select("w", "r", "base"), "toxicity-tail") if least else None
     ratios = Ratios(top["w"].to_numpy().view(tv.U64), top["r"].to_numpy(), by_start["s"].to_numpy(), by_start["base"].to_numpy(), unmet, tail is not None)
     del top, by_start
     model = Model(prior, docs.sparkSession.sparkContext.broadcast(ratios), tail)
