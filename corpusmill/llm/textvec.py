@@ -165,6 +165,18 @@ def ascii_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of solid bytes inside each text, and the index of the first run of each text."""
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    inside = offsets[:-1][offsets[:-1] < len(solid)]
+    first[inside] = solid[inside]  # a run never goes on from one text into the next
+    last = solid.copy()
+    last[:-1] &= first[1:] | ~solid[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     up = (buf >= 65) & (buf <= 90)
     return buf | (up.astype(np.uint8) << 5)
