@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_substring_dedup, op2_language, op3_quality, op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op8_html, op9_ngram_join, op10_exact_dedup, op11_conversations, op13_divergence
+from . import op1_substring_dedup, op2_language, op3_quality, op4_bpe, op5_fingerprints, op6_toxicity, op7_packing, op8_html, op9_ngram_join, op10_exact_dedup, op11_conversations, op12_mixing, op13_divergence
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join.op9_ngram_join,
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
     "op11_conversations": op11_conversations.op11_conversations,
+    "op12_mixing": op12_mixing.op12_mixing,
     "op13_divergence": op13_divergence.op13_divergence,
 }
 
