@@ -181,7 +181,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     most = F.greatest(F.least(F.floor(F.lit(BLOCK_CELLS) / F.col("sources")), F.lit(BLOCK_TERMS)), F.lit(1))
     levels = terms.groupBy("lang", "level").agg(F.count(F.lit(1)).alias("many")).join(sources, "lang").select("lang", "level", F.ceil(F.col("many") / most).alias("parts"))
     placed = terms.join(levels, ["lang", "level"]).withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")))
-    placed = placed.withColumn("idx", F.row_number().over(Window.partitionBy("lang", "level", "part").orderBy(F.desc("c"), "term"))).select("lang", "term", "c", "level", "part", "idx")
+    placed = placed.withColumn("idx", F.row_number().over(Window.partitionBy(F.struct("lang", "level", "part")).orderBy(F.desc("c"), "term"))).select("lang", "term", "c", "level", "part", "idx")
     entries = materialize(counts.drop("df").join(placed, ["lang", "term"]), "divergence-entries")
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = materialize(groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total")), "divergence-groups")
