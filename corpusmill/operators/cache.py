@@ -17,8 +17,7 @@ def lookup(questions: DataFrame, cache: DataFrame, threshold: float = THRESHOLD)
     Questions meet the cache in counted blocks, and every task keeps the best of each before anything moves, however
     many rows a repository has.
     """
-    near = nearest(questions, cache.withColumnRenamed("id", "cached_id"), 1, ["repo_id", "embed_model"], query_id="question_id", chunk_id="cached_id")
-    near = near.withColumn("similarity", F.round("similarity", 9))
+    near = nearest(questions, cache.withColumnRenamed("id", "cached_id"), 1, ["repo_id", "embed_model"], query_id="question_id", chunk_id="cached_id", places=9)
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "cached_id"))
     best = near.withColumn("n", nth).where((F.col("n") == 1) & (F.col("similarity") >= threshold)).drop("n")
     return questions.join(best, "question_id", "left").withColumn("hit", F.col("cached_id").isNotNull())

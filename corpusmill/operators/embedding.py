@@ -1,17 +1,28 @@
-"""Feature-hashing embeddings by aggregation over token tables.
+"""Feature-hashing embeddings: a text becomes its vector in the task that reads it, so nothing is shuffled.
 
-Grams and hashes are computed once per distinct feature and joined back to counts. Weights are the integers 20, 12 and
-7 (words, pairs of neighbours, character grams), so sums are exact whatever the order of addition.
+Weights are the integers 20, 12 and 7 (words, pairs of neighbours, character grams), so sums are exact whatever the order of
+addition. A task remembers for every token what one use of it adds, its word and all its grams together, and hashes the
+grams of new tokens on their bytes, many tokens at once.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import columns as C
 
 WORD, PAIR, GRAM = 20, 12, 7
+WORDS, PIECES = re.compile(r"[a-z0-9_]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+REMEMBERED = 200_000  # tokens that a task remembers at most
+LONG_TOKEN = 256
+CELLS = 2_000_000  # sums held at once in a task
 
 
 def tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,48 +35,173 @@ def gram_table(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(F.length("token") >= 3).select("token", F.explode(C.char_ngrams(F.col("token"))).alias("gram")).groupBy("token", "gram").agg(F.count(F.lit(1)).alias("times"))
 
 
-def hashed(features: DataFrame, dim: int) -> DataFrame:
-    """feature, bucket and sign of every distinct feature."""
-    h = features.select("feature").distinct().withColumn("h", C.fnv1a(F.col("feature")))
-    return h.select("feature", (F.col("h") % dim).alias("bucket"), C.hash_sign(F.col("h")).alias("sign"))
-
-
-def token_sums(vocabulary: DataFrame, dim: int) -> DataFrame:
-    """token, bucket and value: what one use of each token adds, its word and all its grams together."""
-    word = vocabulary.select("token", F.concat(F.lit("w:"), "token").alias("feature"), F.lit(WORD).cast("long").alias("weight"))
-    grams = gram_table(vocabulary).select("token", F.concat(F.lit("c:"), "gram").alias("feature"), (F.col("times") * GRAM).alias("weight"))
-    both = word.unionByName(grams)
-    return both.join(hashed(both, dim), "feature").groupBy("token", "bucket").agg(F.sum(F.col("weight") * F.col("sign")).alias("value"))
+def text_tokens(text: str) -> list[str]:
+    """What code_tokens() gives, of one text."""
+    out = []
+    for word in WORDS.findall(text.lower()):
+        out.append(word)
+        if "_" in word:
+            out += [p for p in word.split("_") if p and p != word]
+    return out + [p.lower() for p in PIECES.findall(text) if len(p) > 1]
+
+
+def _fold(state: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """FNV-1a of spans of bytes, all at once, going on from a state for each."""
+    out = state.astype(np.uint64)
+    order = np.argsort(-sizes, kind="stable")
+    falling = -sizes[order]
+    prime, mask = np.uint64(C.FNV_PRIME), np.uint64(C.MASK_32)
+    for k in range(min(int(sizes.max(initial=0)), LONG_TOKEN)):
+        at = order[: np.searchsorted(falling, -k, side="left")]
+        out[at] = ((out[at] ^ data[starts[at] + k]) * prime) & mask
+    for i in order[: np.searchsorted(falling, -LONG_TOKEN, side="left")]:  # few, each as long as a text
+        h = int(out[i])
+        for byte in data[starts[i] + LONG_TOKEN : starts[i] + sizes[i]].tolist():
+            h = ((h ^ byte) * C.FNV_PRIME) & C.MASK_32
+        out[i] = h
+    return out
+
+
+def _start(prefix: str) -> int:
+    h = C.FNV_START
+    for byte in prefix.encode():
+        h = ((h ^ byte) * C.FNV_PRIME) & C.MASK_32
+    return h
+
+
+def _spans(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _expand(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for sizes[i] places, one run after the other."""
+    return np.repeat(first - _spans(sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class _Index(dict):
+    """Numbers of tokens, given when they are first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+class Vocabulary:
+    """What one use of each token adds to the buckets, and where the hash of a pair goes on from."""
+
+    def __init__(self, dim: int):
+        self.dim, self.index, self.known = dim, _Index(), 0
+        self.data, self.first, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.state = np.zeros(0, np.uint64)
+        self.bucket, self.value, self.edge = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _hashed(self, h: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+        return (h % np.uint64(self.dim)).astype(np.int64), np.where(h & np.uint64(65536), -weight, weight)
+
+    def learn(self) -> None:
+        """Hashes the tokens that were numbered since the last time."""
+        new = list(self.index)[self.known :]
+        if not new:
+            return
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        data = np.frombuffer("".join(new).encode("ascii"), np.uint8)
+        first = _spans(size)
+        bucket, value = self._hashed(_fold(np.full(len(new), _start("w:"), np.uint64), data, first, size), WORD)
+        owner = [np.arange(len(new))]
+        buckets, values = [bucket], [value]
+        # Grams of ^token$, of all tokens of three characters or more.
+        some = np.flatnonzero(size >= 3)
+        framed, at = np.zeros(int(size[some].sum()) + 2 * len(some), np.uint8), _spans(size[some] + 2)
+        framed[at], framed[at + size[some] + 1] = ord("^"), ord("$")
+        framed[_expand(at + 1, size[some])] = data[_expand(first[some], size[some])]
+        of = np.repeat(np.arange(len(some)), size[some] + 2)
+        end = (at + size[some] + 2)[of]
+        h = np.full(len(framed), _start("c:"), np.uint64)
+        here = np.arange(len(framed))
+        for k in range(5):
+            real = here + k < end
+            h[real] = ((h[real] ^ framed[here[real] + k]) * np.uint64(C.FNV_PRIME)) & np.uint64(C.MASK_32)
+            if k >= 2:
+                bucket, value = self._hashed(h[real], GRAM)
+                owner.append(some[of[real]])
+                buckets.append(bucket)
+                values.append(value)
+        key = np.concatenate(owner) * self.dim + np.concatenate(buckets)
+        kinds, back = np.unique(key, return_inverse=True)
+        total = np.bincount(back, np.concatenate(values), len(kinds)).astype(np.int64)
+        many = np.bincount(kinds // self.dim, minlength=len(new))
+        self.bucket, self.value = np.concatenate([self.bucket, (kinds % self.dim).astype(np.int32)]), np.concatenate([self.value, total])
+        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(many)])
+        state = _fold(np.full(len(new), _start("b:"), np.uint64), data, first, size)
+        self.state = np.concatenate([self.state, ((state ^ np.uint64(ord("_"))) * np.uint64(C.FNV_PRIME)) & np.uint64(C.MASK_32)])
+        self.first, self.size, self.data = np.concatenate([self.first, first + len(self.data)]), np.concatenate([self.size, size]), np.concatenate([self.data, data])
+        self.known = len(self.index)
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """The signed sums of all features' weights: a row for each text, a column for each bucket."""
+        found = [[self.index[t] for t in text_tokens(text)] for text in texts]
+        self.learn()
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate([np.array(x, np.int64) for x in found]) if len(found) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(texts)), n)
+        key, times = np.unique(doc * self.known + ids, return_counts=True)
+        token = key % max(self.known, 1)
+        many = np.diff(self.edge)[token]
+        at = _expand(self.edge[:-1][token], many)
+        cell = [np.repeat(key // max(self.known, 1), many) * self.dim + self.bucket[at]]
+        value = [np.repeat(times, many) * self.value[at]]
+        both = np.flatnonzero(doc[1:] == doc[:-1])
+        pair, back = np.unique(ids[both] * max(self.known, 1) + ids[both + 1], return_inverse=True)
+        one, two = pair // max(self.known, 1), pair % max(self.known, 1)
+        bucket, signed = self._hashed(_fold(self.state[one], self.data, self.first[two], self.size[two]), PAIR)
+        cell.append(doc[both] * self.dim + bucket[back])
+        value.append(signed[back])
+        return np.bincount(np.concatenate(cell), np.concatenate(value), len(texts) * self.dim).astype(np.int64).reshape(len(texts), self.dim)
+
+
+def _embedded(texts: DataFrame, key: str, text: str, dim: int, field: T.StructField, told) -> DataFrame:
+    """key and what told() makes of the sums, in the task that reads the texts."""
+    rows = max(1, min(1000, CELLS // dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Vocabulary(dim)
+        for batch in batches:
+            said, start = batch.column(1), 0
+            while start < batch.num_rows:
+                part, size = [], 0
+                for t in said.slice(start, rows):  # some megabytes of text at once
+                    part.append(t.as_py() or "")
+                    size += len(part[-1])
+                    if size > 4_000_000:
+                        break
+                if len(held.index) > REMEMBERED:
+                    held = Vocabulary(dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), told(held.sums(part))], [key, field.name])
+                start += len(part)
+
+    return texts.select(key, F.col(text).alias(f"{key}_text")).mapInArrow(run, T.StructType([texts.schema[key], field]))
+
+
+def _lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(matrix.reshape(-1), kind))
+
+
+def bucket_vectors(texts: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """key and embedding: the sums themselves as an array of length dim; a null text has zeros."""
+    return _embedded(texts, key, text, dim, T.StructField("embedding", T.ArrayType(T.DoubleType())), lambda m: _lists(m.astype(float), pa.float64()))
 
 
 def bucket_sums(texts: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """key, bucket and value: the signed sums of all features' weights, buckets without any left out.
-
-    Grams are summed per token of the vocabulary first, so texts meet small rows of numbers, not their grams.
-    """
-    # A text's tokens are one array of one row, so neighbours need no window over the exploded table.
-    arrays = texts.select(key, C.code_tokens(F.col(text)).alias("t"))
-    words = arrays.select(key, F.explode("t").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    next_to = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
-    pairs = arrays.where(F.size("t") > 1).select(key, F.explode(next_to).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("n"))
-    one = words.join(token_sums(words.select("token").distinct(), dim), "token").select(key, "bucket", (F.col("n") * F.col("value")).alias("value"))
-    two = pairs.join(hashed(pairs, dim), "feature").select(key, "bucket", (F.col("n") * F.col("sign") * PAIR).alias("value"))
-    return one.unionByName(two).groupBy(key, "bucket").agg(F.sum("value").alias("value")).where(F.col("value") != 0)
+    """key, bucket and value: the sums that aren't zero."""
+    sums = bucket_vectors(texts, key, text, dim).select(key, F.posexplode("embedding").alias("bucket", "value"))
+    return sums.where(F.col("value") != 0).select(key, F.col("bucket").cast("long").alias("bucket"), F.col("value").cast("long").alias("value"))
 
 
-def dense(sums: DataFrame, key: str, dim: int) -> DataFrame:
-    """key and embedding: array<float> of length dim with norm 1, all zeros for a zero vector."""
-    filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"), F.sqrt(F.sum((F.col("value") * F.col("value")).cast("double"))).alias("norm"))
-    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)) / F.col("norm")).cast("float")).alias("embedding"))
-
-
-def bucket_vectors(sums: DataFrame, key: str, dim: int) -> DataFrame:
-    """key and embedding: the sums themselves as an array of length dim."""
-    filled = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))  # at most dim entries
-    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)).cast("double")).alias("embedding"))
+def hash_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
+    """key and embedding of every text: array<float> of length dim with norm 1, all zeros without tokens."""
 
+    def unit(m: np.ndarray) -> pa.Array:
+        norm = np.sqrt((m.astype(float) ** 2).sum(axis=1, keepdims=True))
+        return _lists((m / np.where(norm == 0, 1.0, norm)).astype(np.float32), pa.float32())
 
-def hash_embed(texts: DataFrame, key: str, text: str, dim: int = 1536) -> DataFrame:
-    """key and embedding of every text."""
-    found = dense(bucket_sums(texts, key, text, dim), key, dim)
-    return texts.select(key).join(found, key, "left").select(key, F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+    return _embedded(texts, key, text, dim, T.StructField("embedding", T.ArrayType(T.FloatType())), unit)

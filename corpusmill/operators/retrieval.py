@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +16,8 @@ from pyspark.sql import types as T
 from corpusmill.functions import columns as C
 
 RRF_K, PER_ARM, KEEP = 60, 40, 12
-QUERY_BLOCK = 5_000
+QUERY_BLOCK, BLOCKS_A_SCAN = 5_000, 4
 CELLS = 2_000_000  # similarities held at once in a task
-TIE = 1e-8  # what rounding may make equal
 
 
 def top(run: DataFrame, score: str, k: int, rank: str = "rank", tie: str = "chunk_id") -> DataFrame:
@@ -41,13 +41,12 @@ class _Block:
 
 
 class _Best:
-    """Of one question block, the pairs of question and row that may be among a question's k best."""
+    """Of one block of questions, each one's k best rows so far: by falling similarity, of equal ones the smaller id."""
 
-    def __init__(self, block: _Block, k: int, overlapping: bool):
-        self.block, self.k, self.overlapping = block, k, overlapping
+    def __init__(self, block: _Block, k: int, overlapping: bool, places: int):
+        self.block, self.k, self.overlapping, self.places = block, k, overlapping, places
         self.least = np.full(len(block.vectors), -np.inf)
-        self.top = np.full((len(block.vectors), k), -np.inf)
-        self.kept: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.asked, self.alike, self.ids = np.zeros(0, np.int64), np.zeros(0), None
 
     def meet(self, ids: pa.Array, groups: np.ndarray, vectors: np.ndarray) -> None:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
@@ -60,55 +59,70 @@ class _Best:
             for low in range(0, len(rows), step):
                 part = rows[low : low + step]
                 q, c = self.block.vectors[asked], vectors[part]
-                alike = (q @ c.T) / (self.block.norms[asked][:, None] * norms[part][None, :])
+                alike = np.round((q @ c.T) / (self.block.norms[asked][:, None] * norms[part][None, :]), self.places)
                 if self.overlapping and (alike == 0).any():
                     alike[(alike == 0) & ((np.abs(q) @ np.abs(c).T) == 0)] = -np.inf
-                both = np.concatenate([self.top[asked], alike], axis=1)
-                self.top[asked] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
-                self.least[asked] = self.top[asked].min(axis=1)
-                x, y = np.nonzero((alike >= self.least[asked][:, None] - TIE) & (alike > -np.inf))
-                self.kept.append((asked[x], ids.take(pa.array(part[y])), alike[x, y]))
+                x, y = np.nonzero((alike >= self.least[asked][:, None]) & (alike > -np.inf))
+                if len(x):
+                    self._keep(asked[x], alike[x, y], ids.take(pa.array(part[y])))
+
+    def _keep(self, asked: np.ndarray, alike: np.ndarray, ids: pa.Array) -> None:
+        """Adds pairs and drops all that k better ones of the same question are there for."""
+        asked, alike = np.concatenate([self.asked, asked]), np.concatenate([self.alike, alike])
+        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        order = pc.sort_indices(pa.table({"a": asked, "s": alike, "i": ids}), [("a", "ascending"), ("s", "descending"), ("i", "ascending")]).to_numpy()
+        asked, alike = asked[order], alike[order]
+        first = np.searchsorted(asked, asked)
+        good = np.arange(len(asked)) - first < self.k
+        self.asked, self.alike, self.ids = asked[good], alike[good], ids.take(pa.array(order[good]))
+        many = np.bincount(self.asked, minlength=len(self.least))
+        full = np.flatnonzero(many >= self.k)
+        self.least[full] = self.alike[np.searchsorted(self.asked, full, side="right") - 1]
 
     def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
-        for x, ids, alike in self.kept:
-            good = np.flatnonzero(alike >= self.least[x] - TIE)
-            if len(good):
-                yield pa.RecordBatch.from_arrays([self.block.ids.take(pa.array(x[good])), ids.take(pa.array(good)), pa.array(alike[good])], names)
+        if self.ids is not None:
+            yield pa.RecordBatch.from_arrays([self.block.ids.take(pa.array(self.asked)), self.ids, pa.array(self.alike)], names)
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None, overlapping: bool = False, query_id: str = "query_id", chunk_id: str = "chunk_id") -> DataFrame:
-    """query_id, chunk_id and cosine similarity of at least the k best chunks of every question, within the columns in keys.
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None, overlapping: bool = False, query_id: str = "query_id", chunk_id: str = "chunk_id", places: int = 12) -> DataFrame:
+    """query_id, chunk_id and cosine similarity (to `places`) of every question's k best chunks of each task, within the columns in keys.
 
-    A stated, counted set of questions meets all chunks in blocks of about QUERY_BLOCK: a block's vectors are broadcast,
-    batches of chunks are multiplied with them, and a task sends on only what may be among a question's k best (equal
-    ones with it). Without a vector, with one of zeros, or with a null key a row is like none; with `overlapping`, rows
+    A stated, counted set of questions meets all chunks in blocks of about QUERY_BLOCK: the vectors of up to BLOCKS_A_SCAN
+    blocks are broadcast, batches of chunks are multiplied with each, and a task sends on its k best for each question,
+    equal ones by id. Without a vector, with one of zeros, or with a null key a row is like none; with `overlapping`, rows
     without a common non-zero place are left out too.
     """
     spark = chunks.sparkSession
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
     told = lambda df, key: df.where(F.col("embedding").isNotNull() & F.lit(True if not keys else reduce(Column.__and__, [F.col(x).isNotNull() for x in keys]))).select(key, group.alias("group"), F.col("embedding").cast("array<double>").alias("embedding"))
     q, c = told(queries, query_id), told(chunks, chunk_id)
-    blocks = max(-(-q.count() // QUERY_BLOCK), 1)
     kinds, names = [q.schema[0].dataType, c.schema[0].dataType], [query_id, chunk_id, "similarity"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*kinds, T.DoubleType()])])
 
     def matrix(col: pa.Array) -> np.ndarray:
         return col.values.slice(col.offsets[0].as_py(), len(col.values)).to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
+    def held(rows: pa.Table) -> list[_Block]:
+        return [_Block(b.column(0), b.column(1).to_numpy(), matrix(b.column(2))) for b in rows.combine_chunks().to_batches(max_chunksize=QUERY_BLOCK)]
+
+    scans = max(-(-q.count() // (QUERY_BLOCK * BLOCKS_A_SCAN)), 1)
     found = []
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BLOCK rows
+    for part in range(scans):
+        rows = q if scans == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(scans)) == part)
+        rows = rows.toArrow()  # about BLOCKS_A_SCAN blocks
         if not rows.num_rows:
             continue
-        rows = rows.to_batches()[0]
-        shared = spark.sparkContext.broadcast(_Block(rows.column(0), rows.column(1).to_numpy(), matrix(rows.column(2))))
+        shared = spark.sparkContext.broadcast(held(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = _Best(shared.value, k, overlapping)
+            best = [_Best(block, k, overlapping, places) for block in shared.value]
             for batch in batches:
                 if batch.num_rows:
-                    best.meet(batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2)))
-            yield from best.batches(names)
+                    ids, groups, vectors = batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2))
+                    for b in best:
+                        b.meet(ids, groups, vectors)
+            for b in best:
+                yield from b.batches(names)
 
         found.append(c.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
@@ -131,41 +145,23 @@ def raw_terms(queries: DataFrame, stop_words: list[str]) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("raw")).where(~F.col("raw").isin(stop_words)).select("query_id", C.stem(F.col("raw")).alias("term")).distinct()
 
 
-def postings(chunks: DataFrame, text: str, stop_words: list[str], only: DataFrame | None = None) -> DataFrame:
-    """chunk_id, term, tf and positions. With `only` (column term) other terms are left out before anything is grouped."""
+def postings(chunks: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
+    """chunk_id, term, tf and positions."""
     words = chunks.select("chunk_id", F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("pos", "raw")).where(~F.col("raw").isin(stop_words))
     words = words.select("chunk_id", C.stem(F.col("raw")).alias("term"), "pos")
-    if only is not None:
-        words = words.join(maybe_broadcast(only.select("term").distinct(), 200_000), "term", "left_semi")
     return words.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def lengths(chunks: DataFrame, text: str, stop_words: list[str]) -> DataFrame:
-    """chunk_id and dl, the number of words that are indexed, of chunks that have any; told in place."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: ~w.isin(stop_words))
-    return chunks.select("chunk_id", F.size(words).cast("long").alias("dl")).where(F.col("dl") > 0)
-
-
 def lexical_scores(terms: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, chunk_id and score: 0.1 for every occurrence of a term, the cover density of an OR query."""
     return index.join(maybe_broadcast(terms, 200_000), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") / 10).alias("score"))
 
 
 def lexical_topk(terms: DataFrame, index: DataFrame, k: int = PER_ARM) -> DataFrame:
+    """The k best by lexical_scores() over postings that aren't stored; index_store.topk() reads a stored index."""
     return top(lexical_scores(terms, index), "score", k)
 
 
-def bm25_topk(terms: DataFrame, index: DataFrame, length: DataFrame, k: int = PER_ARM, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score and rank by BM25; index holds at least the postings of the terms, length what lengths() tells."""
-    n, avgdl = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    asked = index.select("chunk_id", "term", "tf").join(maybe_broadcast(terms.select("term").distinct(), 200_000), "term")
-    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = asked.join(maybe_broadcast(df, 200_000), "term").join(length, "chunk_id").select("chunk_id", "term", gain.alias("gain"))
-    return top(scored.join(maybe_broadcast(terms, 200_000), "term").groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("score")), "score", k)
-
-
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
     """query_id, chunk_id, rrf, dense_rank and lex_rank of everything that either arm ranks."""
     d = dense.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"))
@@ -207,7 +203,7 @@ def rerank_blend(run: DataFrame, relevance: DataFrame | None, keep: int = 8) ->
         return rerank_fusion_order(run, keep)
     most = F.greatest(F.max("rrf").over(Window.partitionBy("query_id")), F.lit(1e-9))
     scored = run.withColumn("__most", most).join(relevance, ["query_id", "chunk_id"], "left").withColumn("score", F.lit(0.8) * F.coalesce("relevance", F.lit(0.0)) + F.lit(0.2) * F.col("rrf") / F.col("__most"))
-    return top(scored.drop("rank", "__most", "relevance"), "score", keep)
+    return top(scored.drop("rank", "__most", "relevance").withColumn("score", F.round("score", 9)), "score", keep)
 
 
 def search_code(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.index_store import Index, build
 from corpusmill.sources.corpus import spread
 
 
@@ -33,6 +34,27 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stored indexes of this application, by what they were made of.
+_indexes: dict[tuple, Index] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files at path."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
+def stored_index(spark: SparkSession, sf_dir: str, dim: int, stop_words: list[str]) -> Index:
+    """The index of the documents: built at first use and again when their files change, read by every search."""
+    key = (spark.sparkContext.applicationId, dim, state_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _indexes:
+        chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+        _indexes[key] = build(chunks, "text", work_dir(spark, "index"), stop_words, dim)
+    return _indexes[key]
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, content and bytes: one file per document and per page."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")

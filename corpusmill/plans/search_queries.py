@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
 from corpusmill.operators import embedding as E
+from corpusmill.operators import index_store as I
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.bindings import questions, table
+from corpusmill.plans.bindings import questions, stored_index, table
 
 QUERIES, ORACLES = {}, {}
 DIM = 256
@@ -131,8 +132,12 @@ def doc_chunks(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("repo_id"))
 
 
-def doc_postings(spark, d, only=None):
-    return R.postings(doc_chunks(spark, d), "text", list(STOP), only)
+def doc_index(spark, d):
+    return stored_index(spark, d, DIM, STOP)
+
+
+def doc_postings(spark, d):
+    return R.postings(doc_chunks(spark, d), "text", list(STOP))
 
 
 @query("r3_build_postings", f"WITH {POSTINGS} SELECT chunk_id, term, tf, array_to_string(positions, ',') AS positions FROM postings")
@@ -156,8 +161,7 @@ def doc_terms(spark, d):
 
 @query("r5_lexical_match_rank", f"WITH {LEX} SELECT query_id, chunk_id, round(score, 6) AS score FROM lexical")
 def r5(spark, d):
-    terms = doc_terms(spark, d)
-    return R.lexical_scores(terms, doc_postings(spark, d, terms)).withColumn("score", F.round("score", 6))
+    return I.scores(doc_terms(spark, d), doc_index(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query("r6_lexical_topk", f"WITH {LEX}, {LEX_TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM lextop")
@@ -167,10 +171,9 @@ def r6(spark, d):
 
 @query("r7_bm25_rank", f"""WITH {POSTINGS}, {ASKED}, dl AS (SELECT chunk_id, sum(tf) AS dl FROM postings GROUP BY chunk_id), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
   s AS (SELECT query_id, chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM postings JOIN asked USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY query_id, chunk_id)
-  SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 40""")
+  SELECT query_id, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 40""")
 def r7(spark, d):
-    terms = doc_terms(spark, d)
-    return R.bm25_topk(terms, doc_postings(spark, d, terms), R.lengths(doc_chunks(spark, d), "text", list(STOP))).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return I.topk(doc_terms(spark, d), doc_index(spark, d), R.PER_ARM, bm25=True).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # The dense arm of the hybrid: hashed embeddings of questions and documents, with exact integer dot products.
@@ -184,15 +187,12 @@ HYBRID = f"{DOC_DENSE}, {LEX}, {LEX_TOP}, {FUSED}, hybrid AS (SELECT * FROM (SEL
 
 def doc_dense(spark, d, k=R.PER_ARM):
     """The dense arm: whole-number vectors, so that products are exact, in blocks of questions."""
-    sums = lambda df, key: E.bucket_vectors(E.bucket_sums(df, key, "text", DIM), key, DIM)
-    q = sums(questions(spark, d).withColumnRenamed("question", "text"), "query_id")
-    near = R.nearest(q, sums(doc_chunks(spark, d), "chunk_id"), k, overlapping=True)
-    return R.top(near.withColumn("similarity", F.round("similarity", 9)), "similarity", k)
+    q = E.bucket_vectors(questions(spark, d), "query_id", "question", DIM)
+    return R.top(R.nearest(q, doc_index(spark, d).vectors, k, overlapping=True, places=9), "similarity", k)
 
 
 def doc_lexical(spark, d):
-    terms = doc_terms(spark, d)
-    return R.lexical_topk(terms, doc_postings(spark, d, terms))
+    return I.topk(doc_terms(spark, d), doc_index(spark, d), R.PER_ARM)
 
 
 def doc_hybrid(spark, d, keep=R.KEEP):
@@ -216,7 +216,7 @@ SCOPED = "scoped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 def r10(spark, d):
     scoped = R.path_scope(doc_chunks(spark, d), "/EN/")
     terms = doc_terms(spark, d)
-    run = R.lexical_topk(terms, R.postings(scoped, "text", list(STOP), terms))
+    run = I.topk(terms, doc_index(spark, d), R.PER_ARM, within=scoped)
     return run.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -251,7 +251,7 @@ RAW_ASKED = f"asked AS (SELECT DISTINCT query_id, {STEM.format('raw')} AS term F
 def r14(spark, d):
     one = doc_dense(spark, d, 10).select(F.lit("dense").alias("config"), "query_id", "chunk_id", "rank")
     terms = R.raw_terms(questions(spark, d), list(STOP))
-    two = R.lexical_topk(terms, doc_postings(spark, d, terms), 10)
+    two = I.topk(terms, doc_index(spark, d), 10)
     return one.unionByName(two.select(F.lit("lexical").alias("config"), "query_id", "chunk_id", "rank"))
 
 
