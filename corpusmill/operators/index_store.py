@@ -76,7 +76,10 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.stats = spark.read.parquet(f"{path}/stats").first()  # one row
-        self.postings = spark.read.parquet(f"{path}/postings")
+        kind = self.documents.schema["chunk_id"].dataType
+        docs = T.ArrayType(T.StructType([T.StructField("chunk_id", kind), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.LongType())]))
+        fields = {"term": T.StringType(), "range": T.LongType(), "docs": docs, "n": T.LongType(), "most_tf": T.IntegerType(), "most_gain": T.DoubleType(), "bucket": T.IntegerType()}
+        self.postings = spark.read.schema(T.StructType([T.StructField(*x) for x in fields.items()])).parquet(f"{path}/postings")
 
     @property
     def vectors(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,13 +39,42 @@ class _Block:
         self.members = {g: np.flatnonzero((groups == g) & (self.norms > 0)) for g in np.unique(groups)}
 
 
-class _Best:
-    """Of one block of questions, each one's k best rows so far: by falling similarity, of equal ones the smaller id."""
+def matrix_of(col: pa.Array) -> np.ndarray:
+    """Equally long lists as rows."""
+    if not len(col):
+        return np.zeros((0, 1))
+    first, last = col.offsets[0].as_py(), col.offsets[len(col)].as_py()
+    return col.values.slice(first, last - first).to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+class TopPairs:
+    """Each question's k best rows so far: by falling similarity, of equal ones the smaller id; ids may carry a number along."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.least = k, np.full(questions, -np.inf)
+        self.asked, self.alike, self.extra, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), None
+
+    def add(self, asked: np.ndarray, alike: np.ndarray, ids: pa.Array, extra: np.ndarray | None = None) -> None:
+        """Adds pairs and drops all that k better ones of the same question are there for."""
+        if not len(asked):
+            return
+        asked, alike = np.concatenate([self.asked, asked]), np.concatenate([self.alike, alike])
+        extra = np.concatenate([self.extra, extra]) if extra is not None else np.zeros(len(asked), np.int64)
+        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        order = pc.sort_indices(pa.table({"a": asked, "s": alike, "i": ids}), [("a", "ascending"), ("s", "descending"), ("i", "ascending")]).to_numpy()
+        asked, alike = asked[order], alike[order]
+        good = np.arange(len(asked)) - np.searchsorted(asked, asked) < self.k
+        self.asked, self.alike, self.extra, self.ids = asked[good], alike[good], extra[order[good]], ids.take(pa.array(order[good]))
+        full = np.flatnonzero(np.bincount(self.asked, minlength=len(self.least)) >= self.k)
+        self.least[full] = self.alike[np.searchsorted(self.asked, full, side="right") - 1]
+
+
+class _Best(TopPairs):
+    """The best rows of one block of questions."""
 
     def __init__(self, block: _Block, k: int, overlapping: bool, places: int):
-        self.block, self.k, self.overlapping, self.places = block, k, overlapping, places
-        self.least = np.full(len(block.vectors), -np.inf)
-        self.asked, self.alike, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+        super().__init__(len(block.vectors), k)
+        self.block, self.overlapping, self.places = block, overlapping, places
 
     def meet(self, ids: pa.Array, groups: np.ndarray, vectors: np.ndarray) -> None:
         norms = np.sqrt((vectors * vectors).sum(axis=1))
@@ -63,21 +91,7 @@ class _Best:
                 if self.overlapping and (alike == 0).any():
                     alike[(alike == 0) & ((np.abs(q) @ np.abs(c).T) == 0)] = -np.inf
                 x, y = np.nonzero((alike >= self.least[asked][:, None]) & (alike > -np.inf))
-                if len(x):
-                    self._keep(asked[x], alike[x, y], ids.take(pa.array(part[y])))
-
-    def _keep(self, asked: np.ndarray, alike: np.ndarray, ids: pa.Array) -> None:
-        """Adds pairs and drops all that k better ones of the same question are there for."""
-        asked, alike = np.concatenate([self.asked, asked]), np.concatenate([self.alike, alike])
-        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
-        order = pc.sort_indices(pa.table({"a": asked, "s": alike, "i": ids}), [("a", "ascending"), ("s", "descending"), ("i", "ascending")]).to_numpy()
-        asked, alike = asked[order], alike[order]
-        first = np.searchsorted(asked, asked)
-        good = np.arange(len(asked)) - first < self.k
-        self.asked, self.alike, self.ids = asked[good], alike[good], ids.take(pa.array(order[good]))
-        many = np.bincount(self.asked, minlength=len(self.least))
-        full = np.flatnonzero(many >= self.k)
-        self.least[full] = self.alike[np.searchsorted(self.asked, full, side="right") - 1]
+                self.add(asked[x], alike[x, y], ids.take(pa.array(part[y])))
 
     def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         if self.ids is not None:
@@ -99,11 +113,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | Non
     kinds, names = [q.schema[0].dataType, c.schema[0].dataType], [query_id, chunk_id, "similarity"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*kinds, T.DoubleType()])])
 
-    def matrix(col: pa.Array) -> np.ndarray:
-        return col.values.slice(col.offsets[0].as_py(), len(col.values)).to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
-
     def held(rows: pa.Table) -> list[_Block]:
-        return [_Block(b.column(0), b.column(1).to_numpy(), matrix(b.column(2))) for b in rows.combine_chunks().to_batches(max_chunksize=QUERY_BLOCK)]
+        return [_Block(b.column(0), b.column(1).to_numpy(), matrix_of(b.column(2))) for b in rows.combine_chunks().to_batches(max_chunksize=QUERY_BLOCK)]
 
     scans = max(-(-q.count() // (QUERY_BLOCK * BLOCKS_A_SCAN)), 1)
     found = []
@@ -118,7 +129,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | Non
             best = [_Best(block, k, overlapping, places) for block in shared.value]
             for batch in batches:
                 if batch.num_rows:
-                    ids, groups, vectors = batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2))
+                    ids, groups, vectors = batch.column(0), batch.column(1).to_numpy(), matrix_of(batch.column(2))
                     for b in best:
                         b.meet(ids, groups, vectors)
             for b in best:
@@ -212,41 +223,3 @@ def search_code(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, k: int
 
     wide = hybrid(dense, lexical, chunks, max(3 * k, 18))
     return hits(rerank_fusion_order(wide, k))
-
-
-def ivf_assign(chunks: DataFrame, lists: int = 100, seed: int = 7) -> tuple[DataFrame, object]:
-    """chunks with list_id, and the model with the lists' centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    points = chunks.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features", predictionCol="list_id").fit(points)
-    return model.transform(points).drop("features"), model
-
-
-def ivf_topk(queries: DataFrame, chunks: DataFrame, lists: int = 100, probe: int = 20, k: int = PER_ARM) -> DataFrame:
-    """Approximate dense search: each question is scored exactly on the chunks of its nearest lists, list by list, a task keeping the best."""
-    spark = chunks.sparkSession
-    assigned, model = ivf_assign(chunks, lists)
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centre array<double>")
-    far = F.aggregate(F.zip_with("centre", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = queries.crossJoin(F.broadcast(centres)).select("query_id", "embedding", "list_id", far.alias("far"))  # `lists` centres
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "list_id"))
-    probed = near.withColumn("n", nth).where(F.col("n") <= probe).select("query_id", "embedding", "list_id")
-    return top(nearest(probed, assigned, k, ["list_id"]), "similarity", k)
-
-
-def lsh_signatures(rows: DataFrame, key: str, dim: int, bands: int = 24, bits: int = 6, seed: int = 11) -> DataFrame:
-    """key, band and sig: signs of seeded random projections, `bits` to a band."""
-    rng = random.Random(seed)
-    plane = lambda: F.expr(f"array({', '.join(f'{rng.gauss(0, 1)!r}D' for _ in range(dim))})")
-    side = lambda: F.when(F.aggregate(F.zip_with("embedding", plane(), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
-    sigs = [sum((side() * (1 << b) for b in range(bits)), F.lit(0)).alias("sig") for _ in range(bands)]
-    return rows.select(key, "embedding", F.posexplode(F.array(*sigs)).alias("band", "sig"))
-
-
-def lsh_topk(queries: DataFrame, chunks: DataFrame, dim: int, k: int = PER_ARM, bands: int = 24, bits: int = 6) -> DataFrame:
-    """Approximate dense search: chunks that share a band with a question are scored exactly."""
-    q = lsh_signatures(queries, "query_id", dim, bands, bits).withColumnRenamed("embedding", "__q")
-    met = lsh_signatures(chunks, "chunk_id", dim, bands, bits).join(q, ["band", "sig"]).select("query_id", "chunk_id", "embedding", "__q").dropDuplicates(["query_id", "chunk_id"])
-    return top(met.select("query_id", "chunk_id", C.cosine(F.col("embedding"), F.col("__q")).alias("similarity")), "similarity", k)

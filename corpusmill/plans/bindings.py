@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 #: Stored indexes of this application, by what they were made of.
-_indexes: dict[tuple, Index] = {}
+_indexes: dict[tuple, object] = {}
 
 
 def state_of(spark: SparkSession, path: str) -> tuple:
@@ -46,15 +47,20 @@ def state_of(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
 
 
-def stored_index(spark: SparkSession, sf_dir: str, dim: int, stop_words: list[str]) -> Index:
-    """The index of the documents: built at first use and again when their files change, read by every search."""
-    key = (spark.sparkContext.applicationId, dim, state_of(spark, f"{sf_dir}/documents.parquet"))
+def kept(spark: SparkSession, sf_dir: str, name: str, what: tuple, make: Callable[[str], object]) -> object:
+    """What make() writes and returns for a table: made at first use and again when the table's files change."""
+    key = (spark.sparkContext.applicationId, what, state_of(spark, f"{sf_dir}/{name}.parquet"))
     if key not in _indexes:
-        chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-        _indexes[key] = build(chunks, "text", work_dir(spark, "index"), stop_words, dim)
+        _indexes[key] = make(work_dir(spark, "-".join(map(str, what))))
     return _indexes[key]
 
 
+def stored_index(spark: SparkSession, sf_dir: str, dim: int, stop_words: list[str]) -> Index:
+    """The index of the documents: built at first use and again when their files change, read by every search."""
+    chunks = lambda: table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return kept(spark, sf_dir, "documents", ("index", dim), lambda at: build(chunks(), "text", at, stop_words, dim))
+
+
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, content and bytes: one file per document and per page."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
+from corpusmill.operators import ann as A
 from corpusmill.operators import embedding as E
 from corpusmill.operators import index_store as I
 from corpusmill.operators import retrieval as R
-from corpusmill.plans.bindings import questions, stored_index, table
+from corpusmill.plans.bindings import kept, questions, stored_index, table
 
 QUERIES, ORACLES = {}, {}
 DIM = 256
@@ -258,10 +259,12 @@ def r14(spark, d):
 @query("r15_ivf_topk", None)
 def r15(spark, d):
     q, c = vectors(spark, d)
-    return R.ivf_topk(q, c, 20, 14, 10).withColumn("similarity", F.round("similarity", 6))
+    index = kept(spark, d, "embeddings", ("ivf", 10), lambda at: A.build_ivf(c, at, 10))
+    return A.ivf_topk(q, index, 10).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("r16_lsh_topk", None)
 def r16(spark, d):
     q, c = vectors(spark, d)
-    return R.lsh_topk(q, c, 64, 10, bands=64).withColumn("similarity", F.round("similarity", 6))
+    index = kept(spark, d, "embeddings", ("lsh", 10), lambda at: A.build_lsh(c, at, 10))
+    return A.lsh_topk(q, index, 10).withColumn("similarity", F.round("similarity", 6))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
-from corpusmill.operators import answering, cache, catalog, chunking, embedding, evaluation, indexing, observability, ratelimit, retrieval
+from corpusmill.operators import ann, answering, cache, catalog, chunking, embedding, evaluation, indexing, observability, ratelimit, retrieval
 from corpusmill.operators import text as X
 from corpusmill.plans import search_queries
 from corpusmill.sources import corpus
@@ -129,17 +129,34 @@ def test_summary_prefers_the_anchor(spark):
     assert X.summarize(df, ["k"], "t", "a", 1).first().summary == "The wallet keeps coins."
 
 
-def test_approximate_search_finds_most(spark):
-    import random
+def test_approximate_search_finds_most(spark, tmp_path):
+    """On clustered vectors nine tenths of the neighbours, from at most a quarter of the rows."""
+    import numpy as np
 
-    rng = random.Random(5)
-    rows = [(i, [rng.gauss(0, 1) + 3 * (i % 5 == k) for k in range(16)]) for i in range(400)]
-    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    q = c.where("chunk_id < 10").withColumnRenamed("chunk_id", "query_id")
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.3 * rng.normal(size=16)]) for i in range(4000)] + [(5000, None), (5001, [0.0] * 16)]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(4)
+    q = c.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
     exact = {(r.query_id, r.chunk_id) for r in retrieval.dense_topk(q, c, 10).collect()}
-    for run in (retrieval.ivf_topk(q, c, 8, 4, 10), retrieval.lsh_topk(q, c, 16, 10, bands=32, bits=3)):
-        found = {(r.query_id, r.chunk_id) for r in run.collect()}
-        assert len(exact & found) / len(exact) >= 0.8
+    ivf, lsh = ann.build_ivf(c, str(tmp_path / "ivf"), 10), ann.build_lsh(c, str(tmp_path / "lsh"), 10)
+    for run, share in ((ann.ivf_topk(q, ivf, 10), ivf.scored_share(q)), (ann.lsh_topk(q, lsh, 10), lsh.candidate_share(q))):
+        rows = run.collect()
+        assert len(exact & {(r.query_id, r.chunk_id) for r in rows}) / len(exact) >= 0.9 and share <= 0.25
+        assert all(r.rank <= 10 for r in rows) and len(rows) == len(exact)
+    assert ivf.table.count() == lsh.table.count() == 4000
+    # Only the folders of probed lists are read.
+    one = q.where("query_id = 50")
+    assert "PartitionFilters: [" in ann.ivf_topk(one, ivf, 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_approximate_search_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert ann.ivf_topk(q, ann.build_ivf(none, str(tmp_path / "a")), 5).count() == 0 == ann.lsh_topk(q, ann.build_lsh(none, str(tmp_path / "b")), 5).count()
+    two = spark.createDataFrame([(7, [1.0, 0.5]), (8, [1.0, 0.5])], "chunk_id long, embedding array<float>")
+    for found in (ann.ivf_topk(q, ann.build_ivf(two, str(tmp_path / "c")), 5), ann.lsh_topk(q, ann.build_lsh(two, str(tmp_path / "d"), bands=1, bits=2), 5)):
+        assert [(r.chunk_id, r["rank"]) for r in found.orderBy("rank").collect()] == [(7, 1), (8, 2)]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -170,7 +187,8 @@ def test_dense_search_meets_blocks_of_queries(spark, monkeypatch):
     c = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, 1.0]) for i in range(60)], "chunk_id long, embedding array<float>")
     q = c.where("chunk_id % 4 = 0").withColumnRenamed("chunk_id", "query_id")
     whole = {tuple(r) for r in retrieval.dense_topk(q, c, 5).collect()}
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "BLOCKS_A_SCAN", 2)
     blocked = retrieval.dense_topk(q, c, 5)
     assert {tuple(r) for r in blocked.collect()} == whole and len(whole) == 75
     plan = blocked._jdf.queryExecution().optimizedPlan().toString()
