@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import answering as A
 from corpusmill.operators import cache as K
 from corpusmill.operators import catalog as Q
+from corpusmill.operators import chunk_store as P
 from corpusmill.operators import evaluation as V
 from corpusmill.operators import indexing as S
 from corpusmill.operators import observability as O
@@ -15,7 +16,7 @@ from corpusmill.operators import retrieval as R
 from corpusmill.operators import text as X
 from corpusmill.plans.bindings import QUERY_LOG, query_log, questions, table, work_dir, written
 from corpusmill.plans.corpus_queries import TO_CHUNKS, chunks
-from corpusmill.plans.search_queries import HYBRID, WIDE, doc_chunks, doc_dense, doc_lexical
+from corpusmill.plans.search_queries import DIM, HYBRID, WIDE, doc_chunks, doc_dense, doc_lexical
 from corpusmill.plans.text_queries import CLEAN, GUARDED, REASON, guarded, summary_sql
 
 QUERIES, ORACLES = {}, {}
@@ -36,8 +37,8 @@ STORED = "stored AS (SELECT repo_id, path, start_line, CASE WHEN left(content_ha
 INCOMING = "incoming AS (SELECT repo_id, path, start_line, content_hash FROM chunks WHERE left(content_hash, 1) NOT IN ('4', '5') AND repo_id <> 'src1')"
 
 
-def states(spark, d):
-    c = chunks(spark, d).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash")
+def states(spark, d, content=False):
+    c = chunks(spark, d).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash", *(["content"] if content else []))
     c = written(c, f"{work_dir(spark, 'chunks')}/all")  # cut once, read for both states
     digit = F.substring("content_hash", 1, 1)
     stored = c.where(~digit.isin("2", "3")).withColumn("content_hash", F.when(digit.isin("0", "1"), F.concat(F.lit("old"), F.substring("content_hash", 4, 100))).otherwise(F.col("content_hash")))
@@ -57,13 +58,20 @@ def repos(spark, d):
 def s6(spark, d):
     stored, incoming = states(spark, d)
     twice = incoming.withColumn("pass", F.lit(1)).unionByName(incoming.withColumn("start_line", F.col("start_line") + 1).withColumn("pass", F.lit(2)))
-    return S.insert_chunks(stored, twice, ["pass", "path", "start_line"])
+    store = P.ChunkStore(spark, f"{work_dir(spark, 'store')}/chunks", twice.schema)
+    store.append(stored.withColumn("pass", F.lit(0)))
+    store.insert(twice, ["pass", "path", "start_line"])
+    return store.read().where("pass > 0")
 
 
 @query("s7_upsert_repos", f"WITH {REPOS}, n AS (SELECT c_custkey || '' AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'error' END AS status FROM customer WHERE c_custkey % 7 = 0) SELECT coalesce(n.id, r.id) AS id, owner, coalesce(n.name, r.name) AS name, embed_model, indexed_at, created_at, coalesce(n.status, r.status) AS status FROM repos r FULL OUTER JOIN n ON r.id = n.id")
 def s7(spark, d):
     new = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "error").alias("status"))
-    return S.upsert_repos(repos(spark, d), new)
+    held = repos(spark, d)
+    store = P.RepoStore(spark, f"{work_dir(spark, 'store')}/repos", held.schema)
+    store.append(held)
+    store.upsert(new)
+    return store.read()
 
 
 DIFF = """diff AS (SELECT coalesce(s.repo_id, n.repo_id) AS repo_id, coalesce(s.content_hash, n.content_hash) AS content_hash, CASE WHEN s.content_hash IS NULL THEN 'new' WHEN n.content_hash IS NULL THEN 'pruned' ELSE 'reused' END AS action
@@ -93,16 +101,37 @@ PASS = """fresh AS (SELECT i.* FROM incoming i WHERE EXISTS (SELECT 1 FROM actio
 
 @query("s10_budgeted_pass", f"{TO_DIFF}, {PASS}, r AS (SELECT repo_id, greatest(max(n) - 25, 0) AS remaining FROM nth GROUP BY repo_id) SELECT i.repo_id, coalesce(remaining, 0) AS remaining, CASE WHEN remaining > 0 THEN 'indexing' ELSE 'ready' END AS status, (SELECT count(*) FROM nth WHERE nth.repo_id = i.repo_id AND n <= 25) AS embedded FROM (SELECT DISTINCT repo_id FROM incoming) i LEFT JOIN r ON r.repo_id = i.repo_id")
 def s10(spark, d):
-    stored, incoming = states(spark, d)
-    now, status = S.budgeted_pass(incoming, S.reindex_diff(stored, incoming), 25)
-    done = now.groupBy("repo_id").agg(F.count(F.lit(1)).alias("embedded"))
-    return status.join(done, "repo_id", "left").select("repo_id", F.col("remaining").cast("long").alias("remaining"), "status", F.coalesce("embedded", F.lit(0)).alias("embedded"))
+    """One pass that embeds and appends what is new; what it says of each repository."""
+    store, incoming, at = passes(spark, d)
+    return P.index_pass(store, incoming, "model", 25, DIM, f"{at}/1").select("repo_id", "remaining", "status", "embedded")
+
+
+def passes(spark, d):
+    """A store with the stored chunks, the incoming ones, and a folder for what the passes tell."""
+    stored, incoming = states(spark, d, content=True)
+    at = work_dir(spark, "passes")
+    store = P.ChunkStore(spark, f"{at}/chunks")
+    store.append(stored.withColumn("embed_model", F.lit("model")).withColumn("embedding", F.lit(None).cast("array<float>")))
+    return store, incoming, at
+
+
+@query("s15_resumed_passes", f"""{TO_DIFF}, fresh AS (SELECT i.* FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.repo_id = i.repo_id AND s.content_hash = i.content_hash)),
+  firsts AS (SELECT repo_id, path, start_line, content_hash, 'new' AS origin FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, content_hash ORDER BY path, start_line) AS n FROM fresh) WHERE n = 1)
+  SELECT * FROM firsts UNION ALL SELECT repo_id, path, start_line, content_hash, 'stored' FROM stored s WHERE repo_id NOT IN (SELECT repo_id FROM incoming) OR EXISTS (SELECT 1 FROM incoming i WHERE i.repo_id = s.repo_id AND i.content_hash = s.content_hash)""")
+def s15(spark, d):
+    """The store after passes that stop at their budget and go on by hash until every repository is ready."""
+    store, incoming, at = passes(spark, d)
+    P.index_all(store, incoming, "model", 400, DIM, f"{at}/told")
+    return store.read().select("repo_id", "path", "start_line", "content_hash", F.when(F.col("embedding").isNull(), "stored").otherwise("new").alias("origin"))
 
 
 @query("s11_delete_repo", f"{TO_CHUNKS} SELECT repo_id, path, start_line, content_hash FROM chunks WHERE repo_id NOT IN ('src2', 'pages')")
 def s11(spark, d):
-    gone = spark.createDataFrame([("src2",), ("pages",)], "repo_id string")
-    return S.delete_repos(chunks(spark, d), gone).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash")
+    rows = chunks(spark, d).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash")
+    store = P.ChunkStore(spark, f"{work_dir(spark, 'store')}/chunks", rows.schema)
+    store.append(rows)
+    store.delete(spark.createDataFrame([("src2",), ("pages",)], "repo_id string"))
+    return store.read()
 
 
 @query("s12_append_query_log", "SELECT conv_id, turn, left(text, 500) AS question FROM conversations WHERE role = 'user'")
