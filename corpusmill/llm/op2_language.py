@@ -8,8 +8,9 @@ greatest. Equal neighbours form spans. The text's language is that of most lette
 Most texts are in one language, and for those no search is needed: if no stretch of words gains more than SWITCH by any
 mix of other languages, the path that stays is the best one. All other texts are searched together, word by word.
 
-The fit takes about FIT_ROWS texts of each language, in one pass (a documented bound) and the most frequent MAX_LANGUAGES labels;
-features met in fewer than MIN_COUNT texts are left out.
+The fit takes about FIT_ROWS texts of each language, in one pass (a documented bound); where there are so many languages that
+these are more than FIT_TEXTS, equally fewer of each, and never less than LEAST_ROWS. Every label can be predicted. Features
+met in fewer than MIN_COUNT texts are left out, and the least frequent ones beyond MODEL_CELLS of features times languages.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; rows that repeat are labelled each; without
 any labelled text all are `und`; an empty table gives no rows.
@@ -29,7 +30,8 @@ from . import textvec as tv
 from .folds import fold
 from .spaces import documents, small_batches
 
-FIT_ROWS, MIN_COUNT, MAX_LANGUAGES = 1_000, 2, 200
+FIT_ROWS, LEAST_ROWS, FIT_TEXTS = 1_000, 20, 200_000
+MIN_COUNT, MODEL_CELLS = 2, 40_000_000
 SWITCH = 12.0
 EDGE_BYTES = 4
 UNKNOWN = "und"
@@ -139,15 +141,16 @@ def label(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.n
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model | None:
     """A model from about `rows` of the given texts for each language; None without any."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    given = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
+    given = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
     languages = sorted(r[lang_col] for r in given)
     if not languages:
         return None
     # One pass takes of every language the texts whose hash is low enough, about `rows` of them, or all if there are no more.
+    rows = min(rows, max(LEAST_ROWS, FIT_TEXTS // len(languages)))
     share = {r[lang_col]: min(1.0, rows / r["n"]) for r in given}
     chosen = docs.sparkSession.createDataFrame([(x, i, share[x]) for i, x in enumerate(languages)], T.StructType([T.StructField("of", T.StringType()), T.StructField("number", T.LongType()), T.StructField("share", T.DoubleType())]))
     texts = known.select(F.col(lang_col).cast("string").alias("of"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
-    text = texts.join(F.broadcast(chosen), "of").where(F.col("at") < F.col("share")).select("text", "number")  # at most MAX_LANGUAGES rows
+    text = texts.join(F.broadcast(chosen), "of").where(F.col("at") < F.col("share")).select("text", "number")  # a row for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +172,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = small_batches(text).mapInArrow(run, "kind byte, key long, lang long, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     pdf = found.where((F.col("n") >= MIN_COUNT) | (F.col("kind") > 0)).toArrow().to_pandas()  # bounded by the sample
     feature = pdf[pdf["kind"] == 0]
+    if feature["key"].nunique() * len(languages) > MODEL_CELLS:
+        met = feature.groupby("key")["n"].sum().sort_index().sort_values(ascending=False, kind="stable")
+        feature = feature[feature["key"].isin(met.index[: MODEL_CELLS // len(languages)])]
     keys, row = np.unique(feature["key"].to_numpy(np.int64).view(tv.U64), return_inverse=True)
     counts = np.zeros((len(keys), len(languages)))
     counts[row, feature["lang"]] = feature["n"]
@@ -184,7 +190,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score and spans (first word, number of words, language) of every text."""
     kind = dict(docs.dtypes)[id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_ROWS, MAX_LANGUAGES and MIN_COUNT
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_CELLS
     span = pa.struct([("start", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +198,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         names = np.array(m.languages if m else [UNKNOWN], object)
         for batch in batches:
             buf, off = tv.text_views(batch.column(1))
-            for i, j in tv.chunks(off, 4 * tv.CHUNK_BYTES):
+            for i, j in tv.chunks(off, 4 * tv.CHUNK_BYTES * 16 // max(len(names), 16)):  # a score for each word and language
                 hashes, script, size, first = words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 n = j - i
                 doc = np.repeat(np.arange(n), np.diff(first))
