@@ -70,6 +70,11 @@ DEFAULT = np.array([-0.5, 0.6, -4.0, 0.5, 1.0, -0.5, 4.0, 2.0, -8.0])
 SIGNS = 3  # the last so many features are signs
 TIES = np.array([1.0, 0.5, 0.2])
 NEAR, SAME_SECTION, CROSSING = 0, 1, 2
+WIDE = frozenset("html body".split())  # what these are named says nothing of what is in them
+ALWAYS = frozenset("nav footer aside menu dialog".split())
+HAVING = frozenset("has have with without no is".split())
+IN_HEAD = frozenset("head base link meta title script style noscript template".split())
+MOST_OF_ALL = 0.8
 STRONGEST = 2.0
 
 
@@ -129,21 +134,49 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = n if close is None else close.end()
 
 
-def _place(tag: str, attributes: str, above: int) -> int:
-    """What an element's inside stands in."""
-    names = {p.lower() for m in NAMES.finditer(attributes) for p in PIECES.findall(m[1] or m[2] or m[3] or "")} if attributes else ()
-    if above == OUTSIDE or tag in BAD_TAGS or (tag == "header" and above != INSIDE) or BAD_NAMES.intersection(names):
+def _own(tag: str, attributes: str) -> int:
+    """What an element says of itself: OUTSIDE, INSIDE, NAMED, or PLAIN for nothing.
+
+    Any part of a class or id tells, but for those that say what a page has or lacks; of `article` and `main` only whole ones do.
+    """
+    if tag in BAD_TAGS:
+        return OUTSIDE
+    said = [t for m in NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()] if attributes and tag not in WIDE else []
+    names = set()
+    for t in said:
+        parts = [p.lower() for p in PIECES.findall(t)]
+        names.update([t.lower()] if tag in GOOD_TAGS else parts if len(parts) < 2 or parts[0] not in HAVING else [])
+    if BAD_NAMES.intersection(names):
         return OUTSIDE
     if tag in GOOD_TAGS:
         return INSIDE
-    return max(above, NAMED) if GOOD_NAMES.intersection(names) else above
+    return NAMED if GOOD_NAMES.intersection(names) else PLAIN
+
+
+def _places(tags: list[str], own: list[int], around: list[int], chars: list[int]) -> list[int]:
+    """What each element's inside stands in. An element around most of the page's text doesn't make that boilerplate: a form around
+    MOST_OF_ALL of it, or anything but a section of boilerplate by its tag, around half of it and an article or main."""
+    holds = [False] * len(tags)
+    for e in range(len(tags) - 1, 0, -1):
+        if own[e] == INSIDE or holds[e]:
+            holds[around[e]] = True
+        chars[around[e]] += chars[e]
+    places = [PLAIN] * len(tags)
+    for e in range(1, len(tags)):
+        above, said = places[around[e]], own[e]
+        wide = tags[e] not in ALWAYS and (holds[e] and 2 * chars[e] >= chars[0] or tags[e] == "form" and chars[e] >= MOST_OF_ALL * chars[0])
+        if above == OUTSIDE or said == OUTSIDE and not wide or tags[e] == "header" and above != INSIDE:
+            places[e] = OUTSIDE
+        else:
+            places[e] = max(above, said if said != OUTSIDE else PLAIN)
+    return places
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks in page order; a block's section is the nearest element around it that holds other blocks too, or stands for something else than what is around it."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = [("", PLAIN, 0, False)]  # tag, place, number, silent
-    around, places = [0], [PLAIN]  # of every element the number of the one around it, and its place
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, number, silent
+    around, tags, own, chars = [0], [""], [PLAIN], [0]  # of every element the number of the one around it, what it says, its own text
     opened: Counter = Counter()
     parts: list[str] = []
     linked = links = 0
@@ -152,8 +185,9 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            tag, place, number, _ = stack[-1]
-            out.append(Block(text, linked, number, place, tag))
+            tag, number, _ = stack[-1]
+            out.append(Block(text, linked, number, PLAIN, tag))
+            chars[number] += len(text)
         parts.clear()
         linked = 0
 
@@ -163,8 +197,12 @@ def blocks(page: str) -> list[Block]:
         return tag
 
     for kind, tag, attributes in tokens(page):
+        # A head ends with its tag, which may be left out, or with what can't stand in it.
+        if opened["head"] and (kind == "open" and tag not in IN_HEAD or kind == "text" and stack[-1][0] == "head" and not tag.isspace()):
+            while pop() != "head":
+                pass
         if kind == "text":
-            if not stack[-1][3]:
+            if not stack[-1][2]:
                 parts.append(tag)
                 if links:
                     linked += len(tag)
@@ -188,13 +226,17 @@ def blocks(page: str) -> list[Block]:
             if tag == "a":
                 links += 1
             if block or tag in SILENT:
-                _, above, number, silent = stack[-1]
-                place = _place(tag, attributes, above)
-                stack.append((tag, place, len(around), silent or tag in SILENT))
+                _, number, silent = stack[-1]
+                stack.append((tag, len(around), silent or tag in SILENT))
                 around.append(number)
-                places.append(place)
+                tags.append(tag)
+                own.append(_own(tag, attributes))
+                chars.append(0)
                 opened[tag] += 1
     flush()
+    places = _places(tags, own, around, chars)
+    for b in out:
+        b.place = places[b.section]
     held = [0] * len(around)
     for b in out:
         held[b.section] += 1

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .spaces import small_batches
+from .spaces import parts, small_batches
 
-BITS, BLOCKS = 16, 16
+BITS, BLOCK_BITS = 16, 12
 
 
 def slots(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -22,10 +21,10 @@ def slots(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
 def bucket_counts(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], text_col: str = "text", bits: int = BITS) -> np.ndarray:
     """How many of the hashes that `hashes(bytes, offsets)` gives for all texts fall in each of 2**bits buckets.
 
-    Each task sends one block of counters per BLOCKS, so what moves is the tasks times 2**bits counters, and what
-    the driver gets is 2**bits counters, however large the table is.
+    A task sends its counters in blocks of 2**BLOCK_BITS, in as few bytes as hold them; blocks are dealt to tasks, which add them up as
+    they stream through, one sum for each block however many tasks counted. The driver gets 2**bits counters.
     """
-    size = (1 << bits) // BLOCKS
+    block = 1 << min(BLOCK_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -33,18 +32,25 @@ def bucket_counts(docs: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np
             buf, off = tv.text_views(batch.column(0))
             for i, j in tv.chunks(off):
                 total += np.bincount(slots(hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i]), bits), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(BLOCKS, size)], pa.binary())], ["block", "counts"])
+        rows = total.reshape(-1, block)
+        some = np.flatnonzero(rows.any(axis=1))
+        kinds = [next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if m <= np.iinfo(k).max) for m in rows[some].max(axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[b].astype(k).tobytes() for b, k in zip(some, kinds)], pa.binary())], ["block", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.int64)
-        return pd.DataFrame([[pdf["block"].iloc[0], total.tobytes()]], columns=["block", "counts"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = counts.as_buffer()
+                held[b] = held.get(b, 0) + np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data.size // block]).astype(np.int64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "counts"])
 
     each = small_batches(docs.select(text_col)).mapInArrow(count, "block int, counts binary")
-    out = np.zeros((BLOCKS, size), np.int64)
-    for r in each.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        out[r.block] = np.frombuffer(r.counts, np.int64)
+    summed = each.repartition(parts(docs.sparkSession), "block").mapInArrow(add, "block int, counts binary").toArrow()
+    out = np.zeros(((1 << bits) // block, block), np.int64)
+    for b, counts in zip(summed["block"].to_pylist(), summed["counts"]):
+        out[b] = np.frombuffer(counts.as_buffer(), np.int64)
     return out.reshape(-1)
 
 
