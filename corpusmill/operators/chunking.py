@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as C
@@ -33,30 +33,44 @@ def marked_lines(files: DataFrame) -> DataFrame:
     return split.withColumn("marks", marks).drop("found")
 
 
-def segments(marked: DataFrame) -> DataFrame:
-    """repo_id, path, lang, seg, symbol, kind, start, stop (lines from 0) and the lines themselves; seg 0 is what comes before the first mark."""
+def _heads(marked: DataFrame) -> DataFrame:
+    """marked with its segments: an array of what starts each, its first line and one past its last, numbered from 0 where something comes before the first mark."""
     unmarked = F.when(F.col("lang") == "markdown", "section").when(F.size("marks") == 0, "file").otherwise("preamble")
     before = F.array(F.struct(F.lit(0).alias("ln"), F.lit(None).cast("string").alias("symbol"), unmarked.alias("kind")))
     led = (F.size("marks") > 0) & (F.coalesce(F.try_element_at("marks", F.lit(1))["ln"], F.lit(-1)) == 0)
     heads = marked.withColumn("led", led).withColumn("heads", F.when(F.col("led"), F.col("marks")).otherwise(F.concat(before, "marks")))
-    one = heads.select("repo_id", "path", "lang", "lines", "led", "heads", F.posexplode("heads").alias("nth", "head"))
-    after = F.coalesce(F.try_element_at("heads", F.col("nth") + 2)["ln"], F.size("lines"))
-    cut = one.select("repo_id", "path", "lang", (F.col("nth") + F.col("led").cast("int")).alias("seg"), "head.symbol", "head.kind", F.col("head.ln").alias("start"), (after - 1).alias("stop"), "lines")
-    return cut.withColumn("lines", F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1))
+    ends = F.concat(F.slice(F.transform("heads", lambda h: h["ln"]), 2, F.size("heads")), F.array(F.size("lines")))
+    spans = F.zip_with("heads", ends, lambda h, end: F.struct(h["ln"].alias("start"), (end - 1).alias("stop"), h["symbol"].alias("symbol"), h["kind"].alias("kind")))
+    return heads.select("repo_id", "path", "lang", "lines", "led", spans.alias("spans"))
+
+
+def segments(marked: DataFrame) -> DataFrame:
+    """repo_id, path, lang, seg, symbol, kind, start and stop (lines from 0); seg 0 is what comes before the first mark."""
+    # There is always a span; the outer form keeps Spark from filtering empty arrays by writing all patterns once more.
+    one = _heads(marked).select("repo_id", "path", "lang", "led", F.posexplode_outer("spans").alias("nth", "s"))
+    return one.select("repo_id", "path", "lang", (F.col("nth") + F.col("led").cast("int")).alias("seg"), "s.symbol", "s.kind", "s.start", "s.stop")
 
 
-def windows(found: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
-    """Segments longer than `most` lines cut into windows that overlap; repo_id, path, lang, symbol, kind, start, stop, content."""
+def windows(marked: DataFrame, most: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
+    """Segments, those longer than `most` lines cut into windows that overlap; repo_id, path, lang, symbol, kind, start, stop, content.
+
+    A file's windows are cut from its array of lines while it is one row, so a row that leaves holds its own lines only.
+    """
     step = most - overlap
-    span = F.col("stop") - F.col("start") + 1
-    count = F.lit(1) + F.ceil(F.greatest(F.lit(0), span - most) / step)
-    each = found.withColumn("w", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
-    low = F.col("start") + F.col("w") * step
-    content = F.array_join(F.slice("lines", F.col("w") * step + 1, F.lit(most)), "\n")
-    return each.select("repo_id", "path", "lang", "symbol", "kind", low.alias("start"), F.least(low + most - 1, "stop").alias("stop"), content.alias("content"))
+
+    def cut(s: Column) -> Column:
+        last = F.ceil(F.greatest(F.lit(0), s["stop"] - s["start"] + 1 - most) / step).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda w: piece(s, s["start"] + w * step))
+
+    def piece(s: Column, low: Column) -> Column:
+        high = F.least(low + most - 1, s["stop"])
+        content = F.array_join(F.slice("lines", low + 1, high - low + 1), "\n")
+        return F.struct(s["symbol"].alias("symbol"), s["kind"].alias("kind"), low.alias("start"), high.alias("stop"), content.alias("content"))
+
+    return _heads(marked).select("repo_id", "path", "lang", F.inline_outer(F.flatten(F.transform("spans", cut))))
 
 
 def chunk_corpus(files: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """Chunks of all files: repo_id, path, lang, symbol, symbol_kind, start_line, end_line (from 1), content and content_hash."""
-    cut = windows(segments(marked_lines(files))).where(F.length(C.trimmed(F.col("content"))) >= least)
+    cut = windows(marked_lines(files)).where(F.length(C.trimmed(F.col("content"))) >= least)
     return cut.select("repo_id", "path", "lang", "symbol", F.col("kind").alias("symbol_kind"), (F.col("start") + 1).alias("start_line"), (F.col("stop") + 1).alias("end_line"), "content", C.content_hash(F.col("path"), F.col("start"), F.col("content")).alias("content_hash"))

@@ -70,7 +70,7 @@ def s4(spark, d):
 
 
 REPO_INPUT = "CASE p_partkey % 5 WHEN 0 THEN 'Acme/' || p_partkey || '@dev' WHEN 1 THEN ' https://github.com/Acme/p' || p_partkey || '.git ' WHEN 2 THEN 'https://github.com/acme/p' || p_partkey || '/tree/main' WHEN 3 THEN 'acme/P' || p_partkey ELSE 'not a repo ' || p_partkey END"
-URL, SHORT = r"github\.com[/:]([^/]+)/([^/]+?)(?:/tree/([^/]+))?$", r"^([^/\s]+)/([^/@\s]+)(?:@(.+))?$"
+URL, SHORT = corpus.ADDRESS, corpus.SHORT_NAME
 
 
 def _part_sql(k: int) -> str:
@@ -79,7 +79,7 @@ def _part_sql(k: int) -> str:
 
 @query("s5_normalize_repo_inputs", rf"""WITH i AS (SELECT {REPO_INPUT} AS input FROM part), t AS (SELECT input, regexp_replace(trim(input), '\.git$', '') AS t FROM i),
   p AS (SELECT input, {_part_sql(1)} AS owner, {_part_sql(2)} AS name, CASE WHEN ({_part_sql(3)}) = '' THEN 'HEAD' ELSE {_part_sql(3)} END AS ref FROM t)
-  SELECT input, owner, name, ref, lower(owner || '/' || name || '@' || ref) AS repo_id, CASE WHEN owner IS NULL THEN 'Could not parse "' || input || '"' END AS error FROM p""")
+  SELECT input, owner, name, ref, lower(owner || '/' || name || '@' || ref) AS repo_id, CASE WHEN owner IS NULL THEN 'names no repository: ' || input END AS error FROM p""")
 def s5(spark, d):
     return corpus.parse_repos(table(spark, d, "part").select(F.expr(REPO_INPUT).alias("input")))
 
@@ -123,7 +123,7 @@ def chunks(spark, d):
 
 @query("c2_match_signatures", f"{TO_LINES}, {MARKED} SELECT repo_id, path, ln, symbol, kind FROM marked WHERE kind IS NOT NULL AND lang <> 'markdown'")
 def c2(spark, d):
-    marks = chunking.marked_lines(all_files(spark, d)).where(F.col("lang") != "markdown").select("repo_id", "path", F.explode("marks").alias("m"))
+    marks = chunking.marked_lines(all_files(spark, d)).where(F.col("lang") != "markdown").select("repo_id", "path", F.explode_outer("marks").alias("m")).where(F.col("m").isNotNull())
     return marks.select("repo_id", "path", F.col("m.ln").cast("long").alias("ln"), "m.symbol", "m.kind")
 
 
@@ -142,7 +142,7 @@ def c4(spark, d):
 
 
 def _windows(spark, d):
-    cut = chunking.windows(chunking.segments(chunking.marked_lines(all_files(spark, d))))
+    cut = chunking.windows(chunking.marked_lines(all_files(spark, d)))
     return cut.select("repo_id", "path", "symbol", "kind", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 

@@ -320,7 +320,7 @@ def w1(spark, d):
 BARE = "list_filter(list_transform(string_split(snippet, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^\\s*[/*#-]+\\s?', ''), '^\\s+|\\s+$', '', 'g')), lambda l: regexp_matches(l, '(?i)[a-z]{4,}'))"
 HITS = f"""snips AS (SELECT query_id, rank, round(rrf, 4) AS score, source || '/' || lang || '/' || doc_id AS path, CASE WHEN length(text) > 1200 THEN left(text, 1200) || chr(10) || '…' ELSE text END AS snippet FROM hybrid JOIN documents ON doc_id = chunk_id WHERE rank <= 6),
   foremost AS (SELECT query_id, left(array_to_string({BARE}, ' '), 600) AS prose, question, '**' || path || '** (lines 1–' || (1 + len(string_split(snippet, chr(10)))) || ')' AS place, '```text' || chr(10) || array_to_string(list_slice(string_split(snippet, chr(10)), 1, 18), chr(10)) || chr(10) || '```' AS excerpt FROM snips JOIN (SELECT item_id AS query_id, text AS question FROM benchmark) USING (query_id) WHERE rank = 1),
-  listed AS (SELECT query_id, string_agg(rank || '. code — `' || path || ':1` [' || rank || ']  ·  relevance ' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%', chr(10) ORDER BY rank) AS list FROM snips GROUP BY query_id)"""
+  listed AS (SELECT query_id, string_agg(rank || '. code in `' || path || ':1` [' || rank || '], scored ' || CAST(floor(score * 100 + 0.5) AS BIGINT) || ' of 100', chr(10) ORDER BY rank) AS list FROM snips GROUP BY query_id)"""
 
 
 TO_TOLD = f"WITH {WIDE}, {HITS}, {summary_sql('foremost', 'query_id', 'prose', 'question', 2)}"

@@ -46,11 +46,16 @@ def cap_files(files: DataFrame, most: int = 1500) -> DataFrame:
     return files.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
 
+# What an address and a short name of a repository look like.
+ADDRESS = r"github\.com[/:]([^/]+)/([^/]+?)(?:/tree/([^/]+))?$"
+SHORT_NAME = r"^([^/\s]+)/([^/@\s]+)(?:@(.+))?$"
+
+
 def parse_repos(inputs: DataFrame, col: str = "input") -> DataFrame:
     """input, owner, name, ref, repo_id and error from addresses or owner/name[@ref]; bad rows have an error."""
     text = F.regexp_replace(C.trimmed(F.col(col)), r"\.git$", "")
-    url, short = r"github\.com[/:]([^/]+)/([^/]+?)(?:/tree/([^/]+))?$", r"^([^/\s]+)/([^/@\s]+)(?:@(.+))?$"
+    url, short = ADDRESS, SHORT_NAME
     part = lambda k: F.when(text.rlike(url), F.regexp_extract(text, url, k)).when(text.rlike(short), F.regexp_extract(text, short, k))
     out = inputs.select(F.col(col).alias("input"), part(1).alias("owner"), part(2).alias("name"), F.when(part(3) == "", "HEAD").otherwise(part(3)).alias("ref"))
     slug = F.lower(F.concat("owner", F.lit("/"), "name", F.lit("@"), "ref"))
-    return out.withColumn("repo_id", slug).withColumn("error", F.when(F.col("owner").isNull(), F.concat(F.lit('Could not parse "'), "input", F.lit('"'))))
+    return out.withColumn("repo_id", slug).withColumn("error", F.when(F.col("owner").isNull(), F.concat(F.lit("names no repository: "), "input")))
