@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +12,15 @@ from corpusmill.operators.retrieval import nearest
 THRESHOLD = 0.92
 
 
-def lookup(questions: DataFrame, cache: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def lookup(questions: DataFrame, cache: DataFrame, threshold: float = THRESHOLD, met: Accumulator | None = None) -> DataFrame:
     """questions with cached_id, similarity and hit: the nearest cached question of the same repository and model.
 
-    Questions meet the cache in counted blocks, and every task keeps the best of each before anything moves, however
-    many rows a repository has.
+    Questions meet the cache in counted blocks, pairs that can't reach the threshold aren't compared (`met` counts those that are),
+    and every task keeps the best of each question before anything moves, however many rows a repository has.
     """
-    near = nearest(questions, cache.withColumnRenamed("id", "cached_id"), 1, ["repo_id", "embed_model"], query_id="question_id", chunk_id="cached_id", places=9)
+    near = nearest(questions, cache.withColumnRenamed("id", "cached_id"), 1, ["repo_id", "embed_model"], query_id="question_id", chunk_id="cached_id", places=9, least=threshold, met=met)
     nth = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "cached_id"))
-    best = near.withColumn("n", nth).where((F.col("n") == 1) & (F.col("similarity") >= threshold)).drop("n")
+    best = near.withColumn("n", nth).where(F.col("n") == 1).drop("n")
     return questions.join(best, "question_id", "left").withColumn("hit", F.col("cached_id").isNotNull())
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from corpusmill.functions import columns as C
 RRF_K, PER_ARM, KEEP = 60, 40, 12
 QUERY_BLOCK, BLOCKS_A_SCAN = 5_000, 4
 CELLS = 2_000_000  # similarities held at once in a task
+PIVOTS, ALIKE = 32, 32  # pivots of a block of questions; questions that meet a slice together
 
 
 def top(run: DataFrame, score: str, k: int, rank: str = "rank", tie: str = "chunk_id") -> DataFrame:
@@ -98,13 +100,67 @@ class _Best(TopPairs):
             yield pa.RecordBatch.from_arrays([self.block.ids.take(pa.array(self.asked)), self.ids, pa.array(self.alike)], names)
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None, overlapping: bool = False, query_id: str = "query_id", chunk_id: str = "chunk_id", places: int = 12) -> DataFrame:
+def far_apart(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Some of the unit vectors, each the one farthest from those before it."""
+    chosen = [0]
+    near = vectors @ vectors[0]
+    while len(chosen) < min(most, len(vectors)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    return vectors[chosen]
+
+
+class _Within(_Best):
+    """The best rows of a block of questions at a similarity of at least `least`.
+
+    A row is told by its angle to the nearest pivot, which is one of the questions. Angles obey the triangle inequality, so a question
+    and a row whose angles to a pivot differ by more than the angle of `least` are not compared: of the rows of each pivot, sorted by
+    angle, a run of questions with angles alike meets one slice. `met` counts the pairs compared.
+    """
+
+    def __init__(self, block: _Block, k: int, places: int, least: float, met: Accumulator | None):
+        super().__init__(block, k, False, places)
+        self.floor, self.counted = least, met
+        self.reach = np.arccos(np.clip(least, -1, 1)) + 1e-7
+        self.unit = block.vectors / np.where(block.norms == 0, 1.0, block.norms)[:, None]
+        self.pivots = {g: far_apart(self.unit[m], PIVOTS) for g, m in block.members.items() if len(m)}
+        self.angles = {g: np.arccos(np.clip(self.unit[self.block.members[g]] @ p.T, -1, 1)) for g, p in self.pivots.items()}
+
+    def meet(self, ids: pa.Array, groups: np.ndarray, vectors: np.ndarray) -> None:
+        norms, met = np.sqrt((vectors * vectors).sum(axis=1)), 0
+        for g in np.unique(groups):
+            if g not in self.pivots:
+                continue
+            rows, asked = np.flatnonzero((groups == g) & (norms > 0)), self.block.members[g]
+            unit = vectors[rows] / norms[rows][:, None]
+            near = unit @ self.pivots[g].T
+            owner = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(rows)), owner], -1, 1))
+            for p in np.unique(owner):
+                mine = np.flatnonzero(owner == p)
+                mine = mine[np.argsort(angle[mine], kind="stable")]
+                held, order = angle[mine], np.argsort(self.angles[g][:, p], kind="stable")
+                for some in np.array_split(order, -(-len(order) // ALIKE)):
+                    of = self.angles[g][some, p]
+                    low, high = np.searchsorted(held, of[0] - self.reach), np.searchsorted(held, of[-1] + self.reach, side="right")
+                    for at in range(low, high, max(1, CELLS // len(some))):
+                        part = mine[at : min(at + max(1, CELLS // len(some)), high)]
+                        alike = np.round(self.unit[asked[some]] @ unit[part].T, self.places)
+                        met += alike.size
+                        x, y = np.nonzero((alike >= self.floor) & (alike >= self.least[asked[some]][:, None]))
+                        self.add(asked[some][x], alike[x, y], ids.take(pa.array(rows[part[y]])))
+        if self.counted is not None:
+            self.counted.add(met)
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | None = None, overlapping: bool = False, query_id: str = "query_id", chunk_id: str = "chunk_id", places: int = 12, least: float | None = None, met: Accumulator | None = None) -> DataFrame:
     """query_id, chunk_id and cosine similarity (to `places`) of every question's k best chunks of each task, within the columns in keys.
 
     A stated, counted set of questions meets all chunks in blocks of about QUERY_BLOCK: the vectors of up to BLOCKS_A_SCAN
     blocks are broadcast, batches of chunks are multiplied with each, and a task sends on its k best for each question,
     equal ones by id. Without a vector, with one of zeros, or with a null key a row is like none; with `overlapping`, rows
-    without a common non-zero place are left out too.
+    without a common non-zero place are left out too. With `least` only rows at least so similar are sent on, and pairs that can't be
+    are not compared; `met`, an accumulator, then counts those that are.
     """
     spark = chunks.sparkSession
     group = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
@@ -126,7 +182,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, keys: list[str] | Non
         shared = spark.sparkContext.broadcast(held(rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = [_Best(block, k, overlapping, places) for block in shared.value]
+            best = [_Best(block, k, overlapping, places) if least is None else _Within(block, k, places, least, met) for block in shared.value]
             for batch in batches:
                 if batch.num_rows:
                     ids, groups, vectors = batch.column(0), batch.column(1).to_numpy(), matrix_of(batch.column(2))

@@ -143,3 +143,30 @@ def test_equal_rows_leave_a_task_as_k_each(spark):
     got = {(r.query_id, r.rank): r.chunk_id for r in retrieval.top(near, "similarity", 7).collect()}
     ids = [i for i in range(4000) if i % 4]
     assert [got[0, n] for n in range(1, 8)] == ids[:7]
+
+
+def test_lookups_compare_few_pairs(spark):
+    """At the threshold of the cache, on questions that come in groups, as whole as all pairs and from a fifth of them."""
+    from corpusmill.operators import cache
+
+    rng = np.random.default_rng(4)
+    topics = rng.normal(size=(60, 32))
+    rows = [(i, i % 2, "m", [float(x) for x in topics[i % 60] + 0.12 * rng.normal(size=32)]) for i in range(3000)]
+    rows += [(5000, 0, "m", None), (5001, 0, "m", [0.0] * 32), (5002, None, "m", [1.0] * 32)]
+    df = spark.createDataFrame(rows, "id long, repo_id int, embed_model string, embedding array<float>").repartition(4)
+    asked, held = df.where("id % 7 = 0").withColumnRenamed("id", "question_id"), df.where("id % 7 <> 0")
+    met = spark.sparkContext.accumulator(0)
+    got = {r.question_id: (r.cached_id, r.similarity) for r in cache.lookup(asked, held, met=met).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, _, v in rows if v and any(v)}
+    repo = {i: r for i, r, _, _ in rows}
+    pairs = 0
+    for i in [i for i, *_ in rows if i % 7 == 0]:
+        best = (None, None)
+        if i in unit and repo[i] is not None:
+            ids = [c for c in unit if c % 7 and repo[c] == repo[i]]
+            pairs += len(ids)
+            alike = np.round(np.array([unit[c] for c in ids], np.float32).astype(float) @ unit[i], 6)
+            if alike.max() >= 0.92:
+                best = (None, float(alike.max()))
+        assert (got[i][1] is None) == (best[1] is None) and (best[1] is None or abs(got[i][1] - best[1]) < 1e-5), i
+    assert sum(v[0] is not None for v in got.values()) > 400 and 0 < met.value < 0.2 * pairs
