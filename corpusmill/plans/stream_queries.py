@@ -9,6 +9,7 @@ from corpusmill.operators import evaluation as V
 from corpusmill.plans.bindings import table, work_dir
 from corpusmill.plans.corpus_queries import TO_CHUNKS
 from corpusmill.plans.index_queries import AVERAGES, DAY, RATE, TO_MEASURES, measures, rounded
+from corpusmill.plans.search_queries import DIM, LETTERS_ONLY, STEM, STOP
 from corpusmill.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -46,12 +47,27 @@ def w2(spark, d):
 FROM_DOCS = TO_CHUNKS.replace("UNION ALL SELECT repo_id, path, content FROM text_files", "WHERE false UNION ALL SELECT source, lang || '/' || doc_id || '.md', text FROM documents")
 
 
-@query("w3_streaming_reindex", f"{FROM_DOCS} SELECT DISTINCT repo_id, path, start_line, end_line, content_hash FROM chunks")
-def w3(spark, d):
+def reindexed(spark, d):
+    """The folder of a re-index stream over the documents, run to its end."""
     at = work_dir(spark, "reindex")
     files = stream_of(spark, d, "documents").select(F.col("source").alias("repo_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    jobs.reindex(files, f"{at}/chunks", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/chunks").select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_hash")
+    jobs.reindex(files, at, f"{at}/state", DIM, STOP).awaitTermination()
+    return at
+
+
+@query("w3_streaming_reindex", f"{FROM_DOCS} SELECT DISTINCT repo_id, path, start_line, end_line, content_hash FROM chunks")
+def w3(spark, d):
+    rows = spark.read.parquet(f"{reindexed(spark, d)}/chunks").where(F.size("embedding") == DIM)
+    return rows.select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_hash")
+
+
+WORDS_IN = f"""once AS (SELECT repo_id, content_hash, min(content) AS content FROM chunks GROUP BY repo_id, content_hash), said AS (SELECT repo_id, content_hash, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS raw FROM once)"""
+
+
+@query("w6_streaming_statistics", f"{FROM_DOCS}, {WORDS_IN} SELECT {STEM.format('raw')} AS term, count(DISTINCT (repo_id, content_hash)) AS df, count(*) AS tf FROM said WHERE raw NOT IN {LETTERS_ONLY} GROUP BY 1")
+def w6(spark, d):
+    """Document frequencies kept up by the stream."""
+    return jobs.statistics(spark, reindexed(spark, d))[0]
 
 
 @query("w4_streaming_obs", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS queries, count_if(event_type = 'view') AS cache_hits, round(count_if(event_type = 'view') / count(*)::DOUBLE, 6) AS hit_rate,

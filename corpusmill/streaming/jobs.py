@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.operators import cache as K
 from corpusmill.operators.chunking import chunk_corpus
+from corpusmill.operators.embedding import hash_embed
+from corpusmill.operators.index_store import term_counts
 from corpusmill.operators.indexing import insert_chunks
 from corpusmill.operators.ratelimit import FIELDS, KeyWindow
 
@@ -39,10 +41,6 @@ def rate_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
     return timed.groupBy("key").applyInPandasWithState(walk, FIELDS, "reset long, count int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     empty = spark.createDataFrame([], schema)
     jvm = spark._jvm
@@ -50,17 +48,50 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else empty
 
 
-def reindex(files: DataFrame, chunk_path: str, checkpoint: str) -> StreamingQuery:
-    """Chunks of new files appended to the table at chunk_path; a batch that runs twice adds nothing, as rows are known by their hash."""
+COUNTED = T.StructType([T.StructField(n, t) for n, t in (("term", T.StringType()), ("df", T.LongType()), ("tf", T.LongType()), ("chunks", T.LongType()), ("words", T.LongType()), ("batch", T.IntegerType()))])
+
+
+def _changes(chunks: DataFrame, stop_words: list[str]) -> DataFrame:
+    """What chunks (repo_id, content_hash, content) add to the statistics: a row for each term, and one without a term for how many chunks and words."""
+    counts = term_counts(chunks.select(F.struct("repo_id", "content_hash").alias("chunk_id"), "content"), "content", stop_words)
+    each = counts.select(F.explode(F.arrays_zip("terms", "tfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.tfs").alias("tf"))
+    none = F.lit(0).cast("long")
+    whole = counts.agg(F.count_if(F.col("dl") > 0).alias("chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+    return each.select("term", "df", "tf", none.alias("chunks"), none.alias("words")).unionByName(whole.select(F.lit(None).cast("string").alias("term"), none.alias("df"), none.alias("tf"), "chunks", "words"))
 
-    def each(batch: DataFrame, _: int) -> None:
-        new = chunk_corpus(batch)
-        stored = _stored(batch.sparkSession, chunk_path, new.schema)
-        _append(insert_chunks(stored, new, ["path", "start_line"]), chunk_path)
+
+def reindex(files: DataFrame, path: str, checkpoint: str, dim: int = 1536, stop_words: list[str] = ()) -> StreamingQuery:
+    """Chunks of new files with their embeddings, and what they change in the statistics of BM25, each batch in folders of its own.
+
+    Rows are known by repository and hash. A batch looks at earlier ones only, so one that runs twice writes the same again. Statistics
+    are sums of changes, so they need no second look at the chunks: statistics() after any batches is that of all chunks at once.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark, new = batch.sparkSession, chunk_corpus(batch)
+        known = T.StructType([new.schema["repo_id"], new.schema["content_hash"], T.StructField("batch", T.IntegerType())])
+        fresh = insert_chunks(_stored(spark, f"{path}/chunks", known).where(F.col("batch") < n), new, ["path", "start_line"])
+        made = hash_embed(fresh.select(F.struct(*new.columns).alias("row"), "content"), "row", "content", dim).select("row.*", "embedding")
+        made.write.mode("overwrite").parquet(f"{path}/chunks/batch={n}")
+        now = spark.read.schema(made.schema).parquet(f"{path}/chunks/batch={n}")
+        _changes(now, list(stop_words)).write.mode("overwrite").parquet(f"{path}/changes/batch={n}")
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retire(spark: SparkSession, path: str, repos: DataFrame, batch: int, stop_words: list[str] = ()) -> None:
+    """Takes the chunks of some repositories (column repo_id) out of the statistics: the same changes with the other sign, as batch `batch`, below 0."""
+    gone = _changes(spark.read.parquet(f"{path}/chunks").join(repos.select("repo_id").distinct(), "repo_id", "left_semi"), list(stop_words))
+    gone.select("term", *((-F.col(c)).alias(c) for c in ("df", "tf", "chunks", "words"))).write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+
+
+def statistics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """term, df and tf of every term that chunks have; and one row of chunks with words and words."""
+    rows = _stored(spark, f"{path}/changes", COUNTED)
+    terms = rows.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") > 0)
+    return terms, rows.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+
+
 def windowed_totals(log: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Telemetry totals per tumbling window of created_at; rows later than `late` are left out."""
     timed = log.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late)
