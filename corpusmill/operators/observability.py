@@ -32,3 +32,17 @@ def recent(log: DataFrame, k: int = 12) -> DataFrame:
 def append_rows(log: DataFrame) -> DataFrame:
     """Log rows as they are stored: questions cut to 500 characters."""
     return log.withColumn("question", F.substring("question", 1, 500))
+
+
+SKETCH_K, SKETCH_LG = 400, 12  # a KLL sketch's rank is off by about 0.01 at most, an HLL sketch's count by about 2 % (one deviation)
+
+
+def sketches(log: DataFrame, unit: str = "day") -> DataFrame:
+    """Per unit of created_at its queries, a KLL sketch of latencies and an HLL sketch of who asked (user_id): small rows that can be merged over any time."""
+    return log.groupBy(F.date_trunc(unit, "created_at").alias("start")).agg(F.count(F.lit(1)).alias("queries"), F.kll_sketch_agg_bigint("latency_ms", SKETCH_K).alias("latencies"), F.hll_sketch_agg("user_id", SKETCH_LG).alias("users"))
+
+
+def merged(daily: DataFrame, unit: str = "week", p: float = 0.95) -> DataFrame:
+    """Sketches merged over longer units: start, queries, latency (the quantile p) and users; the log isn't read again."""
+    both = daily.groupBy(F.date_trunc(unit, "start").alias("start")).agg(F.sum("queries").alias("queries"), F.kll_merge_agg_bigint("latencies", SKETCH_K).alias("latencies"), F.hll_union_agg("users").alias("users"))
+    return both.select("start", "queries", F.kll_sketch_get_quantile_bigint("latencies", F.lit(p)).alias("latency"), F.hll_sketch_estimate("users").alias("users"))

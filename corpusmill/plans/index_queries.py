@@ -232,6 +232,16 @@ def o4(spark, d):
     return O.recent(query_log(spark, d)).select("id", "question", "latency_ms")
 
 
+@query("o5_weekly_sketches", """SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, count(*) AS queries, true AS latency_holds, true AS users_hold FROM events GROUP BY 1""")
+def o5(spark, d):
+    """Sketches of days merged into weeks, against the exact rows: the 95th percentile within 0.02 of its rank, the users within a tenth."""
+    e = table(spark, d, "events").withColumnRenamed("ts", "created_at").withColumn("latency_ms", F.round(F.col("value") * 100).cast("long"))
+    daily = written(O.sketches(e), f"{work_dir(spark, 'sketches')}/days")
+    told = O.merged(daily).withColumnRenamed("users", "told_users")
+    exact = e.join(told, F.date_trunc("week", "created_at") == F.col("start")).groupBy("start", "queries", "told_users").agg(F.avg((F.col("latency_ms") <= F.col("latency")).cast("double")).alias("upto"), F.avg((F.col("latency_ms") < F.col("latency")).cast("double")).alias("below"), F.count_distinct("user_id").alias("users"))
+    return exact.select(F.col("start").cast("timestamp_ntz").alias("week"), "queries", ((F.col("upto") >= 0.93) & (F.col("below") <= 0.97)).alias("latency_holds"), (F.abs(F.col("told_users") - F.col("users")) <= 0.1 * F.col("users")).alias("users_hold"))
+
+
 # Runs of three configurations over the benchmark; what is relevant is told from the ids, so these queries show the measures, not how good retrieval is.
 RUNS = """runs AS (SELECT 'hybrid' AS config, query_id AS case_id, chunk_id % 400 AS path, rank FROM hybrid UNION ALL SELECT 'dense', query_id, chunk_id % 400, rank FROM densetop WHERE rank <= 10 UNION ALL SELECT 'lexical', query_id, chunk_id % 400, rank FROM lextop WHERE rank <= 10),
   cases AS (SELECT item_id AS case_id FROM benchmark), qrels AS (SELECT DISTINCT query_id AS case_id, chunk_id % 400 AS path FROM fused WHERE (query_id + chunk_id) % 4 = 0 AND query_id % 10 <> 0),
@@ -314,7 +324,7 @@ RATE = f"""WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS key, epoch_us(
 
 @query("w1_rate_limit", RATE)
 def w1(spark, d):
-    return W.replay(table(spark, d, "events"), 3, DAY, "user_id", "ts", "event_id")
+    return W.replay(table(spark, d, "events"), 3, DAY, "user_id", "ts", "event_id", at=work_dir(spark, "rate-limit"))
 
 
 BARE = "list_filter(list_transform(string_split(snippet, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^\\s*[/*#-]+\\s?', ''), '^\\s+|\\s+$', '', 'g')), lambda l: regexp_matches(l, '(?i)[a-z]{4,}'))"
