@@ -41,7 +41,12 @@ def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 def w2(spark, d):
     at = work_dir(spark, "rate-limit")
     requests = stream_of(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
-    return drained(jobs.rate_limit(requests, 3, DAY), f"{at}/out", f"{at}/state")
+    key, held = jobs.ROCKSDB[0], spark.conf.get(jobs.ROCKSDB[0], None)
+    spark.conf.set(*jobs.ROCKSDB)
+    try:
+        return drained(jobs.rate_limit(requests, 3, DAY), f"{at}/out", f"{at}/state")
+    finally:
+        spark.conf.set(key, held) if held else spark.conf.unset(key)
 
 
 FROM_DOCS = TO_CHUNKS.replace("UNION ALL SELECT repo_id, path, content FROM text_files", "WHERE false UNION ALL SELECT source, lang || '/' || doc_id || '.md', text FROM documents")

@@ -25,6 +25,11 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return raw.select(F.substring_index(below, "/", 1).alias("repo_id"), F.regexp_replace(below, r"^[^/]+/[^/]+/", "").alias("path"), F.col("content"), F.col("length").alias("bytes"))
 
 
+def decoded(files: DataFrame) -> DataFrame:
+    """Scanned files with content as text: bytes that are no UTF-8 become replacement characters."""
+    return files.withColumn("content", F.decode("content", "UTF-8"))
+
+
 def strip_top_folder(files: DataFrame) -> DataFrame:
     return files.withColumn("path", F.regexp_replace("path", r"^[^/]+/", ""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators import cache as K
 from corpusmill.operators.chunking import chunk_corpus
@@ -19,26 +19,47 @@ from corpusmill.operators.indexing import insert_chunks
 from corpusmill.operators.ratelimit import FIELDS, KeyWindow
 
 
-def rate_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
-    """The decisions of replay() over a stream of id, key and ts, with one open window per key as state.
+#: What a session needs for streams with timers.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Rows of a key are taken in order of time and id inside a batch; a late row is judged when it arrives. A key's state
-    goes when the stream's watermark has passed the end of its window.
-    """
 
-    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = KeyWindow(*state.get) if state.exists else KeyWindow()
-        rows = pd.concat(frames).sort_values(["t", "id"])
-        told = [(i, key[0], *window.ask(t, limit, window_us)) for i, t in zip(rows["id"].tolist(), rows["t"].tolist())]
-        state.update((window.reset, window.count))
-        state.setTimeoutTimestamp(max(window.reset // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+class Windows(StatefulProcessor):
+    """A key's open window as state, with a timer that sweeps it when the stream's watermark has passed its end."""
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("window", "reset long, count int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        window = KeyWindow(*held) if held else KeyWindow()
+        mine = pd.concat([r[["t", "id"]] for r in rows]).sort_values(["t", "id"])
+        told = [(i, key[0], *window.ask(t, self.limit, self.window_us)) for i, t in zip(mine["id"].tolist(), mine["t"].tolist())]
+        if held and held[0] != window.reset:
+            self.handle.deleteTimer(held[0] // 1000 + 1)
+        if not held or held[0] != window.reset:
+            self.handle.registerTimer(window.reset // 1000 + 1)
+        self.state.update((window.reset, window.count))
         yield pd.DataFrame(told, columns=["id", "key", "allowed", "remaining", "reset_in_us"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([], columns=["id", "key", "allowed", "remaining", "reset_in_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit(requests: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """The decisions of replay() over a stream of id, key and ts, with one open window per key as state.
+
+    Rows of a key are taken in order of time and id inside a batch; rows later than a minute are left out. The session must keep
+    its state as ROCKSDB says; memory then doesn't grow with the number of keys, and a key's state goes with its window.
+    """
     timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 minute").withColumn("t", F.unix_micros("ts"))
-    return timed.groupBy("key").applyInPandasWithState(walk, FIELDS, "reset long, count int", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("key").transformWithStateInPandas(Windows(limit, window_us), FIELDS, "Append", "EventTime")
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -66,3 +66,23 @@ def test_retired_repositories_leave_the_statistics(spark, tmp_path):
 
 def test_no_batches(spark, tmp_path):
     assert jobs.statistics(spark, str(tmp_path))[1].first() == (0, 0) and jobs.statistics(spark, str(tmp_path))[0].where(F.lit(True)).count() == 0
+
+
+def test_windows_expire_from_the_state(spark, tmp_path):
+    minute = 60_000_000
+    batches = [[(1, 1, 0), (2, 1, 5), (3, 2, 7), (4, 1, 9)], [(5, 3, 10 * minute)], [(6, 3, 10 * minute + 1)], [(7, 1, 20 * minute), (8, 3, 20 * minute)], [(9, 4, 21 * minute)]]
+    for b, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "id long, key long, t long").select("id", "key", F.timestamp_micros(F.col("t") + 10**15).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    held = spark.conf.get(jobs.ROCKSDB[0], None)
+    spark.conf.set(*jobs.ROCKSDB)
+    try:
+        stream = spark.readStream.schema("id long, key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = jobs.rate_limit(stream, 2, minute).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set(jobs.ROCKSDB[0], held) if held else spark.conf.unset(jobs.ROCKSDB[0])
+    got = {r.id: (r.allowed, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (True, 1), 2: (True, 0), 3: (True, 1), 4: (False, 0), 5: (True, 1), 6: (True, 0), 7: (True, 1), 8: (True, 1), 9: (True, 1)}
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert min(kept[2:]) < max(kept[:2]), kept  # windows of minute 0 are gone once the watermark has passed them
