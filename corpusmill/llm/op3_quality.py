@@ -8,8 +8,12 @@ prior, the share of good text among the unlabelled, is estimated by the smallest
 unlabelled to positive mass: where bad text is rare, that ratio is the prior.
 
 Features are shares and lengths counted on the bytes of the whole text: kinds of characters, signs, words, lines,
-sentences, repeats. The weights are fitted on at most FIT_ROWS positives and as many unlabelled rows (documented bounds);
-the prior, a statistic of the corpus, is counted over all unlabelled rows.
+sentences, repeats. Of the labelled rows at most FIT_ROWS positives are used (a documented bound). Of the unlabelled rows
+all are: their means and spreads, the prior, and their part of the risk with its gradient are sums that Spark adds up over
+a table of features. The weights come from surrogates of that risk: a bounded sample's unlabelled part, corrected by a
+constant and a linear term so that value and gradient at the last weights are those of all rows. Each of ROUNDS surrogates
+is minimised on the driver and costs one pass; of their minima the one with the least risk on all rows is kept. Where the
+sample is the whole table the corrections are zero.
 
 Defined cases: a null or empty text has all features zero and gets the score of that; rows that repeat are scored each;
 without positives or unlabelled rows every score is the prior 0.5; an empty table gives no rows.
@@ -17,7 +21,7 @@ without positives or unlabelled rows every score is the prior 0.5; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +31,13 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 from .folds import fold, sample
-from .spaces import documents, free_name, small_batches
+from .spaces import documents, drop, free_name, materialize, small_batches
 
 FIT_ROWS = 6_000
 THRESHOLD = 0.3
 SIGNS = b"|%*#$&.,;:!?-_/@=<>\"'()[]{}~^+\\"
 STEPS, RATE, DECAY = 800, 0.05, 1e-3
+ROUNDS = 4
 
 
 def features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,14 +93,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def minimise(p: np.ndarray, u: np.ndarray, prior: float, floor: bool = True) -> np.ndarray:
-    """Weights that minimise the non-negative risk on the terms of positives p and unlabelled u, by Adam on all rows."""
+def minimise(p: np.ndarray, u: np.ndarray, prior: float, floor: bool = True, shift: float = 0.0, slope: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights w that minimise the non-negative risk on the terms of positives p and unlabelled u, by Adam on all their rows.
+
+    shift + slope @ w is added to the unlabelled part.
+    """
     weights, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    slope = slope + np.zeros(p.shape[1])
     for t in range(1, STEPS + 1):
         fp, fu = _sigmoid(p @ weights), _sigmoid(u @ weights)
-        rest = np.logaddexp(0, u @ weights).mean() - prior * np.logaddexp(0, p @ weights).mean()
+        rest = np.logaddexp(0, u @ weights).mean() + shift + slope @ weights - prior * np.logaddexp(0, p @ weights).mean()
         good = prior * (p.T @ (fp - 1)) / len(p)
-        bad = (u.T @ fu) / len(u) - prior * (p.T @ fp) / len(p)
+        bad = (u.T @ fu) / len(u) + slope - prior * (p.T @ fp) / len(p)
         g = (good + bad if rest >= 0 or not floor else -bad) + DECAY * weights
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         weights = weights - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -114,56 +123,106 @@ def estimate_prior(own: np.ndarray, positives: int, other: np.ndarray, unlabelle
     return float(np.clip(((other + slack) / own).min(), 0.02, 0.98))
 
 
-def masses(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, model: Model, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int]:
-    """Shares of the rows in ids (all of them) that score above each cut, and how many rows there are."""
-    shared, kind = docs.sparkSession.sparkContext.broadcast((model, weights, cuts)), dict(docs.dtypes)[id_col]
+def feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and features x of every row of docs with an id."""
+    kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, w, at = shared.value
         for batch in batches:
             buf, off = tv.text_views(batch.column(1))
             for i, j in tv.chunks(off):
-                z = held.terms(features(buf[off[i] : off[j]], off[i : j + 1] - off[i])) @ w
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array((z[:, None] >= at).sum(axis=1).astype(np.int32))], [id_col, "above"])
+                x = features(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                edges = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(edges, pa.array(x.reshape(-1)))], [id_col, "x"])
+
+    return small_batches(docs.select(id_col, text_col).where(F.col(id_col).isNotNull())).mapInArrow(run, f"`{id_col}` {kind}, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def sums(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of of(x) over all batches x of features; a task sends on one vector. None where there are no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = of(_matrix(batch.column(0)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["place", "value"])
+
+    found = rows.select("x").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # as many rows as a vector has numbers
+    return np.array([r.value for r in sorted(found, key=lambda r: r.place)]) if found else None
+
 
-    # Texts don't move: what meets the ids is an id and a number. Cuts ascend, so a row above k cuts is above the first k.
-    rows = small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, above int").join(ids.select(id_col).distinct(), id_col, "left_semi")
-    found = np.zeros(len(cuts) + 1, np.int64)
-    for r in rows.groupBy("above").agg(F.count(F.lit(1)).alias("n")).collect():
-        found[r.above] = r.n
-    return found[::-1].cumsum()[::-1][1:] / max(found.sum(), 1), int(found.sum())
+def unlabelled_part(rows: DataFrame, n: int, model: Model, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean of l(-f) over all n rows, and its gradient."""
+
+    def part(x: np.ndarray) -> np.ndarray:
+        t = model.terms(x)
+        z = t @ w
+        return np.concatenate([[np.logaddexp(0, z).sum()], t.T @ _sigmoid(z)])
+
+    found = sums(rows, part) / n
+    return float(found[0]), found[1:]
+
+
+def risk(value: float, p: np.ndarray, w: np.ndarray, prior: float, floor: bool = True) -> float:
+    """The risk of weights w, value being its unlabelled mean, with the decay that minimise() adds."""
+    rest = value - prior * np.logaddexp(0, p @ w).mean()
+    return float(prior * np.logaddexp(0, -(p @ w)).mean() + (max(rest, 0.0) if floor else rest) + DECAY * (w @ w) / 2)
+
+
+def minimise_all(rows: DataFrame, n: int, model: Model, p: np.ndarray, u: np.ndarray, prior: float, floor: bool = True) -> np.ndarray:
+    """Weights for the risk on positives p and all n rows, by surrogates on their sample u."""
+    weights = best = minimise(p, u, prior, floor)
+    least = np.inf
+    for turn in range(ROUNDS + 1):
+        value, slope = unlabelled_part(rows, n, model, weights)
+        here = risk(value, p, weights, prior, floor)
+        if here < least:
+            best, least = weights, here
+        if turn == ROUNDS or len(u) == n:
+            break
+        z = u @ weights
+        slope = slope - (u.T @ _sigmoid(z)) / len(u)
+        weights = minimise(p, u, prior, floor, value - np.logaddexp(0, z).mean() - slope @ weights, slope)
+    return best
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, unlabelled: DataFrame | None = None) -> Model:
-    """A model from at most `rows` rows that labels marks 1 and as many of the ids in unlabelled (by default those without a label)."""
+    """A model from at most `rows` rows that labels marks 1 and all rows with an id in unlabelled (by default those without a label)."""
     known = labels.where(F.col(id_col).isNotNull())
     good = sample(known.where(F.col(label_col) == 1).select(id_col).distinct(), id_col, rows)
     if unlabelled is None:
         unlabelled = docs.select(id_col).where(F.col(id_col).isNotNull()).join(known.select(id_col), id_col, "left_anti")
-    rest = sample(unlabelled.select(id_col).distinct(), id_col, rows)
-    chosen = good.withColumn("positive", F.lit(1)).unionByName(rest.withColumn("positive", F.lit(0)))
-    text = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "positive")  # at most 2 * rows ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = tv.text_views(batch.column(0))
-            for i, j in tv.chunks(off):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(list(features(buf[off[i] : off[j]], off[i : j + 1] - off[i])), pa.list_(pa.float64()))], ["positive", "x"])
-
-    seen = small_batches(text).mapInArrow(run, "positive int, x array<double>").toArrow()  # at most 2 * rows rows
-    positive = seen["positive"].to_numpy() == 1
-    if not positive.any() or positive.all():
-        return Model()
-    x = seen["x"].combine_chunks().flatten().to_numpy().reshape(len(positive), -1)
-    order = np.lexsort(x.T)  # the same order however the rows arrived
-    x, positive = x[order], positive[order]
-    model = Model(x.mean(axis=0), x.std(axis=0) + 1e-6)
-    p, u = model.terms(x[positive]), model.terms(x[~positive])
-    plain = minimise(p, u, 0.5, floor=False)
-    cuts, own = prior_cuts(p @ plain)
-    other, total = masses(docs, unlabelled, id_col, text_col, model, plain, cuts)
-    model.prior = estimate_prior(own, len(p), other, max(total, 1))
-    model.weights = minimise(p, u, model.prior)
+    table = materialize(feature_rows(docs, id_col, text_col), "quality-features")
+    rest = table.join(unlabelled.select(id_col).distinct(), id_col, "left_semi")
+    own = table.join(F.broadcast(good), id_col).select("x")  # at most `rows` ids
+    rest = materialize(rest, "quality-unlabelled")
+    few = rest.join(F.broadcast(sample(rest.select(id_col).distinct(), id_col, rows)), id_col, "left_semi").select("x")
+
+    def sorted_rows(found: pa.Table) -> np.ndarray:
+        x = _matrix(found["x"].combine_chunks()) if found.num_rows else np.zeros((0, 0))
+        return x[np.lexsort(x.T)] if len(x) else x  # the same order however the rows arrived
+
+    x_own, x_few = sorted_rows(own.toArrow()), sorted_rows(few.toArrow())  # at most `rows` ids each
+    model = Model()
+    if len(x_own) and len(x_few):
+        found = sums(rest, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+        n, d = int(found[0]), x_own.shape[1]
+        mean = found[1 : d + 1] / n
+        model = Model(mean, np.sqrt(np.maximum(found[d + 1 :] / n - mean * mean, 0)) + 1e-6)
+        p, u = model.terms(x_own), model.terms(x_few)
+        plain = minimise_all(rest, n, model, p, u, 0.5, floor=False)
+        cuts, share = prior_cuts(p @ plain)
+        above = sums(rest, lambda x: ((model.terms(x) @ plain)[:, None] >= cuts).sum(axis=0).astype(float))
+        model.prior = estimate_prior(share, len(p), above / n, n)
+        model.weights = minimise_all(rest, n, model, p, u, model.prior)
+    drop(table, rest)
     return model
 
 

@@ -297,6 +297,47 @@ def test_quality_and_toxicity_learn(spark):
         assert np.mean([a > b for a in right for b in wrong]) > 0.9
 
 
+def test_quality_counts_every_unlabelled_row(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 40) if i % 4 else " | ".join(prose(rng, 1) + "$$" for _ in range(rng.randint(5, 40)))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    known = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 500, 3)], "doc_id long, quality int")
+    model = op3_quality.fit(docs, known, rows=200)  # all 125 positives, and 200 of the 333 unlabelled rows as the sample
+    texts = [t.encode() for _, t in rows]
+    x = op3_quality.features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    good, rest = np.array([i % 3 == 0 and i % 4 != 0 for i, _ in rows]), np.array([i % 3 != 0 for i, _ in rows])
+    assert np.allclose(model.mean, x[rest].mean(axis=0)) and np.allclose(model.scale, x[rest].std(axis=0) + 1e-6)
+    table = op3_quality.feature_rows(docs.where("doc_id % 3 <> 0"), "doc_id", "text")
+    value, slope = op3_quality.unlabelled_part(table, int(rest.sum()), model, model.weights)
+    u, p = model.terms(x[rest]), model.terms(x[good])
+    assert np.isclose(value, np.mean([np.log1p(np.exp(z)) for z in u @ model.weights]))
+    assert np.allclose(slope, np.mean([row / (1 + np.exp(-(row @ model.weights))) for row in u], axis=0))
+    # Corrected surrogates on a sample come close to the risk that a fit on all rows reaches.
+    whole = op3_quality.minimise(p, u, model.prior)
+    reached = op3_quality.risk(np.logaddexp(0, u @ whole).mean(), p, whole, model.prior)
+    assert op3_quality.risk(value, p, model.weights, model.prior) < reached + 0.05
+
+
+def test_quality_features_by_hand(spark):
+    text = "The cat sat. The CAT sat sat!\n*** 12 x"
+    words, size = text.split(), len(text)
+    x = op3_quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, size]))[0]
+    n = len(words)
+    share = lambda test: sum(map(test, text)) / size
+    assert np.allclose(x[:6], [np.log1p(size), np.log1p(n), share(str.isalpha), share(str.isdigit), share(lambda c: not c.isalnum() and not c.isspace()), share(str.isupper)])
+    signs = len(op3_quality.SIGNS)
+    assert np.allclose(x[6 : 6 + signs], [text.count(chr(s)) / n for s in op3_quality.SIGNS])
+    lengths = [len(w) for w in words]
+    solid = [sum(c.isalnum() for c in w) for w in words]
+    hand = [1 / n, 0, 0, 0, 0, 0, 0, 0]
+    hand[0] = sum(a == b for a, b in zip(words, words[1:])) / n
+    hand[1] = len(set(words)) / n
+    hand[2], hand[3] = np.mean(lengths), np.std(lengths)
+    hand[4], hand[5] = sum(s == 0 for s in solid) / n, sum(a - s >= 3 for a, s in zip(lengths, solid)) / n
+    hand[6], hand[7] = sum(a > 15 for a in lengths) / n, sum(w[0].isupper() for w in words) / n
+    assert np.allclose(x[6 + signs :], [text.count("\n") / n, *hand, np.log1p(n / 2), np.log1p(n / 2)])
+
+
 def test_toxicity_counts_every_labelled_row(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 30) + (f" odd{'abcdefghij'[i % 10]}" if i % 4 == 0 else "")) for i in range(200)]
