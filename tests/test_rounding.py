@@ -21,7 +21,7 @@ def vectors(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["e5_l2_normalize"])
+@pytest.mark.parametrize("name", ["e5_l2_normalize", "e6_quantize_vector"])
 def test_rounds_as_its_sql(spark, vectors, name):
     bits = lambda v: None if v is None else [None if x is None else struct.pack("<d", x) for x in v]
     with duckdb.connect() as con:
