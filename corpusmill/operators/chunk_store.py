@@ -17,6 +17,7 @@ from corpusmill.operators import embedding as E
 from corpusmill.operators.indexing import insert_chunks, upsert_repos
 
 PARTS = 4
+ROUND = 4  # a round has so many times the passes of the one before
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -138,8 +139,17 @@ def index_pass(store: ChunkStore, incoming: DataFrame, model: str, budget: int,
 
 
 def index_all(store: ChunkStore, incoming: DataFrame, model: str, budget: int, dim: int, at: str) -> int:
-    """Passes until every repository is ready; gives their number."""
+    """Passes until every repository is ready; gives their number.
+
+    They run in rounds of 1, ROUND, ROUND ** 2, ... passes, so there are as many jobs as the logarithm of the passes, and a run
+    that is stopped goes on by hash after its last whole round. A round tells what its passes embedded together.
+    """
+    passes, together = 0, 1
     for n in range(1, 1_000_000):
-        if index_pass(store, incoming, model, budget, dim, f"{at}/{n}").where("remaining > 0").isEmpty():
-            return n
+        told = index_pass(store, incoming, model, budget * together, dim, f"{at}/{n}")
+        most, left = told.agg(F.max("embedded"), F.max("remaining")).first()
+        passes += min(max(-(-(most or 0) // budget), 1), together)
+        if not left:
+            return passes
+        together *= ROUND
     raise RuntimeError("the budget is too small")
