@@ -23,6 +23,7 @@ from corpusmill.operators.retrieval import BLOCKS_A_SCAN, CELLS, QUERY_BLOCK, To
 
 TRAIN_ROWS, MOST_LISTS, PILOTS = 50_000, 4096, 300
 SUBSPACE, CODEWORDS = 4, 256
+SCORED, WAITING = 500_000, 500_000  # scores made at once in a task, and pairs that wait to be ranked
 MARGIN = 0.055  # found on the pilots above the share that is asked for
 
 
@@ -169,30 +170,40 @@ def ivf_topk(queries: DataFrame, index: Ivf, k: int, again: int = 12) -> DataFra
     found = []
     for ids, q in index.blocks(queries) if m["rows"] else ():
         probed = index._probed(q)
-        asked = {int(x): np.flatnonzero((probed == x).any(axis=1)) for x in np.unique(probed)}
-        shared = index.spark.sparkContext.broadcast((ids, q, asked, m["centres"], m["books"]))
+        asked = np.zeros((len(m["centres"]), len(q)), bool)
+        asked[probed.T, np.arange(len(q))] = True
+        lists = [int(x) for x in np.flatnonzero(asked.any(axis=1))]
+        shared = index.spark.sparkContext.broadcast((ids, q, np.packbits(asked, axis=1), m["centres"], m["books"]))  # a bit for each list and question
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, asked, centres, books = shared.value
-            best = TopPairs(len(q), again * k)
-            told = np.stack([np.pad(q[:, c : c + SUBSPACE] @ b.T, ((0, 0), (0, CODEWORDS - len(b)))) for c, b in zip(m["cuts"], books)], axis=1)
+            best, waiting = TopPairs(len(q), again * k), []
+
+            def rank() -> None:
+                if waiting:
+                    a, near, held, x = zip(*waiting)
+                    best.add(np.concatenate(a), np.concatenate(near), pa.concat_arrays(held), np.concatenate(x))
+                    waiting.clear()
+
             for batch in batches:
                 which = batch.column(1).to_numpy()
                 for x in np.unique(which):
-                    rows, mine = np.flatnonzero(which == x), asked[int(x)]
+                    rows, mine = np.flatnonzero(which == x), np.flatnonzero(np.unpackbits(asked[x], count=len(q)))
                     code = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-                    step = max(1, CELLS // len(rows))
+                    told = centres[x] + np.concatenate([b[code[:, s]] for s, b in enumerate(books)], axis=1)  # the vectors that the codes stand for
+                    step = max(1, SCORED // len(rows))
                     for low in range(0, len(mine), step):
                         some = mine[low : low + step]
-                        near = np.repeat((q[some] @ centres[x])[:, None], len(rows), axis=1)
-                        for s in range(code.shape[1]):
-                            near += told[some, s][:, code[:, s]]
+                        near = q[some] @ told.T
                         a, b = np.nonzero(near >= best.least[some][:, None])
-                        best.add(some[a], near[a, b], batch.column(0).take(pa.array(rows[b])), np.full(len(a), x))
+                        waiting.append((some[a], near[a, b], batch.column(0).take(pa.array(rows[b])), np.full(len(a), x)))
+                        if sum(len(w[0]) for w in waiting) > WAITING:
+                            rank()
+            rank()
             if best.ids is not None:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.asked)), best.ids, pa.array(best.extra.astype(np.int32)), pa.array(best.alike)], fields.names)
 
-        rows = index.table.where(F.col("list_id").isin([int(x) for x in asked]))  # folders of other lists aren't read
+        rows = index.table.where(F.col("list_id").isin(lists))  # folders of other lists aren't read
         near = rows.select("chunk_id", F.col("list_id").cast("int").alias("list_id"), "code").mapInArrow(run, fields)
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "chunk_id"))
         near = near.withColumn("nth", nth).where(F.col("nth") <= again * k).select("query_id", "chunk_id", "list_id")
