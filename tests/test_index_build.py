@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from corpusmill.operators import index_store
+from corpusmill.operators import embedding, index_store
 
 
 def test_postings_are_made_where_documents_are_read(spark):
@@ -21,3 +21,24 @@ def test_postings_are_made_where_documents_are_read(spark):
         assert r.most_tf == max(d.tf for d in r.docs) and [d.chunk_id for d in r.docs] == sorted(d.chunk_id for d in r.docs)
         assert abs(r.most_gain - max(index_store.gains(float(d.tf), d.dl, 10.0) for d in r.docs)) < 1e-12
     assert max(map(len, held.values())) == 8 and sum(map(len, held.values())) == 300
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path):
+    odd = ["", None, "İstanbul K_KİAb fooBar HTTPServer x_y__z _ __ a", "ÀÉabc1DEFg22h the cats Cat CATS ponies sKies", "snake_case_word CamelCaseX9y " * 300, "aΣ ſtraße ABCs Z z9 THE_cats"]
+    texts = spark.createDataFrame(list(enumerate(odd)), "chunk_id long, text string").coalesce(1)
+    index = index_store.build(texts, "text", str(tmp_path / "index"), ["the"], dim=16)
+    assert {p.name for p in (tmp_path / "index").iterdir()} == {"documents", "postings", "stats"}  # one pass over the texts
+    plain = {r.chunk_id: (r.dl, dict(zip(r.terms, r.tfs))) for r in index_store.term_counts(texts, "text", ["the"]).collect()}
+    assert {r.chunk_id: (r.dl, dict(zip(r.terms, r.tfs))) for r in index.documents.collect()} == plain
+    wanted = {}
+    for k, text in enumerate(odd):  # by the definition, feature by feature
+        found, sums = embedding.text_tokens(text or ""), [0.0] * 16
+        features = [("w:" + t, 20) for t in found] + [(f"b:{a}_{b}", 12) for a, b in zip(found, found[1:])]
+        features += [("c:" + f"^{t}$"[i : i + n], 7) for t in found if len(t) >= 3 for n in (3, 4, 5) for i in range(len(t) + 3 - n)]
+        for feature, weight in features:
+            h = 2166136261
+            for byte in feature.encode():
+                h = ((h ^ byte) * 16777619) & 0xFFFFFFFF
+            sums[h % 16] += -weight if h & 65536 else weight
+        wanted[k] = sums
+    assert {r.chunk_id: list(r.embedding) for r in index.vectors.collect()} == wanted
