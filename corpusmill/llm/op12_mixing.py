@@ -14,7 +14,7 @@ spelling of unknown words, by the frequencies of bytes, so that it is the cost o
 What is met once is unknown to a count that leaves it out, so while tables are counted a word needs one use more for its code.
 
 Counts of words and of contexts come from all training rows (of contexts from all but one row in CALIBRATION_SHARE, on
-some of which the weights are fitted), gathered by Spark: words as sums, tables as blocks of slots that are added up as they
+which the weights are fitted), gathered by Spark: words as sums, tables as blocks of slots that are added up as they
 stream through tasks. Tables have a slot for every 32 training tokens, at most 2**MOST_BITS for each context, so they are
 broadcast; when contexts are more, they share slots, as hashed contexts do. Counts of words are exact at any size: the most
 frequent ones, at most `model_words`, are broadcast, all others meet the texts that have them in a join. Words are told by
@@ -44,7 +44,7 @@ MODEL_WORDS, CODED_WORDS, GUIDES = 2_000_000, 1 << 16, 256
 LEAST_BITS, MOST_BITS, TOKENS_PER_SLOT = 12, 22, 32
 BLOCK_SLOTS = 4096
 TASK_TOKENS = 1 << 25
-CALIBRATION_SHARE, FIT_ROWS, FIT_BITS = 64, 1000, 2_000_000
+CALIBRATION_SHARE, NEWTON_STEPS = 64, 25
 HASHED = 3  # contexts with tables
 INPUTS = HASHED + 2  # and the codes' own counts, and a constant
 DEPTHS = 12
@@ -252,22 +252,57 @@ def inputs(s: dict, said: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, s["gate"] + (x[:, 2] != 0) * 2 + (x[:, 3] != 0)
 
 
-def fit_gates(x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Weights of every gate by Newton steps of a logistic regression, drawn towards what the codes' counts say."""
+def gate_sums(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For every gate the gradient and the Hessian of the cost of these bits, one row after the other."""
+    out = np.zeros((GATES, INPUTS * (INPUTS + 1)))
+    order = np.argsort(gate, kind="stable")
+    edges = np.searchsorted(gate[order], np.arange(GATES + 1))
+    for g in np.flatnonzero(np.diff(edges)):
+        some = order[edges[g] : edges[g + 1]]
+        a = x[some].astype(float)
+        p = 1 / (1 + np.exp(-np.clip(a @ weights[g], -20, 20)))
+        out[g, :INPUTS] = a.T @ (p - bit[some])
+        out[g, INPUTS:] = ((a * (p * (1 - p))[:, None]).T @ a).reshape(-1)
+    return out
+
+
+def newton(weights: np.ndarray, start: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The step of every gate, at most one long in any weight, drawn towards the start."""
+    grad, hess = sums[:, :INPUTS], sums[:, INPUTS:].reshape(-1, INPUTS, INPUTS)
+    step = np.linalg.solve(hess + 20 * np.eye(INPUTS), (grad + 20 * (weights - start))[:, :, None])[:, :, 0]
+    return step * np.minimum(1.0, 1.0 / (np.abs(step).max(axis=1, keepdims=True) + 1e-12))
+
+
+def fit_gates(texts: DataFrame, coder: Broadcast, said: Broadcast) -> np.ndarray:
+    """Weights of every gate by Newton steps of a logistic regression over all bits of texts, drawn towards what the codes' counts say.
+
+    A step is a pass: tasks send a gradient and a Hessian of every gate, whatever they read.
+    """
     start = np.zeros((GATES, INPUTS))
     start[:, 0] = 1
-    for g in np.unique(gate):
-        a, y = x[gate == g].astype(float), bit[gate == g]
-        w = start[g].copy()
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -20, 20)))
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 20 * np.eye(INPUTS), a.T @ (p - y) + 20 * (w - start[g]))
-            step *= min(1.0, 1.0 / (np.abs(step).max() + 1e-12))
-            w -= step
-            if np.abs(step).max() < 1e-5:
-                break
-        start[g] = w
-    return start.astype(np.float32)
+    weights = start.copy()
+    for _ in range(NEWTON_STEPS):
+
+        def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, INPUTS * (INPUTS + 1)))
+            for batch in batches:
+                buf, off = tv.text_views(batch.column(0))
+                for i, j in tv.chunks(off):
+                    s = coder.value.stream(buf[off[i] : off[j]], off[i : j + 1] - off[i], left_out=True)
+                    total += gate_sums(*inputs(s, said.value), s["bit"], weights)
+            if total.any():
+                gates = np.flatnonzero(total.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(gates), pa.array(list(total[gates]), pa.list_(pa.float64()))], ["gate", "sums"])
+
+        each = texts.mapInArrow(run, "gate long, sums array<double>").select("gate", F.posexplode("sums").alias("at", "x"))
+        total = np.zeros((GATES, INPUTS * (INPUTS + 1)))
+        for r in each.groupBy("gate", "at").agg(F.sum("x").alias("x")).collect():  # a row for each gate and place
+            total[r["gate"], r["at"]] = r["x"]
+        step = newton(weights, start, total)
+        weights = weights - step
+        if np.abs(step).max() < 1e-7:
+            break
+    return weights.round(4).astype(np.float32)  # the order of addition tells only far below
 
 
 def mixed(s: dict, said: np.ndarray, weights: np.ndarray, rate: float = RATE) -> np.ndarray:
@@ -328,24 +363,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_w
     calibrates = F.pmod(F.xxhash64("id", "text"), F.lit(CALIBRATION_SHARE)) == 0
     said = spark.sparkContext.broadcast(tables(texts.where(~calibrates), coder, bits, tokens))
 
-    def gates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = 0, []
-        for batch in batches:
-            buf, off = tv.text_views(batch.column(0))
-            for i, j in tv.chunks(off):
-                if seen < FIT_BITS:
-                    s = coder.value.stream(buf[off[i] : off[j]], off[i : j + 1] - off[i], left_out=True)
-                    held.append((*inputs(s, said.value), s["bit"]))
-                    seen += len(s["bit"])
-        if held:
-            w = fit_gates(*(np.concatenate(c)[:FIT_BITS] for c in zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["weights"])
-
-    sampled = texts.where(calibrates).orderBy(F.xxhash64("text", "id"), "id").limit(FIT_ROWS).select("text").coalesce(1)  # at most FIT_ROWS rows
-    found = small_batches(sampled).mapInArrow(gates, "weights binary").collect()
-    start = np.zeros((GATES, INPUTS), np.float32)
-    start[:, 0] = 1
-    weights = np.frombuffer(found[0]["weights"], np.float32).reshape(GATES, INPUTS) if found else start
+    held = materialize(texts.where(calibrates).select("text"), "mixing-calibration")
+    weights = fit_gates(small_batches(held), coder, said)
     tail = materialize(words.where(F.col("n") < least).select("key", F.col("n").alias("c")), "mixing-rare-words") if least else None
     return Model(coder, spark.sparkContext.broadcast((said.value, weights)), tail, tokens + rows, distinct + (rows > 0))
 
