@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from corpusmill.operators import embedding, index_store
 
 
@@ -42,3 +44,21 @@ def test_texts_are_taken_apart_once(spark, tmp_path):
             sums[h % 16] += -weight if h & 65536 else weight
         wanted[k] = sums
     assert {r.chunk_id: list(r.embedding) for r in index.vectors.collect()} == wanted
+
+
+def test_a_search_reads_the_postings_once(spark, tmp_path):
+    texts = [(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 4 + i % 50))) for i in range(400)]
+    index = index_store.build(spark.createDataFrame(texts, "chunk_id long, text string").repartition(3), "text", str(tmp_path / "index"), [], range_docs=8)
+    terms = spark.createDataFrame([(q, f"w{t}") for q, ts in ((1, (3, 5)), (2, (7, 5, 36)), (3, (99,))) for t in ts], "query_id long, term string")
+    for bm25 in (False, True):
+        found = index_store.topk(terms, index, 5, bm25)
+        read = {f.rsplit("/", 2)[-2] for f in found.inputFiles()}
+        assert "postings" not in read and read  # bounds, probes and scores read the asked blocks, which were found in one reading
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.collect()}
+        every = index_store._scored(terms.withColumn("idf", F.lit(1.0)), None, index.postings, index, False, None, True).collect() if not bm25 else None
+        if every:  # against all scores, without bounds
+            for q in (1, 2):
+                best = sorted(((-r.score, r.chunk_id) for r in every if r.query_id == q))[:5]
+                assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
+    blocks = index_store.chosen_ranges(terms, index, 5, False)[1]
+    assert {r.term for r in blocks.collect()} == {"w3", "w5", "w7", "w36"} and "w99" not in {r.term for r in index.postings.collect()}
