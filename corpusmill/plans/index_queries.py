@@ -39,7 +39,7 @@ INCOMING = "incoming AS (SELECT repo_id, path, start_line, content_hash FROM chu
 
 def states(spark, d, content=False):
     c = chunks(spark, d).select("repo_id", "path", F.col("start_line").cast("long").alias("start_line"), "content_hash", *(["content"] if content else []))
-    c = written(c, f"{work_dir(spark, 'chunks')}/all")  # cut once, read for both states
+    c = (P.staged if content else written)(c, f"{work_dir(spark, 'chunks')}/all")  # cut once, read for both states
     digit = F.substring("content_hash", 1, 1)
     stored = c.where(~digit.isin("2", "3")).withColumn("content_hash", F.when(digit.isin("0", "1"), F.concat(F.lit("old"), F.substring("content_hash", 4, 100))).otherwise(F.col("content_hash")))
     return stored, c.where(~digit.isin("4", "5") & (F.col("repo_id") != "src1"))
@@ -111,7 +111,7 @@ def passes(spark, d):
     stored, incoming = states(spark, d, content=True)
     at = work_dir(spark, "passes")
     store = P.ChunkStore(spark, f"{at}/chunks")
-    store.append(stored.withColumn("embed_model", F.lit("model")).withColumn("embedding", F.lit(None).cast("array<float>")))
+    store.append(stored.withColumn("embed_model", F.lit("model")).withColumn("embedding", F.lit(None).cast("array<float>")), together=True)
     return store, incoming, at
 
 
